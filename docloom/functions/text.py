@@ -100,7 +100,7 @@ def spaced_words(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words of any text."""
-    return spaced_words(F.lower(collapse_ws(text)))
+    return F.filter(F.split(F.lower(text), WHITESPACE, -1), lambda w: w != "")
 
 
 def chunk_count(n_words: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:

@@ -1,8 +1,13 @@
-"""Vector expressions and the two embedders: hashed word counts (built in) and a user's model."""
+"""Vector expressions and the two embedders: hashed word counts (built in) and a user's model.
+
+An embedder has two methods: `embed` adds a vector per text, and `similarities` scores an array of texts
+against a vector in the same row.
+"""
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -18,10 +23,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def ratio(product: Column, a_sq: Column, b_sq: Column) -> Column:
+    """Cosine from a dot product and two squared lengths; 0 when either vector has no length."""
+    norm = F.sqrt(a_sq * b_sq)
+    return F.when(norm > 0, product / norm).otherwise(F.lit(0.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 when either vector has no length."""
-    norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
+    return ratio(dot(a, b), dot(a, a), dot(b, b))
 
 
 @dataclass(frozen=True)
@@ -37,16 +46,46 @@ class HashedEmbedder:
     def dim(self) -> int:
         return 16**self.hex_digits
 
+    def _buckets(self, text: Column) -> Column:
+        return F.transform(words(text), lambda w: F.substring(F.md5(w.cast("binary")), 1, self.hex_digits))
+
     def embed(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        buckets = F.transform(
-            words(F.col(text)), lambda w: F.substring(F.md5(w.cast("binary")), 1, self.hex_digits)
-        )
         model = CountVectorizerModel.from_vocabulary(
             [format(i, f"0{self.hex_digits}x") for i in range(self.dim)], inputCol="_buckets", outputCol="_counts"
         )
-        counted = model.transform(df.withColumn("_buckets", buckets))
+        counted = model.transform(df.withColumn("_buckets", self._buckets(F.col(text))))
         return counted.withColumn(out, vector_to_array("_counts", "float32")).drop("_buckets", "_counts")
 
+    def similarities(self, df: DataFrame, texts: str, vector: str, out: str) -> DataFrame:
+        """Cosine of every text in the array column `texts` with the row's vector, as an array in `out`.
+
+        A text's vector is never built: its dot product adds up the entries its words point at, and its squared
+        length grows by 2j - 1 with the j-th word of a bucket.
+        """
+
+        def one(text: Column) -> Column:
+            numbers = F.transform(
+                F.array_sort(self._buckets(text)), lambda b: F.conv(b, 16, 10).cast("int") + F.lit(1)
+            )
+            start = F.struct(
+                F.lit(0.0).alias("dot"), F.lit(0.0).alias("sq"), F.lit(0).alias("last"), F.lit(0.0).alias("run")
+            )
+
+            def step(acc: Column, b: Column) -> Column:
+                run = F.when(acc["last"] == b, acc["run"] + 1.0).otherwise(F.lit(1.0))
+                return F.struct(
+                    (acc["dot"] + F.element_at(vector, b).cast("double")).alias("dot"),
+                    (acc["sq"] + 2.0 * run - 1.0).alias("sq"),
+                    b.alias("last"),
+                    run.alias("run"),
+                )
+
+            return F.aggregate(numbers, start, step, lambda acc: F.struct(acc["dot"], acc["sq"]))
+
+        squared = df.withColumns({"_parts": F.transform(texts, one), "_sq": dot(F.col(vector), F.col(vector))})
+        scores = F.transform("_parts", lambda p: ratio(p["dot"], p["sq"], F.col("_sq")))
+        return squared.withColumn(out, scores).drop("_parts", "_sq")
+
 
 @dataclass(frozen=True)
 class ModelEmbedder:
@@ -74,6 +113,30 @@ class ModelEmbedder:
 
         return df.withColumn(out, run(F.col(text)))
 
+    def similarities(self, df: DataFrame, texts: str, vector: str, out: str) -> DataFrame:
+        """Cosine of every text in the array column `texts` with the row's vector, as an array in `out`."""
+        load, batch_size = self.load, self.batch_size
+
+        @F.pandas_udf("array<double>")
+        def run(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = load()
+            for lists, vectors in rows:
+                flat = [t for texts in lists for t in texts]
+                embedded: list = []
+                for start in range(0, len(flat), batch_size):
+                    embedded.extend(model(flat[start : start + batch_size]))
+                scores, at = [], 0
+                for texts, vector in zip(lists, vectors):
+                    a = np.asarray(embedded[at : at + len(texts)], dtype=np.float64).reshape(len(texts), -1)
+                    at += len(texts)
+                    b = np.asarray(vector, dtype=np.float64)
+                    norms = np.sqrt((a * a).sum(axis=1) * (b * b).sum())
+                    products = a @ b if len(texts) else norms
+                    scores.append(np.divide(products, norms, out=np.zeros_like(norms), where=norms > 0))
+                yield pd.Series(scores, index=lists.index)
+
+        return df.withColumn(out, run(F.col(texts), F.col(vector)))
+
 
 def check_embeddings(nodes: DataFrame, dim: int | None = None) -> DataFrame:
     """One row: number of nodes, missing vectors, distinct lengths, and whether the set is usable."""

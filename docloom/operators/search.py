@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions.values import parse_process_date
-from docloom.functions.vectors import cosine
 from docloom.model import RECENCY_TOP_K, RERANK_TOP_N, SENTENCE_CUTOFF, SIMILARITY_TOP_K
 
 MAX_BROADCAST_QUESTIONS = 4096
@@ -192,37 +191,28 @@ def recency(top_k: int = RECENCY_TOP_K):
     return stage
 
 
-def kept_sentences(df: DataFrame, embedder, cutoff: float = SENTENCE_CUTOFF) -> DataFrame:
-    """Sentences of every candidate that stay: the best floor(cutoff * n) by similarity, at least one."""
-    each = df.select("*", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
-    scored = embedder.embed(each, "sentence", "_vector").withColumn(
-        "sentence_score", F.round(cosine(F.col("_vector"), F.col("q_embedding")), SCORE_DIGITS)
-    )
-    node = Window.partitionBy("qid", "node_id")
+def sentence_optimizer(embedder, cutoff: float = SENTENCE_CUTOFF):
+    """Stage: shorten each text to its best floor(cutoff * n) sentences by similarity, at least one, in text order.
+
+    A candidate's sentences are scored and picked inside its own row: nothing is exploded or shuffled.
+    """
     # The share is a decimal, so that 0.7 of 90 sentences is 63 and not 62.
     share = F.lit(Decimal(str(cutoff)))
-    ranked = scored.drop("_vector").withColumns(
-        {
-            "_rk": F.row_number().over(node.orderBy(F.col("sentence_score").desc(), "pos")),
-            "_n": F.count("*").over(node),
-        }
-    )
-    return ranked.where(F.col("_rk") <= F.greatest(F.floor(F.col("_n") * share), F.lit(1))).drop("_rk", "_n")
-
-
-def sentence_optimizer(embedder, cutoff: float = SENTENCE_CUTOFF):
-    """Stage: shorten each candidate's text to its kept sentences, in their original order."""
 
     def stage(df: DataFrame) -> DataFrame:
-        keys = ["qid", "node_id"]
-        rest = [c for c in df.columns if c not in (*keys, "text")]
-        kept = kept_sentences(df, embedder, cutoff)
-        # A node's sentences are bounded by the chunk size.
-        joined = kept.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_s"), *[F.first(c).alias(c) for c in rest]
+        split = df.withColumn("_s", tx.sentences(F.col("text")))
+        scored = embedder.similarities(split, "_s", "q_embedding", "_scores")
+        numbered = F.transform(
+            F.arrays_zip("_s", "_scores"),
+            lambda x, i: F.struct(
+                (-F.round(x["_scores"], SCORE_DIGITS)).alias("key"), i.alias("pos"), x["_s"].alias("sentence")
+            ),
         )
-        text = F.array_join(F.transform("_s", lambda x: x.getField("sentence")), " ")
-        return joined.withColumn("text", text).drop("_s").select(*df.columns)
+        keep = F.greatest(F.floor(F.size("_s") * share).cast("int"), F.lit(1))
+        best = F.slice(F.array_sort(numbered), F.lit(1), keep)
+        in_order = F.array_sort(F.transform(best, lambda x: F.struct(x["pos"], x["sentence"])))
+        text = F.array_join(F.transform(in_order, lambda x: x["sentence"]), " ")
+        return scored.withColumn("text", text).drop("_s", "_scores")
 
     return stage
 

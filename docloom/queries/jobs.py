@@ -12,6 +12,7 @@ from docloom.queries.fixtures import table, with_ctes
 from docloom.queries.registry import query
 from docloom.queries.texts import EMBEDDER, nodes
 from docloom.session import run_dir
+from docloom.sources.catalog import spread
 from docloom.sources.collection import Collection
 from docloom.streaming import jobs
 
@@ -32,7 +33,7 @@ def _shown(held: DataFrame) -> DataFrame:
 
 def _indexed(spark: SparkSession, d: str, name: str) -> Collection:
     collection = Collection(run_dir(spark, name))
-    collection.write(documents.nodes_of(fx.files(spark, d), EMBEDDER))
+    collection.write(documents.nodes_of(spread(fx.files(spark, d)), EMBEDDER))
     return collection
 
 
@@ -89,7 +90,7 @@ def index_drop(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def ingest(spark: SparkSession, d: str) -> DataFrame:
-    files = fx.files(spark, d)
+    files = spread(fx.files(spark, d))
     path = run_dir(spark, "ingest")
     held = ing.run_ingest(spark, files, Collection(f"{path}/collection"), EMBEDDER, f"{path}/status")
     return ing.counts(ing.plan_ingest(files, EMBEDDER), held)
@@ -117,7 +118,7 @@ def ingest_file_list(spark: SparkSession, d: str) -> DataFrame:
 def ingest_status(spark: SparkSession, d: str) -> DataFrame:
     """Status of every integration after its ingest, from the log the ingest wrote."""
     path = run_dir(spark, "ingest_status")
-    ing.run_ingest(spark, fx.files(spark, d), Collection(f"{path}/collection"), EMBEDDER, f"{path}/status")
+    ing.run_ingest(spark, spread(fx.files(spark, d)), Collection(f"{path}/collection"), EMBEDDER, f"{path}/status")
     return rollup.latest_status(spark.read.parquet(f"{path}/status")).select("org_id", "account_token", "status")
 
 
@@ -180,7 +181,7 @@ def integration_cascade(spark: SparkSession, d: str) -> DataFrame:
     asked = held.join(orgs.select(F.col("id").alias("org_id"), "admin_id"), "org_id")
     claimed = F.when(F.col("account_token").endswith("_web"), F.col("admin_id")).otherwise("nobody")
     requests = asked.select("org_id", "account_token", claimed.alias("admin_id"))
-    chunk = documents.chunk(documents.load(fx.files(spark, d))[0])
+    chunk = documents.chunk(documents.load(spread(fx.files(spark, d)))[0])
     done = ch.remove_integrations(requests, orgs, fx.files(spark, d), chunk, held)
     return (
         done.files.select(F.lit("file").alias("part"), "org_id", "id")
@@ -223,7 +224,7 @@ def org_cascade(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("org_"), F.col("s_nationkey").cast("string")).alias("org_id"),
         F.concat(F.lit("u"), F.col("k").cast("string")).alias("admin_id"),
     )
-    chunk = documents.chunk(documents.load(fx.files(spark, d))[0])
+    chunk = documents.chunk(documents.load(spread(fx.files(spark, d)))[0])
     done = ch.remove_organizations(
         requests, fx.orgs(spark, d), fx.files(spark, d), chunk, fx.users(spark, d), fx.members(spark, d), fx.integrations(spark, d)
     )

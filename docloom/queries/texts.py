@@ -17,13 +17,14 @@ from docloom.queries.fixtures import table, with_ctes
 from docloom.queries.registry import query
 from docloom.queries.text_sql import sql_html
 from docloom.session import materialize
+from docloom.sources.catalog import spread
 
 EMBEDDER = HashedEmbedder()
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """Embedded nodes of every loadable file, written once so that later steps read only the columns they need."""
-    return materialize(documents.nodes_of(fx.files(spark, d), EMBEDDER), "nodes")
+    return materialize(documents.nodes_of(spread(fx.files(spark, d)), EMBEDDER), "nodes")
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,7 @@ def parse_html(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def split_elements(spark: SparkSession, d: str) -> DataFrame:
-    return documents.split_documents(fx.files(spark, d))
+    return documents.split_documents(spread(fx.files(spark, d)))
 
 
 @query(
@@ -61,7 +62,7 @@ def split_elements(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def load_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    good, bad = documents.load(fx.files(spark, d))
+    good, bad = documents.load(spread(fx.files(spark, d)))
     nothing = F.lit(None).cast("string")
     return good.select(
         F.col("doc_id").alias("id"), F.lit(None).cast("bigint").alias("code"), nothing.alias("reason"), "text", "process_date"
@@ -69,7 +70,7 @@ def load_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return documents.chunk(documents.load(fx.files(spark, d))[0])
+    return documents.chunk(documents.load(spread(fx.files(spark, d)))[0])
 
 
 @query("chunk_documents", with_ctes("SELECT org_id, node_id, doc_id, chunk_idx, text, process_date FROM chunk", "chunk"))
@@ -93,7 +94,7 @@ class ChunkRows:
 
 @query("udtf_chunker", with_ctes("SELECT doc_id, chunk_idx, text FROM chunk", "chunk"))
 def udtf_chunker(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents.load(fx.files(spark, d))[0].select("doc_id", F.col("text").alias("whole"))
+    docs = documents.load(spread(fx.files(spark, d)))[0].select("doc_id", F.col("text").alias("whole"))
     return docs.lateralJoin(ChunkRows(F.col("whole").outer())).select("doc_id", "chunk_idx", "text")
 
 
