@@ -65,8 +65,8 @@ def line_elements(text: Column) -> Column:
     return _non_empty(F.split(text, "\n", -1))
 
 
-def html_elements(html: Column) -> Column:
-    """Visible text of a page, one element per block."""
+def html_blocks(html: Column) -> Column:
+    """Visible text of a page, with a separator between blocks."""
     t = F.translate(html, SEPARATOR, " ")
     t = F.regexp_replace(t, HTML_COMMENT, " ")
     t = F.regexp_replace(t, HTML_HIDDEN, " ")
@@ -75,22 +75,29 @@ def html_elements(html: Column) -> Column:
     t = F.regexp_replace(t, HTML_TAG, "")
     for entity, char in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return _non_empty(F.split(t, SEPARATOR, -1))
+    return t
+
+
+def html_elements(html: Column) -> Column:
+    return _non_empty(F.split(html_blocks(html), SEPARATOR, -1))
 
 
 RTF_HIDDEN = r"(?s)\{\\(\*|fonttbl|colortbl|stylesheet|info|pict)([^{}]|\{[^{}]*\})*\}"
 
 
-def rtf_elements(rtf: Column) -> Column:
-    """Plain text of an rtf document: paragraphs as elements, control words and groups removed."""
+def rtf_blocks(rtf: Column) -> Column:
+    """Plain text of an rtf document: separators between paragraphs, control words and groups removed."""
     t = F.regexp_replace(rtf, RTF_HIDDEN, "")
     t = F.regexp_replace(t, r"[\r\n]", "")
     t = F.regexp_replace(t, r"\\(par|line|row|sect|page)(-?[0-9]+)?(?![a-z])[ ]?", SEPARATOR)
     t = F.regexp_replace(t, r"\\(tab|cell)(?![a-z])[ ]?", " ")
     t = F.regexp_replace(t, r"\\[a-z]+(-?[0-9]+)?[ ]?", "")
     t = F.regexp_replace(t, r"(?<!\\)[{}]", "")
-    t = F.regexp_replace(t, r"\\([\\{}])", "$1")
-    return _non_empty(F.split(t, SEPARATOR, -1))
+    return F.regexp_replace(t, r"\\([\\{}])", "$1")
+
+
+def rtf_elements(rtf: Column) -> Column:
+    return _non_empty(F.split(rtf_blocks(rtf), SEPARATOR, -1))
 
 
 def spaced_words(text: Column) -> Column:
@@ -103,6 +110,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WHITESPACE, -1), lambda w: w != "")
 
 
+def lower_words(text: Column) -> Column:
+    """Lower-case words of a text whose whitespace is already collapsed: a plain split, no pattern."""
+    return spaced_words(F.lower(text))
+
+
 def chunk_count(n_words: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     step = size - overlap
     more = F.ceil(F.greatest(n_words - size, F.lit(0)) / step)

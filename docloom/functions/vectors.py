@@ -1,7 +1,8 @@
 """Vector expressions and the two embedders: hashed word counts (built in) and a user's model.
 
 An embedder has two methods: `embed` adds a vector per text, and `similarities` scores an array of texts
-against a vector in the same row.
+against a vector in the same row. Both are given texts whose whitespace is already collapsed, which chunks,
+sentences and questions are.
 """
 
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import words
+from docloom.functions.text import lower_words
 from docloom.model import EMBED_BATCH
 
 
@@ -47,7 +48,7 @@ class HashedEmbedder:
         return 16**self.hex_digits
 
     def _buckets(self, text: Column) -> Column:
-        return F.transform(words(text), lambda w: F.substring(F.md5(w.cast("binary")), 1, self.hex_digits))
+        return F.transform(lower_words(text), lambda w: F.substring(F.md5(w.cast("binary")), 1, self.hex_digits))
 
     def embed(self, df: DataFrame, text: str, out: str) -> DataFrame:
         model = CountVectorizerModel.from_vocabulary(

@@ -7,22 +7,35 @@ from docloom.functions import text as tx
 from docloom.functions.values import outcome
 from docloom.model import CHUNK_OVERLAP, CHUNK_SIZE, SUPPORTED_EXTENSIONS
 
+# Per extension: content to text elements, and content to text whose elements are parted by whitespace.
 PARSERS = {
-    "html": tx.html_elements,
-    "txt": tx.line_elements,
-    "csv": tx.line_elements,
-    "rtf": tx.rtf_elements,
+    "html": (tx.html_elements, tx.html_blocks),
+    "txt": (tx.line_elements, lambda content: content),
+    "csv": (tx.line_elements, lambda content: content),
+    "rtf": (tx.rtf_elements, tx.rtf_blocks),
 }
 
 
 def elements(ext: Column, content: Column) -> Column:
     """Text elements of a file's content by its extension; null where no parser exists."""
     out = F.lit(None).cast("array<string>")
-    for name, parse in PARSERS.items():
+    for name, (parse, _) in PARSERS.items():
         out = F.when(ext == name, parse(content)).otherwise(out)
     return out
 
 
+def whole_text(ext: Column, content: Column) -> Column:
+    """The clean text of all elements together.
+
+    Collapsing whitespace once over the whole content equals collapsing each element, dropping empty ones,
+    joining and cleaning, and never builds the elements.
+    """
+    out = F.lit(None).cast("string")
+    for name, (_, flat) in PARSERS.items():
+        out = F.when(ext == name, flat(content)).otherwise(out)
+    return tx.collapse_ws(out)
+
+
 def check_files(files: DataFrame) -> DataFrame:
     """Adds (code, reason) of the load step. Only the name and the presence of content are looked at."""
     ext = tx.extension(F.col("name"))
@@ -42,10 +55,8 @@ def load(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse(files: DataFrame) -> DataFrame:
     """One document per file: doc_id, org_id, text, process_date."""
-    parsed = elements(tx.extension(F.col("name")), F.col("content"))
-    return files.select(
-        "org_id", F.col("id").alias("doc_id"), tx.clean_text(parsed).alias("text"), "process_date"
-    )
+    text = whole_text(tx.extension(F.col("name")), F.col("content"))
+    return files.select("org_id", F.col("id").alias("doc_id"), text.alias("text"), "process_date")
 
 
 def split_documents(files: DataFrame) -> DataFrame:
@@ -77,7 +88,7 @@ def chunk(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
 
 
 def embed(nodes: DataFrame, embedder) -> DataFrame:
-    """Adds `embedding`. `embedder.embed(df, text_column, out_column)` is the only contract."""
+    """Adds `embedding`."""
     return embedder.embed(nodes, "text", "embedding")
 
 

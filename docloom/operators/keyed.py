@@ -7,17 +7,22 @@ from docloom.functions.values import outcome
 from docloom.session import materialize
 
 
+def _distinct(keys: DataFrame, key: str) -> DataFrame:
+    """Requested keys once each, combined before the shuffle: a key asked for a billion times is one row."""
+    return keys.select(key).distinct()
+
+
 def get(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """Every requested key with its row; a key without a row carries a reason."""
     found = table.withColumn("_found", F.lit(True))
-    joined = keys.select(key).distinct().join(found, key, "left")
+    joined = _distinct(keys, key).join(found, key, "left")
     code, reason = outcome((F.col("_found").isNull(), "ITEM_DOES_NOT_EXIST"))
     return joined.withColumns({"code": code, "reason": reason}).drop("_found")
 
 
 def batch_get(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """Rows of the requested keys; a key absent from the table is absent from the result."""
-    return table.join(keys.select(key), key, "left_semi")
+    return table.join(_distinct(keys, key), key, "left_semi")
 
 
 def lookup(table: DataFrame, field: str, value: str, *columns: str) -> DataFrame:
@@ -37,12 +42,12 @@ def upsert(table: DataFrame, rows: DataFrame, key: str = "id", order: str | None
     if order is not None:
         rows = last_per_key(rows, key, order)
     rows = rows.select(*table.columns)
-    return table.join(rows.select(key), key, "left_anti").select(*table.columns).unionByName(rows)
+    return table.join(_distinct(rows, key), key, "left_anti").select(*table.columns).unionByName(rows)
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """Remaining rows; absent keys are ignored."""
-    return table.join(keys.select(key), key, "left_anti").select(*table.columns)
+    return table.join(_distinct(keys, key), key, "left_anti").select(*table.columns)
 
 
 def delete_returning(table: DataFrame, keys: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -53,27 +58,30 @@ def delete_returning(table: DataFrame, keys: DataFrame, key: str = "id") -> tupl
 def batches(rows: DataFrame, size: int, group: str, order: str) -> DataFrame:
     """Number the rows of every group into batches of `size` in the given order, as column `batch_no`.
 
-    Rows are laid out in ranges of (group, order), ranked inside each range, and every range starts where
-    the counts of the ranges before it end. A hot group spans many ranges, so no task holds all of it.
-    The ranges are written once because both the ranks and the counts must see the same ones.
+    Rows are laid out and sorted in ranges of (group, order), so a hot group spans many tasks and none holds all
+    of it. A row's place in its range plus the counts of the ranges before give its place in the group: only
+    those counts are joined, and there is one per group and range. The ranges are written once because the
+    places and the counts must see the same ones.
     """
-    laid_out = rows.repartitionByRange(F.col(group), F.col(order)).withColumn("_range", F.spark_partition_id())
-    ranged = materialize(laid_out, "ranges")
-    inside = Window.partitionBy(group, "_range").orderBy(order)
-    ranked = ranged.withColumn("_rn", F.row_number().over(inside).cast("bigint"))
-    sizes = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    laid_out = (
+        rows.repartitionByRange(F.col(group), F.col(order))
+        .sortWithinPartitions(group, order)
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    # The id counts rows below bit 33 and partitions above it.
+    placed = materialize(laid_out, "ranges").withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy(group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.col("_start") + F.col("_at") - F.col("_first")
     return (
-        ranked.join(starts, [group, "_range"])
-        .withColumn("batch_no", F.floor((F.col("_start") + F.col("_rn") - 1) / size).cast("bigint"))
-        .drop("_range", "_rn", "_start")
+        placed.join(starts, [group, "_range"])
+        .withColumn("batch_no", F.floor(place / size).cast("bigint"))
+        .drop("_range", "_at", "_first", "_start")
     )
 
 
-def write_in_batches(rows: DataFrame, path: str, tasks: int = 4, rows_per_file: int | None = None) -> None:
-    """Parallel sliced write: `tasks` writers, each cutting its rows into files of at most `rows_per_file`."""
-    writer = rows.repartition(tasks).write.mode("overwrite")
-    if rows_per_file:
-        writer = writer.option("maxRecordsPerFile", rows_per_file)
-    writer.parquet(path)
+def write_in_batches(rows: DataFrame, path: str, tasks: int | None = None, rows_per_file: int = 0) -> None:
+    """Parallel sliced write by the executors; `rows_per_file` cuts the slices, 0 leaves them whole."""
+    spread = rows if tasks is None else rows.repartition(tasks)
+    spread.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)

@@ -161,8 +161,8 @@ def candidates(nodes: DataFrame, questions: DataFrame, hits: DataFrame) -> DataF
 
 def lexical_overlap(question: Column, text: Column) -> Column:
     """Share of the question's distinct words that the text contains."""
-    wanted = F.array_distinct(tx.words(question))
-    shared = F.size(F.array_intersect(wanted, tx.words(text)))
+    wanted = F.array_distinct(tx.lower_words(question))
+    shared = F.size(F.array_intersect(wanted, tx.lower_words(text)))
     return F.when(F.size(wanted) > 0, shared / F.size(wanted)).otherwise(F.lit(0.0))
 
 
@@ -227,7 +227,7 @@ def extractive_answer(df: DataFrame, budget: int = 256, order: str = "recency_ra
     """Answer per question: its retained sentences in rank and text order until `budget` words are used."""
     each = df.select("qid", order, "node_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
     running = Window.partitionBy("qid").orderBy(order, "pos").rowsBetween(Window.unboundedPreceding, 0)
-    used = each.withColumn("_used", F.sum(F.size(tx.words(F.col("sentence")))).over(running)).where(F.col("_used") <= budget)
+    used = each.withColumn("_used", F.sum(F.size(tx.lower_words(F.col("sentence")))).over(running)).where(F.col("_used") <= budget)
     parts = used.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(order, "pos", "sentence"))).alias("_s"))
     text = F.array_join(F.transform("_s", lambda x: x.getField("sentence")), " ")
     return parts.select("qid", text.alias("response"))

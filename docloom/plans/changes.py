@@ -13,7 +13,7 @@ from docloom.sources.collection import Collection
 
 def delete_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Nodes without those of the given documents (org_id, doc_id)."""
-    return nodes.join(docs.select("org_id", "doc_id"), ["org_id", "doc_id"], "left_anti").select(*nodes.columns)
+    return nodes.join(docs.select("org_id", "doc_id").distinct(), ["org_id", "doc_id"], "left_anti").select(*nodes.columns)
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def plan_changes(changes: DataFrame, files: DataFrame, embedder) -> ChangeSet:
     """
     valid, rejected = split(valid_operation(changes))
     removed = valid.select("org_id", F.col("file_id").alias("doc_id")).distinct()
-    wanted = load_rows(valid).select("org_id", F.col("file_id").alias("id"))
+    wanted = load_rows(valid).select("org_id", F.col("file_id").alias("id")).distinct()
     reloaded = files.join(wanted, ["org_id", "id"], "left_semi")
     docs, bad = documents.load(reloaded)
     added = documents.embed(documents.chunk(docs), embedder)

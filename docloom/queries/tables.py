@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions import values as v
-from docloom.model import FILE_DEFAULTS, USER_DEFAULTS
+from docloom.model import FILE_DEFAULTS, USER_DEFAULTS, WRITE_BATCH
 from docloom.operators import checks, keyed, rollup, sets
 from docloom.plans.directory import user_organizations
 from docloom.plans.ingest import stored_rows
@@ -237,10 +237,10 @@ def kv_delete_returning(spark: SparkSession, d: str) -> DataFrame:
 
 @query("batch_write", with_ctes("SELECT * FROM usr", "usr"))
 def batch_write(spark: SparkSession, d: str) -> DataFrame:
-    """Written by parallel tasks in files of at most 100 rows' worth of batches, then read back."""
+    """Written by four parallel tasks in files of 100 rows, then read back."""
     users = fx.users(spark, d)
     path = run_dir(spark, "batch_write")
-    keyed.write_in_batches(users, path)
+    keyed.write_in_batches(users, path, tasks=4, rows_per_file=WRITE_BATCH)
     return spark.read.schema(users.schema).parquet(path)
 
 
