@@ -1 +1,8 @@
 """docloom: document ingest, vector collections and retrieval as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run in Python workers travel with their task, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

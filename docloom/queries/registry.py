@@ -1,5 +1,6 @@
 """Queries by name, each next to its SQL form."""
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,13 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            # Dates are compared as UTC on both sides.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, d)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn
