@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import documents
 from docloom.operators.checks import admin_check, split, valid_operation
 from docloom.operators.sets import load_rows
+from docloom.session import materialize
 from docloom.sources.collection import Collection
 
 
@@ -47,19 +48,28 @@ def next_snapshot(nodes: DataFrame, change_set: ChangeSet) -> DataFrame:
     return delete_nodes(nodes, change_set.removed).unionByName(change_set.added.select(*nodes.columns))
 
 
-def next_files(files: DataFrame, change_set: ChangeSet) -> DataFrame:
-    """The file table after the batch: deleted and failed files are gone, reloaded ones stay."""
-    keys = ["org_id", "id"]
-    gone = change_set.removed.select("org_id", F.col("doc_id").alias("id"))
-    kept = change_set.reloaded.join(change_set.quarantine.select(*keys), keys, "left_anti")
-    return files.join(gone, keys, "left_anti").unionByName(kept.select(*files.columns))
+def next_files(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """The file table after the batch: deleted and failed files are gone, reloaded ones stay.
+
+    One row per named file says whether it is loaded again, so the table is joined once.
+    """
+    valid, _ = split(valid_operation(changes))
+    named = valid.groupBy("org_id", F.col("file_id").alias("id")).agg(
+        F.bool_or(F.col("operation") != "DELETED").alias("_loaded")
+    )
+    checked = documents.check_files(files).join(named, ["org_id", "id"], "left")
+    return checked.where("_loaded is null or (_loaded and code is null)").select(*files.columns)
 
 
 def apply_changes(
     spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame, embedder, batch: int
 ) -> DataFrame:
-    """Append the batch to the collection. Running the same batch again gives the same collection."""
-    change_set = plan_changes(changes, files, embedder)
+    """Append the batch to the collection. Running the same batch again gives the same collection.
+
+    The changes are read for the removals and for the additions, so they are written down first; from their
+    size the planner can tell whether to broadcast them against the files.
+    """
+    change_set = plan_changes(materialize(changes, "changes"), files, embedder)
     collection.write(change_set.added, batch)
     collection.remove(change_set.removed, batch)
     return collection.load(spark)
@@ -82,7 +92,7 @@ def remove_integrations(
 
     The admin is checked before anything is removed.
     """
-    outcomes = admin_check(requests, orgs)
+    outcomes = materialize(admin_check(requests, orgs), "removals")
     keys = ["org_id", "account_token"]
     allowed = outcomes.where("allowed").select(*keys).distinct()
     docs = files.select(*keys, F.col("id").alias("doc_id")).join(allowed, keys, "left_semi")
@@ -104,7 +114,7 @@ def remove_organizations(
     integrations: DataFrame,
 ) -> Removal:
     """Requests (org_id, admin_id): the organization and everything it holds goes, after the admin check."""
-    outcomes = admin_check(requests, orgs)
+    outcomes = materialize(admin_check(requests, orgs), "removals")
     gone = outcomes.where("allowed").select("org_id").distinct()
 
     def without(df: DataFrame, org: str = "org_id") -> DataFrame:

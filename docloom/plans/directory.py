@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.values import full_name, invite_link, organization_id, outcome, uuid_of
 from docloom.operators.checks import is_blank
+from docloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -36,9 +37,10 @@ def _decide(joined: DataFrame, rules: list[tuple[Column, str]], keys: list[str],
     """Apply the rules, then let only the first passing request of each key through.
 
     The first one is found by a minimum, which combines before the shuffle: no window over a hot key.
+    The checked requests are written once, because outcomes, puts and deletes all follow from them.
     """
     code, reason = outcome(*rules)
-    checked = joined.withColumns({"code": code, "reason": reason})
+    checked = materialize(joined.withColumns({"code": code, "reason": reason}), "requests")
     first = checked.where("code is null").groupBy(*keys).agg(F.min("request_id").alias("_first"))
     marked = checked.join(first.select("_first"), checked["request_id"] == first["_first"], "left")
     late_code, late_reason = outcome((F.col("code").isNull() & F.col("_first").isNull(), late))

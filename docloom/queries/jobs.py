@@ -147,9 +147,7 @@ def cdc_snapshot(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def cdc_files(spark: SparkSession, d: str) -> DataFrame:
-    files = fx.files(spark, d)
-    change_set = ch.plan_changes(fx.changes(spark, d), files, EMBEDDER)
-    return ch.next_files(files, change_set).select("org_id", "id", "name")
+    return ch.next_files(fx.files(spark, d), fx.changes(spark, d)).select("org_id", "id", "name")
 
 
 REMOVAL_REQUESTS_SQL = """

@@ -107,7 +107,7 @@ def test_change_batch_is_applied_once_however_often_it_runs(spark, held, tmp_pat
     change_set = ch.plan_changes(feed, source, E)
     assert texts(ch.next_snapshot(documents.nodes_of(held, E), change_set)) == want
     assert [r["operation"] for r in change_set.rejected.collect()] == ["RENAMED"]
-    assert sorted(r["id"] for r in ch.next_files(source, change_set).collect()) == ["a", "b", "d", "e", "f", "g", "h", "new"]
+    assert sorted(r["id"] for r in ch.next_files(source, feed).collect()) == ["a", "b", "d", "e", "f", "g", "h", "new"]
     compact = collection.compact(spark, str(tmp_path / "compact"))
     assert texts(compact.load(spark)) == want
 
