@@ -102,12 +102,12 @@ def rtf_elements(rtf: Column) -> Column:
 
 def spaced_words(text: Column) -> Column:
     """Words of a text whose whitespace is already collapsed."""
-    return F.filter(F.split(text, " ", -1), lambda w: w != "")
+    return F.array_remove(F.split(text, " ", -1), "")
 
 
 def words(text: Column) -> Column:
     """Lower-case words of any text."""
-    return F.filter(F.split(F.lower(text), WHITESPACE, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), WHITESPACE, -1), "")
 
 
 def lower_words(text: Column) -> Column:

@@ -30,36 +30,71 @@ HIT_SCHEMA = "org_id string, qid bigint, node_id string, score double"
 SCORE_DIGITS = 9
 
 
+# Slack of the single-precision pass; what it lets through is scored again in double precision.
+SLACK = 1e-4
+
+
 def _matrix(vectors: pa.Array | pd.Series) -> np.ndarray:
     if isinstance(vectors, pd.Series):
-        return np.stack(vectors.to_list()).astype(np.float64)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1)
+        return np.stack(vectors.to_list())
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0).astype(np.float32)
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of row pairs, rounded half away from zero."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    norms = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+    cos = np.divide(np.einsum("ij,ij->i", a, b), norms, out=np.zeros_like(norms), where=norms > 0)
+    unit = 10.0**SCORE_DIGITS
+    return np.copysign(np.floor(np.abs(cos) * unit + 0.5) / unit, cos) + 0.0
 
 
 def _best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    ranked = hits.sort_values(["qid", "score", "node_id"], ascending=[True, False, True])
-    return ranked.groupby("qid", sort=False).head(k)
-
-
-def _score_block(ids: np.ndarray, nodes: np.ndarray, qids: np.ndarray, questions: np.ndarray, k: int) -> pd.DataFrame:
-    """Best k nodes of the block for each question; equal scores go to the smaller node id."""
-    found = []
-    node_sq = np.einsum("ij,ij->i", nodes, nodes)
-    for start in range(0, len(qids), 256):
-        block = questions[start : start + 256]
-        norms = np.sqrt(node_sq[:, None] * np.einsum("ij,ij->i", block, block)[None, :])
-        products = nodes @ block.T
-        scores = np.round(np.divide(products, norms, out=np.zeros_like(products), where=norms > 0), SCORE_DIGITS)
-        if len(ids) > k:
-            # Everything at or above the k-th best is kept here, so ties are settled by id, not by position.
-            floor = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
-            rows, cols = np.nonzero(scores >= floor)
-        else:
-            rows, cols = (a.ravel() for a in np.indices(scores.shape))
-        hits = pd.DataFrame({"qid": qids[start : start + 256][cols], "node_id": ids[rows], "score": scores[rows, cols]})
-        found.append(_best(hits, k))
-    return pd.concat(found, ignore_index=True)
+    """Best k hits per question; equal scores go to the smaller node id."""
+    ranked = hits.sort_values(["q", "score", "node_id"], ascending=[True, False, True])
+    return ranked.groupby("q", sort=False).head(k)
+
+
+def _floors(hits: pd.DataFrame, n_questions: int, k: int) -> np.ndarray:
+    """Per question the score a further node must reach; none while it has fewer than k hits."""
+    per = hits.groupby("q")["score"].agg(["size", "min"])
+    full = per[per["size"] == k]
+    floors = np.full(n_questions, -np.inf, dtype=np.float32)
+    floors[full.index.to_numpy()] = full["min"].to_numpy() - SLACK
+    return floors
+
+
+def _score_block(
+    ids: np.ndarray, nodes: np.ndarray, questions: np.ndarray, k: int, seen: pd.DataFrame | None = None
+) -> pd.DataFrame:
+    """Best k nodes of the block, and of the hits seen before it, for each question by its position `q`.
+
+    A single-precision product finds every node that can be among the best k, ties included; only those are
+    scored exactly. Hits seen before raise the bar, so later blocks of a scan let little through.
+    """
+    units, q_units = _unit(nodes), _unit(questions)
+    bars = np.full(len(questions), -np.inf, dtype=np.float32) if seen is None else _floors(seen, len(questions), k)
+    found = [] if seen is None else [seen]
+    for start in range(0, len(questions), 256):
+        approx = q_units[start : start + 256] @ units.T
+        bar = bars[start : start + 256].copy()
+        open_ = np.isneginf(bar)
+        if len(ids) > k and open_.any():
+            kth = np.partition(approx[open_], len(ids) - k, axis=1)[:, len(ids) - k]
+            bar[open_] = kth - SLACK
+        q, n = np.nonzero(approx >= bar[:, None])
+        q += start
+        # Many ties may pass, so the exact scores are taken in bounded pieces.
+        for at in range(0, len(q), 65536):
+            qs, ns = q[at : at + 65536], n[at : at + 65536]
+            hits = pd.DataFrame({"q": qs, "node_id": ids[ns], "score": _exact(nodes[ns], questions[qs])})
+            found.append(_best(hits, k))
+    return _best(pd.concat(found, ignore_index=True), k)
 
 
 def _scan_scorer(questions: pa.Table, k: int) -> Callable:
@@ -73,18 +108,15 @@ def _scan_scorer(questions: pa.Table, k: int) -> Callable:
         for batch in batches:
             orgs = batch.column("org_id").to_pandas()
             ids = batch.column("node_id").to_pandas().to_numpy()
-            for org, at in orgs.groupby(orgs).groups.items():
-                if org not in by_org or not len(at):
-                    continue
-                at = at.to_numpy()
-                vectors = _matrix(batch.column("embedding").take(pa.array(at)))
-                hits = _score_block(ids[at], vectors, *by_org[org], k)
-                best[org] = _best(pd.concat([best[org], hits], ignore_index=True), k) if org in best else hits
+            for org, at in orgs.groupby(orgs).indices.items():
+                if org in by_org and len(at):
+                    vectors = _matrix(batch.column("embedding").take(pa.array(at)))
+                    best[org] = _score_block(ids[at], vectors, by_org[org][1], k, best.get(org))
         for org, hits in best.items():
             yield pa.RecordBatch.from_pydict(
                 {
                     "org_id": pa.array([org] * len(hits), pa.string()),
-                    "qid": pa.array(hits["qid"].to_numpy(), pa.int64()),
+                    "qid": pa.array(by_org[org][0][hits["q"].to_numpy()], pa.int64()),
                     "node_id": pa.array(hits["node_id"].to_numpy(), pa.string()),
                     "score": pa.array(hits["score"].to_numpy(), pa.float64()),
                 }
@@ -112,10 +144,9 @@ def _blocked_hits(nodes: DataFrame, questions: DataFrame, k: int, node_block: in
     def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"org_id": [], "qid": [], "node_id": [], "score": []})
-        hits = _score_block(
-            left["node_id"].to_numpy(), _matrix(left["embedding"]), right["qid"].to_numpy(), _matrix(right["embedding"]), k
-        )
-        return hits.assign(org_id=key[0])[["org_id", "qid", "node_id", "score"]]
+        hits = _score_block(left["node_id"].to_numpy(), _matrix(left["embedding"]), _matrix(right["embedding"]), k)
+        qids = right["qid"].to_numpy()[hits["q"].to_numpy()]
+        return hits.assign(org_id=key[0], qid=qids)[["org_id", "qid", "node_id", "score"]]
 
     keys = ["org_id", "_nb", "_qb"]
     return n.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(score, HIT_SCHEMA)
