@@ -34,7 +34,7 @@ REASONS = {
     "PARSE_FAILED": (4902, "Could not parse file"),
 }
 
-# Value of each field when the stored record lacks it.
+# What each field holds when the stored record lacks it.
 FILE_DEFAULTS = {
     "id": "",
     "remote_id": "",
@@ -80,7 +80,7 @@ INVITATION_DEFAULTS = {
 }
 ACCESS_DEFAULTS = {"id": "", "permissions": [], "created_at": "", "updated_at": ""}
 
-# Fields of a listed file that are not kept in the file table.
+# Fields of a listed file that are not kept in the file table.
 FILE_DROPPED_FIELDS = ["description", "remote_data", "remote_created_at", "remote_updated_at"]
 
 NODE_SCHEMA = T.StructType(

@@ -13,6 +13,10 @@ PARSERS = {
     "txt": (tx.line_elements, lambda content: content),
     "csv": (tx.line_elements, lambda content: content),
     "rtf": (tx.rtf_elements, tx.rtf_blocks),
+    # The raw file scan has already turned these into lines.
+    "docx": (tx.line_elements, lambda content: content),
+    "pptx": (tx.line_elements, lambda content: content),
+    "xlsx": (tx.line_elements, lambda content: content),
 }
 
 
@@ -39,10 +43,12 @@ def whole_text(ext: Column, content: Column) -> Column:
 def check_files(files: DataFrame) -> DataFrame:
     """Adds (code, reason) of the load step. Only the name and the presence of content are looked at."""
     ext = tx.extension(F.col("name"))
+    unreadable = F.col("unreadable") if "unreadable" in files.columns else F.lit(False)
     code, reason = outcome(
         (~ext.isin(SUPPORTED_EXTENSIONS), "FILE_TYPE_NOT_SUPPORTED"),
         (F.col("content").isNull(), "COULD_NOT_DOWNLOAD_FILE"),
         (~ext.isin(list(PARSERS)), "PARSER_NOT_AVAILABLE"),
+        (unreadable, "PARSE_FAILED"),
     )
     return files.withColumns({"code": code, "reason": reason})
 

@@ -56,5 +56,10 @@ def member_list(members: DataFrame, joined: DataFrame, left: DataFrame) -> DataF
     return members.select(*keys).unionByName(joined.select(*keys)).distinct().join(left.select(*keys), keys, "left_anti")
 
 
+def account_owners(users: DataFrame) -> DataFrame:
+    """Owner per account: the first user row, by id, that says it is the account's own."""
+    return users.where("is_me").groupBy("account_token").agg(F.min_by("email", "id").alias("account_id"))
+
+
 def first_owner(users: DataFrame, limit: int = 1) -> DataFrame:
     return users.where("is_me").orderBy("id").limit(limit)

@@ -61,9 +61,7 @@ def next_files(files: DataFrame, changes: DataFrame) -> DataFrame:
     return checked.where("_loaded is null or (_loaded and code is null)").select(*files.columns)
 
 
-def apply_changes(
-    spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame, embedder, batch: int
-) -> DataFrame:
+def write_changes(collection: Collection, changes: DataFrame, files: DataFrame, embedder, batch: int) -> None:
     """Append the batch to the collection. Running the same batch again gives the same collection.
 
     The changes are read for the removals and for the additions, so they are written down first; from their
@@ -72,6 +70,13 @@ def apply_changes(
     change_set = plan_changes(materialize(changes, "changes"), files, embedder)
     collection.write(change_set.added, batch)
     collection.remove(change_set.removed, batch)
+
+
+def apply_changes(
+    spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame, embedder, batch: int
+) -> DataFrame:
+    """Append the batch and return the collection after it."""
+    write_changes(collection, changes, files, embedder, batch)
     return collection.load(spark)
 
 

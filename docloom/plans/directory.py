@@ -165,6 +165,20 @@ def remove_users(requests: DataFrame, users: DataFrame, orgs: DataFrame, members
     )
 
 
+def add_integrations(requests: DataFrame, orgs: DataFrame, owners: DataFrame) -> Changes:
+    """Requests (org_id, admin_id, account_token, provider, ts). New integrations start in status SYNCING.
+
+    A token asked for twice in one batch is taken once; a token the organization already has is replaced.
+    """
+    joined = requests.join(_org_admins(orgs), "org_id", "left").join(owners, "account_token", "left")
+    decided = _decide(joined, _admin_rules("account_token"), ["org_id", "account_token"], "INVALID_ARGUMENT")
+    added = decided.where("code is null").select(
+        "org_id", "account_token", "provider", "account_id", F.lit("SYNCING").alias("status"), F.col("ts").alias("created")
+    )
+    log = added.select("org_id", "account_token", "status", F.col("created").alias("ts"), F.lit(0).alias("seq"))
+    return Changes(_outcomes(decided), {"integrations": added, "status_log": log}, {})
+
+
 def user_organizations(users: DataFrame, orgs: DataFrame) -> DataFrame:
     """Each user with the organization they belong to."""
     homes = orgs.select(F.col("id").alias("organization_id"), F.col("name").alias("org_name"), "admin_id")

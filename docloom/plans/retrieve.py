@@ -53,5 +53,7 @@ def retrieve(
 ) -> DataFrame:
     asked = ask(questions, members, embedder)
     # A few rows per question, needed for the answer and for the sources: the collection is scanned once.
-    kept = materialize(context(nodes, asked, embedder, stages), "context")
-    return payloads(asked, search.extractive_answer(kept), search.sources(kept, files))
+    kept = materialize(context(nodes, asked, embedder, stages).drop("question", "q_embedding"), "context")
+    # The last stage that ranked decides the order of the answer.
+    order = next(c for c in ("recency_rank", "rerank_rank", "rank") if c in kept.columns)
+    return payloads(asked, search.extractive_answer(kept, order=order), search.sources(kept, files))

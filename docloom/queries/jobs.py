@@ -349,6 +349,48 @@ def directory_apply(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(
+    "integration_add",
+    with_ctes(
+        """
+        , request AS (SELECT c_custkey AS request_id, o.id AS org_id, CASE WHEN c_acctbal >= 0 THEN o.admin_id ELSE 'nobody' END AS who,
+                             o.admin_id, 'tok_'||c_nationkey||'_'||c_mktsegment AS account_token, c_mktsegment AS provider
+                      FROM customer JOIN org o ON o.id = 'org_'||c_nationkey)
+        , first AS (SELECT org_id, account_token, min(request_id) AS f FROM request WHERE who = admin_id GROUP BY ALL)
+        , owner AS (SELECT 'tok_'||c_nationkey||'_'||c_mktsegment AS account_token,
+                           arg_min('u'||c_custkey||'@example.com', 'u'||c_custkey) AS account_id
+                    FROM customer WHERE c_acctbal > 0 GROUP BY ALL)
+        SELECT r.org_id, r.account_token, provider, account_id, 'SYNCING' AS status
+        FROM request r JOIN first ON f = request_id LEFT JOIN owner w ON w.account_token = r.account_token""",
+        "org",
+    ),
+)
+def integration_add(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer asks for an account of their market segment in their organization; only admins may."""
+    cust = table(spark, d, "customer").withColumn("org_id", F.concat(F.lit("org_"), F.col("c_nationkey").cast("string")))
+    orgs = fx.orgs(spark, d)
+    token = F.concat(F.lit("tok_"), F.col("c_nationkey").cast("string"), F.lit("_"), F.col("c_mktsegment"))
+    user = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
+    owners = rollup.account_owners(
+        cust.select(
+            token.alias("account_token"),
+            user.alias("id"),
+            F.concat(user, F.lit("@example.com")).alias("email"),
+            (F.col("c_acctbal") > 0).alias("is_me"),
+        )
+    )
+    requests = cust.join(orgs.select(F.col("id").alias("org_id"), F.col("admin_id").alias("boss")), "org_id").select(
+        F.col("c_custkey").alias("request_id"),
+        "org_id",
+        F.when(F.col("c_acctbal") >= 0, F.col("boss")).otherwise("nobody").alias("admin_id"),
+        token.alias("account_token"),
+        F.col("c_mktsegment").alias("provider"),
+        F.lit("1700000000.0").alias("ts"),
+    )
+    done = dr.add_integrations(requests, orgs, owners)
+    return done.puts["integrations"].select("org_id", "account_token", "provider", "account_id", "status")
+
+
 @query("stream_cdc", with_ctes(f"SELECT {NODE_SQL} FROM next_node", "next_node"))
 def stream_cdc(spark: SparkSession, d: str) -> DataFrame:
     """The change feed as a stream, applied in micro-batches; the collection is read back."""

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions import values as v
-from docloom.model import FILE_DEFAULTS, USER_DEFAULTS, WRITE_BATCH
+from docloom.model import FILE_DEFAULTS, INVITATION_DEFAULTS, ORGANIZATION_DEFAULTS, USER_DEFAULTS, WRITE_BATCH
 from docloom.operators import checks, keyed, rollup, sets
+from docloom.operators.documents import check_files
 from docloom.plans.directory import user_organizations
 from docloom.plans.ingest import stored_rows
 from docloom.queries import fixtures as fx
@@ -122,6 +123,29 @@ def user_defaults(spark: SparkSession, d: str) -> DataFrame:
     return v.with_defaults(fx.users(spark, d), USER_DEFAULTS)
 
 
+@query(
+    "org_defaults",
+    with_ctes(
+        """SELECT id, name, email, admin_id, admin_email, CAST(0 AS BIGINT) AS n_listed, '' AS created_at, '' AS updated_at
+           FROM org""",
+        "org",
+    ),
+)
+def org_defaults(spark: SparkSession, d: str) -> DataFrame:
+    shown = v.with_defaults(fx.orgs(spark, d), ORGANIZATION_DEFAULTS)
+    lists = ["user_list", "invited_user_list", "document_list", "link_id_map"]
+    n_listed = sum((F.size(c) for c in lists), F.lit(0)).cast("bigint")
+    return shown.withColumn("n_listed", n_listed).drop(*lists)
+
+
+@query(
+    "invitation_defaults",
+    with_ctes("SELECT id, org_name, org_id, org_user_email, '' AS created_at FROM invite", "invite"),
+)
+def invitation_defaults(spark: SparkSession, d: str) -> DataFrame:
+    return v.with_defaults(fx.invites(spark, d), INVITATION_DEFAULTS)
+
+
 @query(
     "kv_get",
     """SELECT 'd'||d.doc_id AS id, l.quality, l.toxic,
@@ -480,15 +504,16 @@ def first_owner(spark: SparkSession, d: str) -> DataFrame:
     "doc_set_ops",
     with_ctes(
         """
-        SELECT org_id, id AS file_id FROM (SELECT org_id, id FROM file WHERE account_token NOT LIKE '%_web'
+        SELECT org_id, id AS file_id FROM (SELECT org_id, id FROM checked WHERE code IS NULL
              UNION SELECT org_id, file_id FROM change WHERE operation IN ('CREATED','UPDATED'))
         WHERE (org_id, id) NOT IN (SELECT org_id, file_id FROM change WHERE operation = 'DELETED')""",
-        "file",
+        "checked",
         "change",
     ),
 )
 def doc_set_ops(spark: SparkSession, d: str) -> DataFrame:
-    files = fx.files(spark, d).where(~F.col("account_token").endswith("_web"))
+    """Loadable files, and those the change feed adds, without those it deletes."""
+    files = check_files(fx.files(spark, d)).where("code is null")
     feed = fx.changes(spark, d)
     have = files.select("org_id", F.col("id").alias("file_id"))
     added = sets.union_ids(have, sets.load_rows(feed))

@@ -71,10 +71,10 @@ TEXT_CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"""
         SELECT *, {SQL_EXT} AS ext,
                CAST(CASE WHEN {SQL_EXT} NOT IN ({SUPPORTED}) THEN 4102 WHEN content IS NULL THEN 4005
-                    WHEN {SQL_EXT} NOT IN ('html','txt','csv','rtf') THEN 4901 END AS BIGINT) AS code,
+                    WHEN {SQL_EXT} NOT IN ('html','txt','csv','rtf','docx','pptx','xlsx') THEN 4901 END AS BIGINT) AS code,
                CASE WHEN {SQL_EXT} NOT IN ({SUPPORTED}) THEN 'File type not supported'
                     WHEN content IS NULL THEN 'Could not download file'
-                    WHEN {SQL_EXT} NOT IN ('html','txt','csv','rtf') THEN 'No parser for this file type' END AS reason
+                    WHEN {SQL_EXT} NOT IN ('html','txt','csv','rtf','docx','pptx','xlsx') THEN 'No parser for this file type' END AS reason
         FROM file""",
     ),
     "parsed": (

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import extension
 from docloom.model import SUPPORTED_EXTENSIONS
+from docloom.sources.office import OFFICE_EXTENSIONS, office_text
 
 
 def list_files(catalog: DataFrame, account_token: str | None = None) -> DataFrame:
@@ -31,8 +32,18 @@ def list_folder_files(spark: SparkSession, path: str, glob: str = "*") -> DataFr
 
 
 def as_text(raw: DataFrame) -> DataFrame:
-    """Bytes to text; bytes that are not UTF-8 become null content, which the load step quarantines."""
-    return raw.withColumn("content", F.expr("try_validate_utf8(cast(content as string))"))
+    """Bytes to text by extension, with `unreadable` set where that failed.
+
+    Office files give their paragraphs, slides or rows as lines; the others must be UTF-8. Only office bytes go
+    to Python: the function is given null for every other file.
+    """
+    is_office = extension(F.col("name")).isin(OFFICE_EXTENSIONS)
+    from_office = office_text(F.when(is_office, F.col("content")), extension(F.col("name")))
+    decoded = F.when(~is_office, F.expr("try_validate_utf8(cast(content as string))"))
+    text = raw.withColumns({"_text": F.coalesce(from_office, decoded), "_had": F.col("content").isNotNull()})
+    return text.drop("content").withColumn("unreadable", F.col("_had") & F.col("_text").isNull()).withColumn(
+        "content", F.coalesce("_text", F.when(F.col("_had"), F.lit("")))
+    ).drop("_text", "_had")
 
 
 def list_folders(folders: DataFrame, folder_id: str | None = None, drive_id: str | None = None) -> DataFrame:

@@ -8,10 +8,10 @@ own folder only. `compact` rewrites what is visible when the removals have grown
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from docloom.model import NODE_SCHEMA
 
@@ -46,23 +46,26 @@ class Collection:
         """Record whole organizations as dropped by this batch."""
         orgs.select("org_id").write.mode("overwrite").parquet(f"{self.path}/dropped/batch={batch}")
 
-    def _read(self, spark: SparkSession, part: str, schema: T.StructType) -> DataFrame | None:
+    def _read(self, spark: SparkSession, part: str, schema: T.StructType, below: str = "") -> DataFrame | None:
         full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
         try:
-            return spark.read.schema(full).option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}")
+            return spark.read.schema(full).option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}{below}")
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
+            if e.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 
     def load(self, spark: SparkSession, org_id: str | None = None, before: int | None = None) -> DataFrame:
-        """Visible nodes, of one organization (partition pruning) or of all; `before` reads an earlier state."""
+        """Visible nodes, of one organization or of all; `before` reads an earlier state.
+
+        For one organization only its own folders are listed and read.
+        """
 
         def known(df: DataFrame) -> DataFrame:
             df = df if before is None else df.where(F.col("batch") < before)
             return df if org_id is None else df.where(F.col("org_id") == org_id)
 
-        nodes = self._read(spark, "nodes", NODE_SCHEMA)
+        nodes = self._read(spark, "nodes", NODE_SCHEMA, "" if org_id is None else f"/batch=*/org_id={org_id}")
         if nodes is None:
             return spark.createDataFrame([], NODE_SCHEMA)
         nodes = known(nodes)

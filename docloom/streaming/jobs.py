@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from docloom.operators.rollup import metric_rollup
-from docloom.plans.changes import apply_changes
+from docloom.plans.changes import write_changes
 from docloom.plans.retrieve import retrieve
 from docloom.sources.collection import Collection
 
@@ -34,7 +34,7 @@ def sync_collection(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        apply_changes(batch.sparkSession, collection, batch, files(), embedder, batch_id + 1)
+        write_changes(collection, batch, files(), embedder, batch_id + 1)
 
     return _start(changes.writeStream.foreachBatch(apply), checkpoint, available_now)
 

@@ -202,6 +202,14 @@ def test_questions_without_answer_get_the_fallback(spark, held):
     assert 3 not in got, "not a member"
 
 
+def test_stages_can_be_chosen(spark, held):
+    members = spark.createDataFrame([("o1", "u")], "org_id string, user_id string")
+    asked = spark.createDataFrame([(1, "o1", "u", "cherry,three.")], "qid bigint, org_id string, user_id string, text string")
+    plain = rt.retrieve(documents.nodes_of(held, E), held, asked, members, E, stages=[]).head()["payload"]
+    assert plain.startswith('{"response":"cherry,three.')
+    assert plain.count('"url"') == 3
+
+
 def test_stream_of_changes_equals_the_batch(spark, held, tmp_path):
     collection = indexed(spark, held, tmp_path / "c")
     feed = tmp_path / "feed"

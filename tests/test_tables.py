@@ -1,9 +1,11 @@
+import zipfile
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.operators import checks, keyed, rollup, sets
+from docloom.operators import checks, documents, keyed, rollup, sets
 from docloom.sources import catalog
 
 
@@ -120,8 +122,10 @@ def test_folder_scan_does_not_read_content(spark, tmp_path, capsys):
     files = catalog.list_folder_files(spark, str(tmp_path))
     assert ids(files, "name") == ["a.txt", "b.c.html", "bad.txt"]
     assert {r["name"]: r["size"] for r in files.select("name", "size").collect()}["a.txt"] == 5
-    text = {r["name"]: r["content"] for r in catalog.as_text(files).select("name", "content").collect()}
-    assert text == {"a.txt": "hello", "b.c.html": "<p>x</p>", "bad.txt": None}
+    rows = catalog.as_text(files).select("name", "content", "unreadable").collect()
+    assert sorted((r["name"], r["content"], r["unreadable"]) for r in rows) == [
+        ("a.txt", "hello", False), ("b.c.html", "<p>x</p>", False), ("bad.txt", "", True)
+    ]
     files.select("name", "size").explain()
     assert "content" not in capsys.readouterr().out
 
@@ -139,3 +143,31 @@ def test_parallel_write_cuts_slices(spark, tmp_path):
     assert back.count() == 1050
     per_file = back.groupBy(F.input_file_name()).count().agg(F.max("count")).head()[0]
     assert per_file <= 100
+
+
+def zipped(path, parts):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, xml in parts.items():
+            z.writestr(name, xml)
+
+
+def test_office_files_and_broken_ones(spark, tmp_path):
+    w = 'xmlns:w="urn:w"'
+    zipped(tmp_path / "a.docx", {"word/document.xml": f"<w:d {w}><w:p><w:r><w:t>One </w:t><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:t>three</w:t></w:p></w:d>"})
+    slide = '<s xmlns:a="urn:a"><a:p><a:t>slide {}</a:t></a:p></s>'
+    zipped(tmp_path / "b.pptx", {f"ppt/slides/slide{i}.xml": slide.format(i) for i in (10, 2, 1)})
+    zipped(
+        tmp_path / "c.xlsx",
+        {
+            "xl/sharedStrings.xml": '<x xmlns="urn:x"><si><t>name</t></si><si><t>pear</t></si></x>',
+            "xl/worksheets/sheet1.xml": '<x xmlns="urn:x"><row><c t="s"><v>0</v></c><c><v>7</v></c></row><row><c t="s"><v>1</v></c></row></x>',
+        },
+    )
+    (tmp_path / "d.docx").write_bytes(b"not a zip")
+    (tmp_path / "e.rtf").write_text(r"{\rtf1 plain\par}")
+    (tmp_path / "f.pdf").write_bytes(b"%PDF")
+    files = catalog.as_text(catalog.list_folder_files(spark, str(tmp_path)))
+    good, bad = documents.load(files.withColumn("org_id", F.lit("o")).withColumn("process_date", F.lit("")))
+    text = {r["doc_id"].split("/")[-1]: r["text"] for r in good.collect()}
+    assert text == {"a.docx": "One two three", "b.pptx": "slide 1 slide 2 slide 10", "c.xlsx": "name 7 pear", "e.rtf": "plain"}
+    assert sorted((r["name"], r["code"]) for r in bad.collect()) == [("d.docx", 4902), ("f.pdf", 4901)]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions import values as v
+from docloom.model import ACCESS_DEFAULTS, FILE_DEFAULTS, INVITATION_DEFAULTS, ORGANIZATION_DEFAULTS, USER_DEFAULTS
 from docloom.operators import documents
 
 
@@ -111,8 +112,6 @@ def test_typed_records_with_maps(spark):
 
 
 def test_defaults_fill_missing_and_null_fields(spark):
-    from docloom.model import ORGANIZATION_DEFAULTS
-
     df = spark.createDataFrame([("o", None)], "id string, name string")
-    row = v.with_defaults(df, ORGANIZATION_DEFAULTS).head().asDict()
-    assert row == ORGANIZATION_DEFAULTS | {"id": "o"}
+    for defaults in (FILE_DEFAULTS, ORGANIZATION_DEFAULTS, USER_DEFAULTS, INVITATION_DEFAULTS, ACCESS_DEFAULTS):
+        assert v.with_defaults(df, defaults).head().asDict() == defaults | {"id": "o"}
