@@ -40,23 +40,55 @@ def whole_text(ext: Column, content: Column) -> Column:
     return tx.collapse_ws(out)
 
 
-def check_files(files: DataFrame) -> DataFrame:
-    """Adds (code, reason) of the load step. Only the name and the presence of content are looked at."""
+def _name_rules() -> list[tuple[Column, str]]:
     ext = tx.extension(F.col("name"))
-    unreadable = F.col("unreadable") if "unreadable" in files.columns else F.lit(False)
-    code, reason = outcome(
+    return [
         (~ext.isin(SUPPORTED_EXTENSIONS), "FILE_TYPE_NOT_SUPPORTED"),
-        (F.col("content").isNull(), "COULD_NOT_DOWNLOAD_FILE"),
         (~ext.isin(list(PARSERS)), "PARSER_NOT_AVAILABLE"),
-        (unreadable, "PARSE_FAILED"),
-    )
-    return files.withColumns({"code": code, "reason": reason})
+    ]
+
+
+def _parseable() -> Column:
+    return tx.extension(F.col("name")).isin([e for e in SUPPORTED_EXTENSIONS if e in PARSERS])
+
+
+def without_content(files: DataFrame) -> DataFrame:
+    """Parseable files whose content is missing or unreadable, with (code, reason).
+
+    The null test is pushed to the scan, where the statistics of a row group without nulls skip it unread.
+    """
+    parseable = files.where(_parseable())
+    if "unreadable" in files.columns:
+        bad = parseable.where(F.col("content").isNull() | F.col("unreadable"))
+        rules = [(F.col("content").isNull(), "COULD_NOT_DOWNLOAD_FILE"), (F.col("unreadable"), "PARSE_FAILED")]
+    else:
+        bad = parseable.where(F.col("content").isNull())
+        rules = [(F.lit(True), "COULD_NOT_DOWNLOAD_FILE")]
+    code, reason = outcome(*rules)
+    return bad.withColumns({"code": code, "reason": reason}).drop("content")
+
+
+def quarantine(files: DataFrame) -> DataFrame:
+    """Files that cannot be loaded, with (code, reason). Names are judged without reading any content."""
+    code, reason = outcome(*_name_rules())
+    by_name = files.drop("content").withColumns({"code": code, "reason": reason}).where("code is not null")
+    return by_name.unionByName(without_content(files).select(*by_name.columns))
+
+
+def loadable(files: DataFrame) -> DataFrame:
+    """The rows, without content, of the files that can be loaded."""
+    bad = without_content(files).select("org_id", "id")
+    return files.drop("content").where(_parseable()).join(bad, ["org_id", "id"], "left_anti")
 
 
 def load(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, quarantine). Together they hold every file once; parsing runs on good files only."""
-    checked = check_files(files)
-    return parse(checked.where("code is null")), checked.where("code is not null").drop("content")
+    """(documents, quarantine). Together they hold every file once; only the documents read whole contents."""
+    return parse(_readable(files)), quarantine(files)
+
+
+def _readable(files: DataFrame) -> DataFrame:
+    good = files.where(_parseable() & F.col("content").isNotNull())
+    return good.where(~F.col("unreadable")) if "unreadable" in files.columns else good
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -68,8 +100,7 @@ def parse(files: DataFrame) -> DataFrame:
 def split_documents(files: DataFrame) -> DataFrame:
     """One document per text element instead of one per file."""
     parsed = elements(tx.extension(F.col("name")), F.col("content"))
-    good = check_files(files).where("code is null")
-    return good.select(
+    return _readable(files).select(
         "org_id", F.col("id").alias("doc_id"), F.posexplode(parsed).alias("element_idx", "text"), "process_date"
     ).withColumn("element_idx", F.col("element_idx").cast("bigint"))
 

@@ -51,14 +51,17 @@ def next_snapshot(nodes: DataFrame, change_set: ChangeSet) -> DataFrame:
 def next_files(files: DataFrame, changes: DataFrame) -> DataFrame:
     """The file table after the batch: deleted and failed files are gone, reloaded ones stay.
 
-    One row per named file says whether it is loaded again, so the table is joined once.
+    One row per named file says whether it is loaded again, so the table is joined once with the changes, and
+    once with the few files that have no content.
     """
     valid, _ = split(valid_operation(changes))
+    keys = ["org_id", "id"]
     named = valid.groupBy("org_id", F.col("file_id").alias("id")).agg(
         F.bool_or(F.col("operation") != "DELETED").alias("_loaded")
     )
-    checked = documents.check_files(files).join(named, ["org_id", "id"], "left")
-    return checked.where("_loaded is null or (_loaded and code is null)").select(*files.columns)
+    bad = documents.quarantine(files).select(*keys, F.lit(True).alias("_bad"))
+    state = files.join(named, keys, "left").join(bad, keys, "left")
+    return state.where("_loaded is null or (_loaded and _bad is null)").select(*files.columns)
 
 
 def write_changes(collection: Collection, changes: DataFrame, files: DataFrame, embedder, batch: int) -> None:

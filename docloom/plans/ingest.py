@@ -31,8 +31,7 @@ class Ingest:
 def plan_ingest(files: DataFrame, embedder) -> Ingest:
     """Files that fail to load are in `quarantine` and not in the file table."""
     docs, bad = documents.load(files)
-    good = documents.check_files(files).where("code is null").drop("code", "reason")
-    return Ingest(stored_rows(good), bad, docs, documents.embed(documents.chunk(docs), embedder))
+    return Ingest(stored_rows(documents.loadable(files)), bad, docs, documents.embed(documents.chunk(docs), embedder))
 
 
 def file_list(have: DataFrame, ingest: Ingest) -> DataFrame:

@@ -7,7 +7,7 @@ from docloom.functions import text as tx
 from docloom.functions import values as v
 from docloom.model import FILE_DEFAULTS, INVITATION_DEFAULTS, ORGANIZATION_DEFAULTS, USER_DEFAULTS, WRITE_BATCH
 from docloom.operators import checks, keyed, rollup, sets
-from docloom.operators.documents import check_files
+from docloom.operators.documents import loadable
 from docloom.plans.directory import user_organizations
 from docloom.plans.ingest import stored_rows
 from docloom.queries import fixtures as fx
@@ -513,7 +513,7 @@ def first_owner(spark: SparkSession, d: str) -> DataFrame:
 )
 def doc_set_ops(spark: SparkSession, d: str) -> DataFrame:
     """Loadable files, and those the change feed adds, without those it deletes."""
-    files = check_files(fx.files(spark, d)).where("code is null")
+    files = loadable(fx.files(spark, d))
     feed = fx.changes(spark, d)
     have = files.select("org_id", F.col("id").alias("file_id"))
     added = sets.union_ids(have, sets.load_rows(feed))
