@@ -5,11 +5,9 @@ from pyspark.sql import functions as F
 
 from docloom.model import CHUNK_OVERLAP, CHUNK_SIZE
 
-# The characters that count as whitespace when text is split into words.
-WHITESPACE = (
-    r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+# The characters that count as whitespace when text is split into words: all Unicode separators,
+# and the controls tab to carriage return, file to unit separator, and next line.
+WHITESPACE = r"[\pZ\x{09}-\x{0d}\x{1c}-\x{1f}\x{85}]+"
 
 # Html tags that end a text element, and entities that are decoded (ampersand last).
 BLOCK_TAGS = (

@@ -7,36 +7,30 @@ from docloom.functions import text as tx
 from docloom.functions.values import outcome
 from docloom.model import CHUNK_OVERLAP, CHUNK_SIZE, SUPPORTED_EXTENSIONS
 
-# Per extension: content to text elements, and content to text whose elements are parted by whitespace.
-PARSERS = {
-    "html": (tx.html_elements, tx.html_blocks),
-    "txt": (tx.line_elements, lambda content: content),
-    "csv": (tx.line_elements, lambda content: content),
-    "rtf": (tx.rtf_elements, tx.rtf_blocks),
-    # The raw file scan has already turned these into lines.
-    "docx": (tx.line_elements, lambda content: content),
-    "pptx": (tx.line_elements, lambda content: content),
-    "xlsx": (tx.line_elements, lambda content: content),
-}
+# Extensions whose content is marked up, with the functions to elements and to one text.
+MARKUP = {"html": (tx.html_elements, tx.html_blocks), "rtf": (tx.rtf_elements, tx.rtf_blocks)}
+# Extensions whose content is lines; the raw file scan has turned office files into lines.
+LINES = ["txt", "csv", "docx", "pptx", "xlsx"]
+PARSERS = [*MARKUP, *LINES]
 
 
 def elements(ext: Column, content: Column) -> Column:
     """Text elements of a file's content by its extension; null where no parser exists."""
-    out = F.lit(None).cast("array<string>")
-    for name, (parse, _) in PARSERS.items():
-        out = F.when(ext == name, parse(content)).otherwise(out)
+    out = F.when(ext.isin(LINES), tx.line_elements(content))
+    for name, (parse, _) in MARKUP.items():
+        out = out.when(ext == name, parse(content))
     return out
 
 
 def whole_text(ext: Column, content: Column) -> Column:
-    """The clean text of all elements together.
+    """The clean text of all elements together; null where no parser exists.
 
     Collapsing whitespace once over the whole content equals collapsing each element, dropping empty ones,
     joining and cleaning, and never builds the elements.
     """
-    out = F.lit(None).cast("string")
-    for name, (_, flat) in PARSERS.items():
-        out = F.when(ext == name, flat(content)).otherwise(out)
+    out = F.when(ext.isin(LINES), content)
+    for name, (_, flat) in MARKUP.items():
+        out = out.when(ext == name, flat(content))
     return tx.collapse_ws(out)
 
 
@@ -44,7 +38,7 @@ def _name_rules() -> list[tuple[Column, str]]:
     ext = tx.extension(F.col("name"))
     return [
         (~ext.isin(SUPPORTED_EXTENSIONS), "FILE_TYPE_NOT_SUPPORTED"),
-        (~ext.isin(list(PARSERS)), "PARSER_NOT_AVAILABLE"),
+        (~ext.isin(PARSERS), "PARSER_NOT_AVAILABLE"),
     ]
 
 

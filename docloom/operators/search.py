@@ -3,7 +3,7 @@
 `top_k` never forms the join of questions and nodes. Similarities are computed block by block as matrix
 products inside Arrow batches, and only the best k per question leave a block:
 
-* few questions (checked: at most `max_broadcast`): the question vectors are broadcast and the node scan is
+* few questions (checked: at most `max_broadcast` rows and 64 MiB): the question vectors are broadcast and the node scan is
   scored in place, so the collection is not shuffled;
 * more questions: nodes and questions of an organization are cut into blocks by their counts, and each pair
   of blocks is one bounded task. An organization with a third of all nodes has many blocks.
@@ -25,6 +25,7 @@ from docloom.functions.values import parse_process_date
 from docloom.model import RECENCY_TOP_K, RERANK_TOP_N, SENTENCE_CUTOFF, SIMILARITY_TOP_K
 
 MAX_BROADCAST_QUESTIONS = 4096
+MAX_BROADCAST_BYTES = 64 << 20
 HIT_SCHEMA = "org_id string, qid bigint, node_id string, score double"
 # Similarities are compared at this many digits, so that the order of summation cannot decide a rank.
 SCORE_DIGITS = 9
@@ -157,8 +158,8 @@ def top_k(
     questions: DataFrame,
     k: int = SIMILARITY_TOP_K,
     max_broadcast: int = MAX_BROADCAST_QUESTIONS,
-    node_block: int = 20_000,
-    question_block: int = 2_000,
+    node_block: int = 50_000,
+    question_block: int = 10_000,
 ) -> DataFrame:
     """Best k nodes by cosine per question (org_id, qid, embedding) inside its own organization, with `rank`.
 
@@ -168,7 +169,7 @@ def top_k(
     q = questions.select("org_id", "qid", "embedding").where(F.col("embedding").isNotNull())
     # Reads at most one row past the limit, so the check itself is bounded.
     few = q.limit(max_broadcast + 1).toArrow() if max_broadcast > 0 else None
-    bounded = few is not None and few.num_rows <= max_broadcast
+    bounded = few is not None and few.num_rows <= max_broadcast and few.nbytes <= MAX_BROADCAST_BYTES
     if bounded:
         orgs = few.column("org_id").unique().to_pylist()
         if not orgs:
