@@ -13,7 +13,8 @@ def process_date(ts: Column) -> Column:
 
 
 def parse_process_date(text: Column) -> Column:
-    return F.to_timestamp(F.nullif(text, F.lit("")), PROCESS_DATE_FORMAT)
+    """Null for an empty or malformed date."""
+    return F.try_to_timestamp(text, F.lit(PROCESS_DATE_FORMAT))
 
 
 def epoch_string(ts: Column) -> Column:
@@ -26,7 +27,7 @@ def epoch_string(ts: Column) -> Column:
 
 
 def parse_epoch(text: Column) -> Column:
-    return F.timestamp_micros(F.round(F.nullif(text, F.lit("")).cast("decimal(20,6)") * 1_000_000).cast("bigint"))
+    return F.timestamp_micros(F.round(text.try_cast("decimal(20,6)") * 1_000_000).cast("bigint"))
 
 
 def uuid_of(natural_key: Column) -> Column:
@@ -117,7 +118,7 @@ def from_typed(text: Column, fields: dict[str, str]) -> list[Column]:
     for name, tag in fields.items():
         value = record.getField(name).getField(tag)
         if tag == "N":
-            value = value.cast("bigint")
+            value = value.try_cast("bigint")
         elif tag == "L":
             value = F.transform(value, lambda v: v.getField("S"))
         elif tag == "M":

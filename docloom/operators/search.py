@@ -17,6 +17,7 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,11 @@ SLACK = 1e-4
 
 
 def _matrix(vectors: pa.Array | pd.Series) -> np.ndarray:
+    """Rows of vectors; vectors of several lengths, from different embedders, fail here."""
     if isinstance(vectors, pd.Series):
         return np.stack(vectors.to_list())
+    if pc.count_distinct(pc.list_value_length(vectors)).as_py() > 1:
+        raise ValueError("all vectors must have the same length")
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 

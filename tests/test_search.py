@@ -62,6 +62,16 @@ def test_fewer_candidates_than_k(spark):
     assert ranked(search.top_k(n, q, 10)) == {1: ["a", "b"]}
 
 
+@pytest.mark.parametrize("options", [{}, {"max_broadcast": 0}])
+@pytest.mark.parametrize("vectors", [([1.0, 2.0], [1.0, 2.0, 3.0, 4.0]), ([1.0, 2.0, 3.0], [1.0, 2.0, 3.0])])
+def test_vectors_of_other_lengths_fail_the_job(spark, vectors, options):
+    rows = [("o", f"n{i}", v) for i, v in enumerate(vectors)]
+    n = spark.createDataFrame(rows, "org_id string, node_id string, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([("o", 1, [1.0, 1.0])], "org_id string, qid bigint, embedding array<float>")
+    with pytest.raises(Exception, match="same length|same shape|mismatch|must match"):
+        search.top_k(n, q, 10, **options).collect()
+
+
 def test_no_questions(spark):
     n = spark.createDataFrame([("o", "a", [1.0])], "org_id string, node_id string, embedding array<float>")
     q = spark.createDataFrame([], "org_id string, qid bigint, embedding array<float>")

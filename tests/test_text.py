@@ -98,6 +98,12 @@ def test_epoch_text_and_back(spark):
     assert back
 
 
+def test_process_date_and_back(spark):
+    df = spark.createDataFrame([("01/31/2024, 23:59:58",), ("",), ("2024-01-31",), (None,)], "t string")
+    got = [r["x"] for r in df.select(v.process_date(v.parse_process_date(F.col("t"))).alias("x")).collect()]
+    assert got == ["01/31/2024, 23:59:58", None, None, None]
+
+
 def test_array_batches(spark):
     assert one(spark, v.array_batches(F.col("a"), 2), a=[1, 2, 3, 4, 5]) == [[1, 2], [3, 4], [5]]
     assert spark.sql("select array() a").select(v.array_batches(F.col("a").cast("array<int>"), 2).alias("x")).head()["x"] == []
