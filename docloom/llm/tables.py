@@ -1,0 +1,7 @@
+"""The given tables as the operators read them."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
