@@ -1,11 +1,68 @@
-"""From raw documents to token ids: the stages of a training-data pipeline, in order."""
+"""From raw documents to token ids: the stages of a training-data pipeline, in order.
 
+Each stage gets the documents that the one before kept, as written to Parquet, and all but the last return the columns of
+documents. Null texts and texts without letters leave with the first stage; an empty table passes through all.
+"""
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm import bpe, language, minhash, mixing, pii
+from docloom.llm.queries import BYTE_RANKS, KEY, LANGUAGES
+from docloom.session import materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is one of those to be known; `lang` becomes the language found."""
+    model = language.fit_text_model(docs, "text", "lang", LANGUAGES)
+    found = language.identified(docs, model, "doc_id", "text", F.col("lang"), F.col("source"))
+    kept = found.where("not rejected").groupBy("id").agg(F.min("lang").alias("found"))
+    joined = docs.join(kept, docs.doc_id == kept.id)
+    return joined.select("doc_id", "text", F.col("found").alias("lang"), "source", "n_chars")
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near-duplicates, once."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced within its format."""
+    out = pii.pseudonymize(docs, "text", KEY)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by their target weights, globally shuffled: a document comes as often as it draws."""
+    return mixing.mix(docs).select(COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and the digest of what they decode to."""
+    ranks = bpe.read_ranks(BYTE_RANKS)
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", ranks, public_tokenizers.PATTERN)
+    out = bpe.decode(ids.drop("text"), "ids", ranks)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+
 
-STAGES = []
+STAGES = [
+    ("language_id", known_language),
+    ("minhash_near_dedup", one_of_near_duplicates),
+    ("pii_pseudonyms", pseudonyms),
+    ("source_mixing", mixed_sources),
+    ("byte_bpe", token_ids),
+]
+#: SQL cannot express the language and tokenizer stages; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each reads what the one before has written."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
