@@ -29,6 +29,8 @@ SYMBOLS = 1 << BITS
 SCALE = 16.0
 #: Symbols in a stretch, and the symbols without evidence that are added when its ratio is normalised by its length.
 STRETCHES, PRIOR = (8, 40), 4
+#: What a short stretch is counted as passing.
+BARS = (0.3, 0.6, 1.0)
 #: The curve is fitted on at most so many labelled rows, those of least hash. The counts know no bound.
 FIT_ROWS = 20_000
 DISCOUNT = 0.75
@@ -159,16 +161,24 @@ def log_ratios(seq: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.n
 
 
 def _features(ratios: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    """For each text: the ratio per symbol, the highest in stretches of each length, and the log of its length."""
+    """For each text: the ratio per symbol; the highest of its stretches of each length; how many short stretches pass each
+    bar, and how many that is of its length; the log of its length."""
     g, sizes = _sequences_of(texts)
     r = ratios[g].astype(np.float64) / SCALE
     starts, ends = starts_of(sizes), starts_of(sizes) + sizes
     sums = np.concatenate([[0.0], np.cumsum(r)])
     out = [(sums[ends] - sums[starts]) / (sizes + PRIOR)]
+    at, last = np.arange(len(r)), np.repeat(ends, sizes)
     for width in STRETCHES:
-        at = np.arange(len(r))
-        end = np.minimum(at + width, np.repeat(ends, sizes))
-        out.append(np.maximum.reduceat((sums[end] - sums[at]) / (end - at + PRIOR), starts))
+        end = np.minimum(at + width, last)
+        value = (sums[end] - sums[at]) / (end - at + PRIOR)
+        out.append(np.maximum.reduceat(value, starts))
+        if width == STRETCHES[0]:
+            for bar in BARS:
+                over = value > bar
+                over[1:] &= ~over[:-1]
+                n = np.add.reduceat(over.astype(np.float64), starts)
+                out += [np.log1p(n), np.log((n + 0.5) / (sizes + 20))]
     out.append(np.log(sizes))
     return np.column_stack(out)
 
@@ -219,7 +229,7 @@ def scored(df: DataFrame, labels: DataFrame, learn: Column, judge: Column, doc:
     found = counts(labelled.where(learn), "text", "toxic").toPandas()
     ratios = log_ratios(*(found[c].to_numpy(np.int64) for c in ("seq", "toxic", "ordinary"))) if len(found) else np.zeros(1 << (BITS * ORDER), np.int8)
     shared = spark.sparkContext.broadcast(ratios)
-    names = [f"f{k}" for k in range(len(STRETCHES) + 2)]
+    names = [f"f{k}" for k in range(len(STRETCHES) + 2 * len(BARS) + 2)]
     schema = ", ".join(f"{n} double" for n in names)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
