@@ -20,14 +20,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.fit_text_model(docs, "text", "lang", LANGUAGES)
     found = language.identified(docs, model, "doc_id", "text", F.col("lang"), F.col("source"))
     kept = found.where("not rejected").groupBy("id").agg(F.min("lang").alias("found"))
-    joined = docs.join(kept, docs.doc_id == kept.id)
+    joined = docs.join(kept, docs.doc_id.eqNullSafe(kept.id))
     return joined.select("doc_id", "text", F.col("found").alias("lang"), "source", "n_chars")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates, once."""
+    """The document of smallest id of each group of near-duplicates, once. What has no id is in no group and stays."""
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    return one.unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
