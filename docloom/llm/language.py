@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.worker import starts_of
+from docloom.llm.worker import starts_of, text_parts
 from docloom.session import materialize
 
 OTHER = "und"
@@ -87,11 +87,10 @@ def fit_text_model(df: DataFrame, text: str, language: str, languages: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) << BITS, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                bins, n = trigrams(batch.column(0).to_pylist())
-                which = np.repeat(batch.column(1).to_numpy().astype(np.int64), n)
-                total += np.bincount((which << BITS) + bins, minlength=len(total))
+        for batch in text_parts(batches, 0):
+            bins, n = trigrams(batch.column(0).to_pylist())
+            which = np.repeat(batch.column(1).to_numpy().astype(np.int64), n)
+            total += np.bincount((which << BITS) + bins, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
@@ -134,10 +133,9 @@ def identified(
     tongues = [*model.languages, OTHER]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                logs, n = evidence(shared.value, batch.column(3).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n.astype(np.int64)), *(pa.array(c) for c in logs.T)], ["id", "declared", "host", "n", *names])
+        for batch in text_parts(batches, 3):
+            logs, n = evidence(shared.value, batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n.astype(np.int64)), *(pa.array(c) for c in logs.T)], ["id", "declared", "host", "n", *names])
 
     rows = df.select(
         F.col(key).alias("id"),

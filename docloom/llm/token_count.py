@@ -16,11 +16,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.worker import kept, sums
+from docloom.llm.worker import kept, sums, text_parts
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -115,14 +114,8 @@ def token_counts(df: DataFrame, text: str, vocabulary: Vocabulary, out: str = "n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, has_bytes = shared.value
         counter = kept(("unigram", has_bytes, hash(frozenset(scores.items()))), lambda: Counter(Vocabulary(scores, has_bytes)))
-        for batch in batches:
-            ends = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(batch.column(at)), 0)))
-            start = 0
-            while start < batch.num_rows:
-                end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 22), "right")))
-                part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counter.counts(part.column(at).to_pylist()))], [*names, out])
-                start = end
+        for part in text_parts(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counter.counts(part.column(at).to_pylist()))], [*names, out])
 
     rows = df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
     return rows.mapInArrow(run, rows.withColumn(out, F.lit(0).cast("long")).schema)

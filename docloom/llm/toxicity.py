@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.filters import possible_members
-from docloom.llm.worker import starts_of
+from docloom.llm.worker import CHARS, starts_of, text_parts
 
 ORDER, BITS = 5, 5
 SYMBOLS = 1 << BITS
@@ -101,7 +101,7 @@ def counts(labelled: DataFrame, text: str, toxic: str) -> DataFrame:
     """(seq, toxic, ordinary): how often each sequence occurs in the documents of either class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_parts(batches, 0, 4 * CHARS):
             g, sizes = _sequences_of(batch.column(0).to_pylist())
             bad = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
             found, n = np.unique(g.astype(np.int64) * 2 + bad, return_counts=True)
@@ -233,9 +233,7 @@ def scored(df: DataFrame, labels: DataFrame, learn: Column, judge: Column, doc:
     schema = ", ".join(f"{n} double" for n in names)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in text_parts(batches, 1):
             values = _features(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c) for c in values.T)], ["id", "toxic", *names])
 
@@ -244,9 +242,8 @@ def scored(df: DataFrame, labels: DataFrame, learn: Column, judge: Column, doc:
     curve = fit_curve(some[names].to_numpy(float), (some["toxic"].to_numpy() > 0).astype(float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                values = curve(_features(shared.value, batch.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array((values >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
+        for batch in text_parts(batches, 1):
+            values = curve(_features(shared.value, batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array((values >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
     return rows.mapInArrow(score, "id long, score double, predicted int")

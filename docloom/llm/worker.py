@@ -2,8 +2,14 @@
 
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Characters of text that a task works on at once: what is made of them takes some ten to a hundred times the room.
+CHARS = 1 << 20
 
 
 def kept(key, make):
@@ -36,3 +42,19 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.concatenate([[0], np.cumsum(values)])
     cut = np.concatenate([[0], np.cumsum(lengths)])
     return ends[cut[1:]] - ends[cut[:-1]]
+
+
+def parts(batch: pa.RecordBatch, sizes: pa.Array, most: int = CHARS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose sizes sum to at most so much, but of a row at least; nothing of an empty batch."""
+    total = np.cumsum(np.asarray(pc.fill_null(sizes, 0)))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def text_parts(batches: Iterator[pa.RecordBatch], column: int, most: int = CHARS) -> Iterator[pa.RecordBatch]:
+    """All rows in slices of about so many characters in a column of texts."""
+    for batch in batches:
+        yield from parts(batch, pc.utf8_length(batch.column(column)), most)
