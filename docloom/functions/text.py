@@ -1,7 +1,12 @@
-"""Text expressions: whitespace, elements, chunks, sentences. All are built-in column functions."""
+"""Text expressions: whitespace, elements, chunks, sentences. All but character references are built-in functions."""
 
+import html as html_module
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.model import CHUNK_OVERLAP, CHUNK_SIZE
 
@@ -9,27 +14,14 @@ from docloom.model import CHUNK_OVERLAP, CHUNK_SIZE
 # and the controls tab to carriage return, file to unit separator, and next line.
 WHITESPACE = r"[\pZ\x{09}-\x{0d}\x{1c}-\x{1f}\x{85}]+"
 
-# Html tags that end a text element, and entities that are decoded (ampersand last).
+# Html tags that end a text element.
 BLOCK_TAGS = (
     "address|article|aside|blockquote|body|caption|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|"
     "footer|form|h[1-6]|head|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|summary|table|tbody|"
     "td|tfoot|th|thead|title|tr|ul"
 )
-ENTITIES = [
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-]
+# Fixed form: a character reference, by number or by name.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_HIDDEN = r"(?is)<(script|style)(\s[^>]*)?>.*?</(script|style)\s*>"
 HTML_BLOCK = rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>"
@@ -44,10 +36,16 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITESPACE, " "))
 
 
+# What is cleaned from joined elements, and by what.
+CLEAN_UP = ((r"[\t\n]", " "), (" +", " "))
+
+
 def clean_text(elements: Column) -> Column:
     """Elements as one text: joined by newline, then tabs and newlines to spaces, then single spaces."""
-    joined = F.array_join(elements, "\n")
-    return F.regexp_replace(F.regexp_replace(joined, r"[\t\n]", " "), " +", " ")
+    text = F.array_join(elements, "\n")
+    for pattern, to in CLEAN_UP:
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
 def extension(name: Column) -> Column:
@@ -63,6 +61,14 @@ def line_elements(text: Column) -> Column:
     return _non_empty(F.split(text, "\n", -1))
 
 
+@F.pandas_udf(T.StringType())
+def decode_references(texts: pd.Series) -> pd.Series:
+    """All character references of html, each decoded once; the separator of blocks cannot come from one."""
+    decode = lambda m: html_module.unescape(m.group()).replace("\x1e", " ")
+    pattern = re.compile(REFERENCE)
+    return texts.map(lambda t: t if t is None or "&" not in t else pattern.sub(decode, t))
+
+
 def html_blocks(html: Column) -> Column:
     """Visible text of a page, with a separator between blocks."""
     t = F.translate(html, SEPARATOR, " ")
@@ -71,16 +77,15 @@ def html_blocks(html: Column) -> Column:
     t = F.regexp_replace(t, HTML_BLOCK, SEPARATOR)
     t = F.regexp_replace(t, HTML_BREAK, " ")
     t = F.regexp_replace(t, HTML_TAG, "")
-    for entity, char in ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return t
+    return decode_references(t)
 
 
 def html_elements(html: Column) -> Column:
     return _non_empty(F.split(html_blocks(html), SEPARATOR, -1))
 
 
-RTF_HIDDEN = r"(?s)\{\\(\*|fonttbl|colortbl|stylesheet|info|pict)([^{}]|\{[^{}]*\})*\}"
+# Possessive, so that the pattern needs no stack: a picture of any size is one run.
+RTF_HIDDEN = r"(?s)\{\\(?:\*|fonttbl|colortbl|stylesheet|info|pict)(?:[^{}]++|\{[^{}]*+\})*+\}"
 
 
 def rtf_blocks(rtf: Column) -> Column:

@@ -94,3 +94,21 @@ NODE_SCHEMA = T.StructType(
         T.StructField("process_date", T.StringType()),
     ]
 )
+QUARANTINE_SCHEMA = T.StructType(
+    [
+        T.StructField("org_id", T.StringType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("code", T.LongType()),
+        T.StructField("reason", T.StringType()),
+    ]
+)
+REJECTED_SCHEMA = T.StructType(
+    [
+        T.StructField("org_id", T.StringType()),
+        T.StructField("file_id", T.StringType()),
+        T.StructField("operation", T.StringType()),
+        T.StructField("code", T.LongType()),
+        T.StructField("reason", T.StringType()),
+    ]
+)

@@ -18,7 +18,8 @@ def elements(ext: Column, content: Column) -> Column:
     """Text elements of a file's content by its extension; null where no parser exists."""
     out = F.when(ext.isin(LINES), tx.line_elements(content))
     for name, (parse, _) in MARKUP.items():
-        out = out.when(ext == name, parse(content))
+        # Null for all other files: what a parser sends to Python is computed for every row.
+        out = out.when(ext == name, parse(F.when(ext == name, content)))
     return out
 
 
@@ -30,12 +31,13 @@ def whole_text(ext: Column, content: Column) -> Column:
     """
     out = F.when(ext.isin(LINES), content)
     for name, (_, flat) in MARKUP.items():
-        out = out.when(ext == name, flat(content))
+        out = out.when(ext == name, flat(F.when(ext == name, content)))
     return tx.collapse_ws(out)
 
 
 def _name_rules() -> list[tuple[Column, str]]:
-    ext = tx.extension(F.col("name"))
+    # A file without a name has no extension that could be supported.
+    ext = F.coalesce(tx.extension(F.col("name")), F.lit(""))
     return [
         (~ext.isin(SUPPORTED_EXTENSIONS), "FILE_TYPE_NOT_SUPPORTED"),
         (~ext.isin(PARSERS), "PARSER_NOT_AVAILABLE"),
@@ -119,8 +121,13 @@ def chunk(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
 
 
 def embed(nodes: DataFrame, embedder) -> DataFrame:
-    """Adds `embedding`."""
-    return embedder.embed(nodes, "text", "embedding")
+    """Adds `embedding`. A vector that is missing or has another length than the embedder's fails the job."""
+    embedded = embedder.embed(nodes, "text", "embedding")
+    dim = getattr(embedder, "dim", None)
+    if dim is None:
+        return embedded
+    wrong = F.raise_error(F.concat(F.lit("no usable vector for node "), F.col("node_id"))).cast(embedded.schema["embedding"].dataType)
+    return embedded.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong))
 
 
 def nodes_of(files: DataFrame, embedder, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

@@ -30,18 +30,24 @@ def lookup(table: DataFrame, field: str, value: str, *columns: str) -> DataFrame
     return table.where(F.col(field) == value).select(*(columns or ("id",)))
 
 
-def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the last by `order`. The aggregate combines before the shuffle, so a hot key is cheap."""
+def last_per_key(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: the last by `order`, and of equals the greatest by its other columns, in their order.
+
+    The aggregate combines before the shuffle, so a hot key is cheap.
+    """
     rest = [c for c in rows.columns if c != key]
-    picked = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    if not rest:
+        return rows.distinct()
+    first = [order] if order is not None else []
+    # Maps have no order of their own; their entries have.
+    by = [F.array_sort(F.map_entries(c)) if rows.schema[c].dataType.typeName() == "map" else F.col(c) for c in [*first, *rest]]
+    picked = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*[c.alias(f"_{k}") for k, c in enumerate(by)])).alias("_row"))
     return picked.select(key, *[F.col("_row").getField(c).alias(c) for c in rest])
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """Whole-row replacement by key. With `order`, several rows for a key keep the last one."""
-    if order is not None:
-        rows = last_per_key(rows, key, order)
-    rows = rows.select(*table.columns)
+    """Whole-row replacement by key. Several rows for a key leave one, the last by `order` (see `last_per_key`)."""
+    rows = last_per_key(rows, key, order).select(*table.columns)
     return table.join(_distinct(rows, key), key, "left_anti").select(*table.columns).unionByName(rows)
 
 

@@ -1,14 +1,10 @@
 """Similarity search over node collections and the stages after it.
 
-`top_k` never forms the join of questions and nodes. Similarities are computed block by block as matrix
-products inside Arrow batches, and only the best k per question leave a block:
-
-* few questions (checked: at most `max_broadcast` rows and 64 MiB): the question vectors are broadcast and the node scan is
-  scored in place, so the collection is not shuffled;
-* more questions: nodes and questions of an organization are cut into blocks by their counts, and each pair
-  of blocks is one bounded task. An organization with a third of all nodes has many blocks.
-
-Both give the exact top k.
+`top_k` never forms the join of questions and nodes. Both are packed into blocks of their organization where they are
+scanned, a block being one row of ids and a matrix, and the blocks are joined by organization: with few questions the
+planner broadcasts the question blocks by their size and the nodes stay where they are; with many it shuffles both sides
+once, and splits an organization that holds a third of all nodes like any skewed key. A pair of blocks is scored as a
+matrix product, and only the best k per question leave it. The plan is the same at every size, and the top k is exact.
 """
 
 from collections.abc import Callable, Iterator
@@ -17,16 +13,16 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import text as tx
 from docloom.functions.values import parse_process_date
 from docloom.model import RECENCY_TOP_K, RERANK_TOP_N, SENTENCE_CUTOFF, SIMILARITY_TOP_K
 
-MAX_BROADCAST_QUESTIONS = 4096
-MAX_BROADCAST_BYTES = 64 << 20
+#: Numbers in the matrix of a block: 16 MB of single precision.
+NODE_BLOCK, QUESTION_BLOCK = 4 << 20, 1 << 20
 HIT_SCHEMA = "org_id string, qid bigint, node_id string, score double"
 # Similarities are compared at this many digits, so that the order of summation cannot decide a rank.
 SCORE_DIGITS = 9
@@ -36,15 +32,6 @@ SCORE_DIGITS = 9
 SLACK = 1e-4
 
 
-def _matrix(vectors: pa.Array | pd.Series) -> np.ndarray:
-    """Rows of vectors; vectors of several lengths, from different embedders, fail here."""
-    if isinstance(vectors, pd.Series):
-        return np.stack(vectors.to_list())
-    if pc.count_distinct(pc.list_value_length(vectors)).as_py() > 1:
-        raise ValueError("all vectors must have the same length")
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-
-
 def _unit(vectors: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0).astype(np.float32)
@@ -65,126 +52,109 @@ def _best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     return ranked.groupby("q", sort=False).head(k)
 
 
-def _floors(hits: pd.DataFrame, n_questions: int, k: int) -> np.ndarray:
-    """Per question the score a further node must reach; none while it has fewer than k hits."""
-    per = hits.groupby("q")["score"].agg(["size", "min"])
-    full = per[per["size"] == k]
-    floors = np.full(n_questions, -np.inf, dtype=np.float32)
-    floors[full.index.to_numpy()] = full["min"].to_numpy() - SLACK
-    return floors
-
-
-def _score_block(
-    ids: np.ndarray, nodes: np.ndarray, questions: np.ndarray, k: int, seen: pd.DataFrame | None = None
-) -> pd.DataFrame:
-    """Best k nodes of the block, and of the hits seen before it, for each question by its position `q`.
+def _score_block(ids: np.ndarray, nodes: np.ndarray, questions: np.ndarray, k: int) -> pd.DataFrame:
+    """Best k nodes of the block for each question, by its position `q`.
 
     A single-precision product finds every node that can be among the best k, ties included; only those are
-    scored exactly. Hits seen before raise the bar, so later blocks of a scan let little through.
+    scored exactly.
     """
     units, q_units = _unit(nodes), _unit(questions)
-    bars = np.full(len(questions), -np.inf, dtype=np.float32) if seen is None else _floors(seen, len(questions), k)
-    found = [] if seen is None else [seen]
+    found = [pd.DataFrame({"q": np.zeros(0, np.int64), "node_id": ids[:0], "score": np.zeros(0)})]
     for start in range(0, len(questions), 256):
         approx = q_units[start : start + 256] @ units.T
-        bar = bars[start : start + 256].copy()
-        open_ = np.isneginf(bar)
-        if len(ids) > k and open_.any():
-            kth = np.partition(approx[open_], len(ids) - k, axis=1)[:, len(ids) - k]
-            bar[open_] = kth - SLACK
-        q, n = np.nonzero(approx >= bar[:, None])
+        bar = np.full((len(approx), 1), -np.inf, dtype=np.float32)
+        if len(ids) > k:
+            bar = np.partition(approx, len(ids) - k, axis=1)[:, len(ids) - k : len(ids) - k + 1] - SLACK
+        q, n = np.nonzero(approx >= bar)
         q += start
         # Many ties may pass, so the exact scores are taken in bounded pieces.
         for at in range(0, len(q), 65536):
             qs, ns = q[at : at + 65536], n[at : at + 65536]
             hits = pd.DataFrame({"q": qs, "node_id": ids[ns], "score": _exact(nodes[ns], questions[qs])})
             found.append(_best(hits, k))
-    return _best(pd.concat(found, ignore_index=True), k)
+    return _best(pd.concat(found[1:] or found, ignore_index=True), k)
 
 
-def _scan_scorer(questions: pa.Table, k: int) -> Callable:
-    by_org = {
-        org: (rows["qid"].to_numpy(), _matrix(rows["embedding"]))
-        for org, rows in questions.to_pandas().groupby("org_id")
-    }
+def _blocks(df: DataFrame, key: str, numbers: int, prefix: str) -> DataFrame:
+    """Rows of an organization packed where they are scanned: (org_id, ids, dim, vectors).
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, pd.DataFrame] = {}
-        for batch in batches:
-            orgs = batch.column("org_id").to_pandas()
-            ids = batch.column("node_id").to_pandas().to_numpy()
-            for org, at in orgs.groupby(orgs).indices.items():
-                if org in by_org and len(at):
-                    vectors = _matrix(batch.column("embedding").take(pa.array(at)))
-                    best[org] = _score_block(ids[at], vectors, by_org[org][1], k, best.get(org))
-        for org, hits in best.items():
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "org_id": pa.array([org] * len(hits), pa.string()),
-                    "qid": pa.array(by_org[org][0][hits["q"].to_numpy()], pa.int64()),
-                    "node_id": pa.array(hits["node_id"].to_numpy(), pa.string()),
-                    "score": pa.array(hits["score"].to_numpy(), pa.float64()),
-                }
-            )
-
-    return score
-
-
-def _blocked_hits(nodes: DataFrame, questions: DataFrame, k: int, node_block: int, question_block: int) -> DataFrame:
-    n_sizes = nodes.groupBy("org_id").agg(F.ceil(F.count("*") / node_block).cast("int").alias("_nbs"))
-    q_sizes = questions.groupBy("org_id").agg(F.ceil(F.count("*") / question_block).cast("int").alias("_qbs"))
-    sizes = n_sizes.join(q_sizes, "org_id")
-
-    def spread(df: DataFrame, key: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        return (
-            df.join(sizes, "org_id")
-            .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n).cast("bigint")).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-            .drop("_nbs", "_qbs")
-        )
+    A block has at most so many numbers, but a row at least; a task holds four blocks' worth before it gives away what it
+    has, whatever the number of organizations. A row without a vector fails the job.
+    """
+    double = isinstance(df.schema["embedding"].dataType.elementType, T.DoubleType)
+    dtype = np.dtype(np.float64 if double else np.float32)
+    id_type = df.schema[key].dataType
+    arrow_id = pa.string() if isinstance(id_type, T.StringType) else pa.int64()
+    schema = pa.schema([("org_id", pa.string()), (f"{prefix}_ids", pa.list_(arrow_id)), ("dim", pa.int32()), (f"{prefix}_vectors", pa.binary())])
 
-    n = spread(nodes, "node_id", "_nb", "_nbs", "_qb", "_qbs")
-    q = spread(questions, "qid", "_qb", "_qbs", "_nb", "_nbs")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[list, list]] = {}
+        numbers_held = 0
 
-    def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"org_id": [], "qid": [], "node_id": [], "score": []})
-        hits = _score_block(left["node_id"].to_numpy(), _matrix(left["embedding"]), _matrix(right["embedding"]), k)
-        qids = right["qid"].to_numpy()[hits["q"].to_numpy()]
-        return hits.assign(org_id=key[0], qid=qids)[["org_id", "qid", "node_id", "score"]]
+        def block(org, dim: int) -> pa.RecordBatch:
+            ids, vectors = held.pop((org, dim))
+            one = {"org_id": org, f"{prefix}_ids": ids, "dim": dim, f"{prefix}_vectors": b"".join(vectors)}
+            return pa.RecordBatch.from_pylist([one], schema=schema)
 
-    keys = ["org_id", "_nb", "_qb"]
-    return n.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(score, HIT_SCHEMA)
+        for batch in batches:
+            for org, i, vector in zip(*(batch.column(c) for c in ("org_id", key, "embedding"))):
+                values = vector.values
+                if values is None or values.null_count:
+                    raise ValueError(f"{key} {i.as_py()} has no vector")
+                org, dim = org.as_py(), len(values)
+                ids, vectors = held.setdefault((org, dim), ([], []))
+                ids.append(i.as_py())
+                vectors.append(values.to_numpy(zero_copy_only=False).astype(dtype).tobytes())
+                numbers_held += dim
+                if (len(ids) + 1) * dim > numbers:
+                    numbers_held -= len(ids) * dim
+                    yield block(org, dim)
+            while numbers_held > 4 * numbers:
+                largest = max(held, key=lambda k: len(held[k][0]) * k[1])
+                numbers_held -= len(held[largest][0]) * largest[1]
+                yield block(*largest)
+        for group in list(held):
+            yield block(*group)
+
+    rows = df.select("org_id", key, "embedding").where("org_id is not null")
+    ids = "string" if isinstance(id_type, T.StringType) else "bigint"
+    return rows.mapInArrow(pack, f"org_id string, {prefix}_ids array<{ids}>, dim int, {prefix}_vectors binary")
 
 
 def top_k(
-    nodes: DataFrame,
-    questions: DataFrame,
-    k: int = SIMILARITY_TOP_K,
-    max_broadcast: int = MAX_BROADCAST_QUESTIONS,
-    node_block: int = 50_000,
-    question_block: int = 10_000,
+    nodes: DataFrame, questions: DataFrame, k: int = SIMILARITY_TOP_K, node_block: int = NODE_BLOCK, question_block: int = QUESTION_BLOCK
 ) -> DataFrame:
     """Best k nodes by cosine per question (org_id, qid, embedding) inside its own organization, with `rank`.
 
-    With few questions the result has at most k * max_broadcast rows and is marked for broadcast.
+    Vectors of several lengths, from different embedders, fail, and so does a node or question without a vector. What has
+    no organization is in none.
     """
-    n = nodes.select("org_id", "node_id", "embedding").where(F.col("embedding").isNotNull())
-    q = questions.select("org_id", "qid", "embedding").where(F.col("embedding").isNotNull())
-    # Reads at most one row past the limit, so the check itself is bounded.
-    few = q.limit(max_broadcast + 1).toArrow() if max_broadcast > 0 else None
-    bounded = few is not None and few.num_rows <= max_broadcast and few.nbytes <= MAX_BROADCAST_BYTES
-    if bounded:
-        orgs = few.column("org_id").unique().to_pylist()
-        if not orgs:
-            hits = nodes.sparkSession.createDataFrame([], HIT_SCHEMA)
-        else:
-            hits = n.where(F.col("org_id").isin(orgs)).mapInArrow(_scan_scorer(few, k), HIT_SCHEMA)
-    else:
-        hits = _blocked_hits(n, q, k, node_block, question_block)
+    double = [isinstance(df.schema["embedding"].dataType.elementType, T.DoubleType) for df in (nodes, questions)]
+    n_type, q_type = (np.dtype(np.float64 if d else np.float32) for d in double)
+    n, q = _blocks(nodes, "node_id", node_block, "n"), _blocks(questions, "qid", question_block, "q")
+    pairs = n.withColumnRenamed("dim", "n_dim").join(q.withColumnRenamed("dim", "q_dim"), "org_id")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ("org_id", "n_ids", "n_dim", "n_vectors", "q_ids", "q_dim", "q_vectors")
+            for org, ids, dim, vectors, qids, q_dim, q_vectors in zip(*(batch.column(c) for c in names)):
+                if dim != q_dim:
+                    raise ValueError("all vectors must have the same length")
+                held = np.frombuffer(vectors.as_buffer(), n_type).reshape(-1, dim.as_py())
+                asked = np.frombuffer(q_vectors.as_buffer(), q_type).reshape(-1, dim.as_py())
+                hits = _score_block(np.array(ids.as_py(), object), held, asked, k)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "org_id": pa.array([org.as_py()] * len(hits), pa.string()),
+                        "qid": pa.array(np.array(qids.as_py(), np.int64)[hits["q"].to_numpy(np.int64)], pa.int64()),
+                        "node_id": pa.array(hits["node_id"].to_list(), pa.string()),
+                        "score": pa.array(hits["score"].to_numpy(np.float64), pa.float64()),
+                    }
+                )
+
+    hits = pairs.mapInArrow(score, HIT_SCHEMA)
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "node_id")
-    best = hits.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
-    return F.broadcast(best) if bounded else best
+    return hits.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
 def candidates(nodes: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
@@ -259,12 +229,18 @@ def apply_stages(df: DataFrame, stages: list[Callable[[DataFrame], DataFrame]])
     return df
 
 
-def extractive_answer(df: DataFrame, budget: int = 256, order: str = "recency_rank") -> DataFrame:
-    """Answer per question: its retained sentences in rank and text order until `budget` words are used."""
+def extractive_answer(df: DataFrame, budget: int | None = None, order: str = "recency_rank") -> DataFrame:
+    """Answer per question: its retained sentences in rank and text order.
+
+    With a budget, sentences are taken until that many words are used; the one that reaches it is the last and is kept
+    whole, so a question with a sentence always has an answer.
+    """
     each = df.select("qid", order, "node_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
-    running = Window.partitionBy("qid").orderBy(order, "pos").rowsBetween(Window.unboundedPreceding, 0)
-    used = each.withColumn("_used", F.sum(F.size(tx.lower_words(F.col("sentence")))).over(running)).where(F.col("_used") <= budget)
-    parts = used.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(order, "pos", "sentence"))).alias("_s"))
+    if budget is not None:
+        before = Window.partitionBy("qid").orderBy(order, "pos").rowsBetween(Window.unboundedPreceding, -1)
+        used = F.coalesce(F.sum(F.size(tx.lower_words(F.col("sentence")))).over(before), F.lit(0))
+        each = each.withColumn("_used", used).where(F.col("_used") < budget)
+    parts = each.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(order, "pos", "sentence"))).alias("_s"))
     text = F.array_join(F.transform("_s", lambda x: x.getField("sentence")), " ")
     return parts.select("qid", text.alias("response"))
 

@@ -5,9 +5,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.model import QUARANTINE_SCHEMA, REJECTED_SCHEMA
 from docloom.operators import documents
 from docloom.operators.checks import admin_check, split, valid_operation
 from docloom.operators.sets import load_rows
+from docloom.plans.ingest import stored_rows
 from docloom.session import materialize
 from docloom.sources.collection import Collection
 
@@ -64,22 +66,27 @@ def next_files(files: DataFrame, changes: DataFrame) -> DataFrame:
     return state.where("_loaded is null or (_loaded and _bad is null)").select(*files.columns)
 
 
-def write_changes(collection: Collection, changes: DataFrame, files: DataFrame, embedder, batch: int) -> None:
-    """Append the batch to the collection. Running the same batch again gives the same collection.
+def write_changes(spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame, embedder, batch: int) -> None:
+    """Append the batch to the collection as a unit. Running the same batch again gives the same collection.
 
-    The changes are read for the removals and for the additions, so they are written down first; from their
-    size the planner can tell whether to broadcast them against the files.
+    Besides nodes and removals it leaves a record of the file rows that were loaded again, of the files that could not be
+    loaded, and of the changes that were refused; none counts before the batch is published, and all do after.
+
+    The changes are read for each of these, so they are written down first; from their size the planner can tell whether
+    to broadcast them against the files.
     """
     change_set = plan_changes(materialize(changes, "changes"), files, embedder)
-    collection.write(change_set.added, batch)
-    collection.remove(change_set.removed, batch)
+    collection.record(stored_rows(documents.loadable(change_set.reloaded)), "file_rows", batch)
+    collection.record(change_set.quarantine.select(*QUARANTINE_SCHEMA.fieldNames()), "quarantine", batch)
+    collection.record(change_set.rejected.select(*REJECTED_SCHEMA.fieldNames()), "rejected", batch)
+    collection.publish(spark, batch, nodes=change_set.added, removed=change_set.removed)
 
 
 def apply_changes(
     spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame, embedder, batch: int
 ) -> DataFrame:
     """Append the batch and return the collection after it."""
-    write_changes(collection, changes, files, embedder, batch)
+    write_changes(spark, collection, changes, files, embedder, batch)
     return collection.load(spark)
 
 

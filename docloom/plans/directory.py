@@ -29,8 +29,9 @@ def _blank(*names: str) -> Column:
     return out
 
 
-def _key(*parts: str) -> Column:
-    return F.concat_ws("|", *parts)
+def _key(*parts: str | Column) -> Column:
+    """Text that tells any two lists of values apart, nulls and separators included."""
+    return F.to_json(F.array(*parts), {"ignoreNullFields": "false"})
 
 
 def _decide(joined: DataFrame, rules: list[tuple[Column, str]], keys: list[str], late: str) -> DataFrame:
@@ -71,7 +72,7 @@ def register_organizations(requests: DataFrame, orgs: DataFrame) -> Changes:
     joined = requests.withColumns(
         {
             "org_id": organization_id(uuid_of(org_key)),
-            "admin_id": uuid_of(F.concat_ws("|", F.lit("admin"), org_key)),
+            "admin_id": uuid_of(_key(F.lit("admin"), org_key)),
         }
     )
     known = orgs.select(F.col("id").alias("org_id"), F.lit(True).alias("_known"))

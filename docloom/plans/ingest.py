@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.values import epoch_string
-from docloom.model import FILE_DROPPED_FIELDS
+from docloom.model import FILE_DROPPED_FIELDS, QUARANTINE_SCHEMA, STATUSES
 from docloom.operators import documents
 from docloom.operators.sets import except_ids, union_ids
+from docloom.session import materialize
 from docloom.sources.collection import Collection
 
 
@@ -41,16 +42,30 @@ def file_list(have: DataFrame, ingest: Ingest) -> DataFrame:
 
 
 def status_rows(integrations: DataFrame, status: str, seq: int) -> DataFrame:
+    if status not in STATUSES:
+        raise ValueError(f"unknown status {status}")
     return integrations.select(
         "org_id", "account_token", F.lit(status).alias("status"), F.current_timestamp().alias("ts"), F.lit(seq).alias("seq")
     )
 
 
 def run_ingest(
-    spark: SparkSession, files: DataFrame, collection: Collection, embedder, status_path: str | None = None, batch: int = 0
+    spark: SparkSession,
+    files: DataFrame,
+    collection: Collection,
+    embedder,
+    status_path: str | None = None,
+    batch: int = 0,
+    ready: DataFrame | None = None,
 ) -> DataFrame:
-    """Index the files and return the collection. Statuses go INDEXING, then SUCCESS or FAIL, to an append-only log."""
-    integrations = files.select("org_id", "account_token").distinct()
+    """Index the files and return the collection. Statuses go INDEXING, then SUCCESS or FAIL, to an append-only log.
+
+    With `ready` (account_token, readiness; see `sync_readiness`), only files of accounts that are ready are indexed; the others wait for a later
+    run. Nodes, file rows and quarantined files are published together. The integrations are listed once.
+    """
+    if ready is not None:
+        files = files.join(ready.where("readiness = 'ready'").select("account_token").distinct(), "account_token", "left_semi").select(*files.columns)
+    integrations = materialize(files.select("org_id", "account_token").distinct(), "integrations")
 
     def log(status: str, seq: int) -> None:
         if status_path:
@@ -58,7 +73,10 @@ def run_ingest(
 
     log("INDEXING", 1)
     try:
-        collection.write(plan_ingest(files, embedder).nodes, batch)
+        plan = plan_ingest(files, embedder)
+        collection.record(plan.file_rows, "file_rows", batch)
+        collection.record(plan.quarantine.select(*QUARANTINE_SCHEMA.fieldNames()), "quarantine", batch)
+        collection.publish(spark, batch, nodes=plan.nodes)
     except Exception:
         log("FAIL", 2)
         raise
@@ -66,11 +84,11 @@ def run_ingest(
     return collection.load(spark)
 
 
-def counts(ingest: Ingest, nodes: DataFrame) -> DataFrame:
+def counts(file_rows: DataFrame, quarantine: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per organization: files kept, files quarantined, nodes indexed."""
     parts = [
-        ingest.file_rows.select("org_id", F.lit("n_files").alias("what")),
-        ingest.quarantine.select("org_id", F.lit("n_quarantined").alias("what")),
+        file_rows.select("org_id", F.lit("n_files").alias("what")),
+        quarantine.select("org_id", F.lit("n_quarantined").alias("what")),
         nodes.select("org_id", F.lit("n_nodes").alias("what")),
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])

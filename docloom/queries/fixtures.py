@@ -18,11 +18,18 @@ def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
+def as_rtf(text: Column) -> Column:
+    """The text as an rtf document with a font table and a picture; its lines are paragraphs."""
+    escaped = F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), r"([{}])", r"\\$1")
+    head = r"{\rtf1\ansi{\fonttbl{\f0 Arial;}{\f1 Times;}}{\pict\wmetafile8 " + "0a1b" * 50 + r"}\pard\f0 "
+    return F.concat(F.lit(head), F.replace(escaped, F.lit("\n"), F.lit(r"\par ")), F.lit("}"))
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
-    """Listed files with content: every document and every page."""
+    """Listed files: every document and every page with its content, and a file that is refused for every supplier."""
     n = F.substring("source", 4, 10)
     ext = F.element_at(
-        F.array(*[F.lit(e) for e in ("html", "txt", "csv", "txt", "TXT", "pdf", "png", "txt")]),
+        F.array(*[F.lit(e) for e in ("html", "txt", "csv", "txt", "csv", "csv", "html", "txt")]),
         (F.col("doc_id") % 8 + 1).cast("int"),
     )
     base = F.lit("2024-01-01").cast("timestamp")
@@ -61,7 +68,27 @@ def files(spark: SparkSession, d: str) -> DataFrame:
         F.lit("page").alias("description"),
         F.col("html").alias("content"),
     )
-    return docs.unionByName(pages)
+    # No known type, no parser, no content, or no name.
+    kind = (F.col("s_suppkey") % 5).cast("int")
+    name = F.when(kind < 4, F.concat(F.lit("ref."), _text("s_suppkey"), F.lit("."), F.element_at(F.array(*map(F.lit, ("TXT", "pdf", "png", "txt"))), kind + 1)))
+    supplier_org = F.concat(F.lit("org_"), _text("s_nationkey"))
+    refused = table(spark, d, "supplier").select(
+        F.concat(F.lit("s"), _text("s_suppkey")).alias("id"),
+        supplier_org.alias("org_id"),
+        F.concat(F.lit("tok_"), _text("s_nationkey"), F.lit("_sup")).alias("account_token"),
+        F.concat(F.lit("r"), F.col("s_name")).alias("remote_id"),
+        name.alias("name"),
+        F.concat(F.lit("https://files.example.com/s"), _text("s_suppkey")).alias("file_url"),
+        F.lit(1).cast("bigint").alias("size"),
+        F.lit(None).cast("string").alias("mime_type"),
+        F.lit("fold_sup").alias("folder"),
+        F.lit(None).cast("string").alias("drive"),
+        base.alias("modified_at"),
+        process_date(base).alias("process_date"),
+        F.lit("refused").alias("description"),
+        F.when(kind != 3, F.lit("x")).alias("content"),
+    )
+    return docs.unionByName(pages).unionByName(refused)
 
 
 def orgs(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +208,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """
         SELECT 'd'||doc_id AS id, 'org_'||substr(source,4) AS org_id,
                'tok_'||substr(source,4)||'_'||(doc_id%2) AS account_token, 'r'||doc_id AS remote_id,
-               'f.'||doc_id||'.'||(['html','txt','csv','txt','TXT','pdf','png','txt'])[doc_id%8+1] AS name,
+               'f.'||doc_id||'.'||(['html','txt','csv','txt','csv','csv','html','txt'])[doc_id%8+1] AS name,
                'https://files.example.com/d'||doc_id AS file_url, CAST(n_chars AS BIGINT) AS size,
                CAST(NULL AS VARCHAR) AS mime_type, 'fold_'||lang AS folder,
                CASE WHEN lang<>'en' THEN 'drive_'||substr(source,4) END AS drive,
@@ -195,7 +222,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                TIMESTAMP '2024-01-01' + to_days(CAST(page_id%30 AS INT)),
                strftime(TIMESTAMP '2024-01-01' + to_days(CAST(page_id%30 AS INT)), '%m/%d/%Y, %H:%M:%S'),
                html
-        FROM pages""",
+        FROM pages
+        UNION ALL
+        SELECT 's'||s_suppkey, 'org_'||s_nationkey, 'tok_'||s_nationkey||'_sup', 'r'||s_name,
+               CASE WHEN s_suppkey%5 < 4 THEN 'ref.'||s_suppkey||'.'||(['TXT','pdf','png','txt'])[s_suppkey%5+1] END,
+               'https://files.example.com/s'||s_suppkey, CAST(1 AS BIGINT), NULL, 'fold_sup', NULL, TIMESTAMP '2024-01-01',
+               '01/01/2024, 00:00:00', CASE WHEN s_suppkey%5 <> 3 THEN 'x' END
+        FROM supplier""",
     ),
     "org": (
         (),

@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docloom.model import QUARANTINE_SCHEMA, REJECTED_SCHEMA
 from docloom.operators import documents, rollup
 from docloom.plans import changes as ch
 from docloom.plans import directory as dr
@@ -12,7 +14,6 @@ from docloom.queries.fixtures import table, with_ctes
 from docloom.queries.registry import query
 from docloom.queries.texts import EMBEDDER, nodes
 from docloom.session import run_dir
-from docloom.sources.catalog import spread
 from docloom.sources.collection import Collection
 from docloom.streaming import jobs
 
@@ -33,7 +34,7 @@ def _shown(held: DataFrame) -> DataFrame:
 
 def _indexed(spark: SparkSession, d: str, name: str) -> Collection:
     collection = Collection(run_dir(spark, name))
-    collection.write(documents.nodes_of(spread(fx.files(spark, d)), EMBEDDER))
+    collection.publish(spark, nodes=documents.nodes_of(fx.files(spark, d), EMBEDDER))
     return collection
 
 
@@ -60,6 +61,24 @@ def index_load(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "index_load_one",
+    with_ctes(
+        f"""SELECT {NODE_SQL} FROM chunk WHERE org_id = (SELECT max(org_id) FROM chunk)
+            AND (org_id, doc_id) NOT IN (SELECT org_id, file_id FROM change WHERE operation = 'DELETED')""",
+        "chunk",
+        "change",
+    ),
+)
+def index_load_one(spark: SparkSession, d: str) -> DataFrame:
+    """The organization with the last id, after the deletions of the change feed, from its own folders."""
+    collection = _indexed(spark, d, "index_load_one")
+    gone = fx.changes(spark, d).where("operation = 'DELETED'").withColumnRenamed("file_id", "doc_id")
+    collection.publish(spark, 1, removed=gone)
+    last = collection.load(spark).agg(F.max("org_id").alias("o")).first().o
+    return _shown(collection.load(spark, last))
+
+
 @query(
     "index_drop",
     with_ctes(
@@ -74,7 +93,7 @@ def index_drop(spark: SparkSession, d: str) -> DataFrame:
     collection = _indexed(spark, d, "index_drop")
     first = table(spark, d, "region").agg(F.min_by("r_regionkey", "r_name").alias("n_regionkey"))
     gone = table(spark, d, "nation").join(first, "n_regionkey")
-    collection.drop(gone.select(F.concat(F.lit("org_"), F.col("n_nationkey").cast("string")).alias("org_id")), 1)
+    collection.publish(spark, 1, dropped=gone.select(F.concat(F.lit("org_"), F.col("n_nationkey").cast("string")).alias("org_id")))
     return _shown(collection.load(spark))
 
 
@@ -90,10 +109,12 @@ def index_drop(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def ingest(spark: SparkSession, d: str) -> DataFrame:
-    files = spread(fx.files(spark, d))
+    """Read back from what the ingest wrote."""
     path = run_dir(spark, "ingest")
-    held = ing.run_ingest(spark, files, Collection(f"{path}/collection"), EMBEDDER, f"{path}/status")
-    return ing.counts(ing.plan_ingest(files, EMBEDDER), held)
+    collection = Collection(f"{path}/collection")
+    held = ing.run_ingest(spark, fx.files(spark, d), collection, EMBEDDER, f"{path}/status")
+    orgs = T.StructType([T.StructField("org_id", T.StringType())])
+    return ing.counts(collection.recorded(spark, "file_rows", orgs), collection.recorded(spark, "quarantine", orgs), held)
 
 
 @query(
@@ -118,7 +139,7 @@ def ingest_file_list(spark: SparkSession, d: str) -> DataFrame:
 def ingest_status(spark: SparkSession, d: str) -> DataFrame:
     """Status of every integration after its ingest, from the log the ingest wrote."""
     path = run_dir(spark, "ingest_status")
-    ing.run_ingest(spark, spread(fx.files(spark, d)), Collection(f"{path}/collection"), EMBEDDER, f"{path}/status")
+    ing.run_ingest(spark, fx.files(spark, d), Collection(f"{path}/collection"), EMBEDDER, f"{path}/status")
     return rollup.latest_status(spark.read.parquet(f"{path}/status")).select("org_id", "account_token", "status")
 
 
@@ -129,6 +150,28 @@ def cdc_apply(spark: SparkSession, d: str) -> DataFrame:
     return _shown(ch.apply_changes(spark, collection, fx.changes(spark, d), fx.files(spark, d), EMBEDDER, 1))
 
 
+@query(
+    "cdc_refused",
+    with_ctes(
+        """SELECT 'refused' AS part, 'org_'||s_nationkey AS org_id, 's'||s_suppkey AS id, CAST(4501 AS BIGINT) AS code
+           FROM supplier WHERE s_suppkey%2 = 0
+           UNION ALL SELECT 'quarantined', org_id, id, code FROM checked WHERE code IS NOT NULL AND id LIKE 's%'
+             AND CAST(substr(id, 2) AS BIGINT)%2 = 1""",
+        "checked",
+    ),
+)
+def cdc_refused(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' files in the feed: half by an unknown operation, half that cannot be loaded; from the batch's records."""
+    collection = _indexed(spark, d, "cdc_refused")
+    named = fx.files(spark, d).where("folder = 'fold_sup'").select("org_id", F.col("id").alias("file_id"))
+    even = F.substring("file_id", 2, 20).cast("bigint") % 2 == 0
+    feed = named.select("*", F.when(even, "RENAMED").otherwise("UPDATED").alias("operation"))
+    ch.write_changes(spark, collection, feed.unionByName(fx.changes(spark, d)), fx.files(spark, d), EMBEDDER, 1)
+    refused = collection.recorded(spark, "rejected", REJECTED_SCHEMA).select(F.lit("refused").alias("part"), "org_id", F.col("file_id").alias("id"), "code")
+    bad = collection.recorded(spark, "quarantine", QUARANTINE_SCHEMA).select(F.lit("quarantined").alias("part"), "org_id", "id", "code")
+    return refused.unionByName(bad)
+
+
 @query("cdc_snapshot", with_ctes(f"SELECT {NODE_SQL} FROM next_node", "next_node"))
 def cdc_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """The same as one DataFrame, without a store."""
@@ -179,7 +222,7 @@ def integration_cascade(spark: SparkSession, d: str) -> DataFrame:
     asked = held.join(orgs.select(F.col("id").alias("org_id"), "admin_id"), "org_id")
     claimed = F.when(F.col("account_token").endswith("_web"), F.col("admin_id")).otherwise("nobody")
     requests = asked.select("org_id", "account_token", claimed.alias("admin_id"))
-    chunk = documents.chunk(documents.load(spread(fx.files(spark, d)))[0])
+    chunk = documents.chunk(documents.load(fx.files(spark, d))[0])
     done = ch.remove_integrations(requests, orgs, fx.files(spark, d), chunk, held)
     return (
         done.files.select(F.lit("file").alias("part"), "org_id", "id")
@@ -222,7 +265,7 @@ def org_cascade(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("org_"), F.col("s_nationkey").cast("string")).alias("org_id"),
         F.concat(F.lit("u"), F.col("k").cast("string")).alias("admin_id"),
     )
-    chunk = documents.chunk(documents.load(spread(fx.files(spark, d)))[0])
+    chunk = documents.chunk(documents.load(fx.files(spark, d))[0])
     done = ch.remove_organizations(
         requests, fx.orgs(spark, d), fx.files(spark, d), chunk, fx.users(spark, d), fx.members(spark, d), fx.integrations(spark, d)
     )

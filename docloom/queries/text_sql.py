@@ -4,6 +4,8 @@ from docloom.functions import text as tx
 from docloom.model import CHUNK_OVERLAP, CHUNK_SIZE, SUPPORTED_EXTENSIONS
 
 STEP = CHUNK_SIZE - CHUNK_OVERLAP
+# The references that the given pages have, and what they stand for.
+REFERENCES = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#x27;", "'"), ("&amp;", "&")]
 
 
 def lit(text: str) -> str:
@@ -32,7 +34,7 @@ def sql_html(x: str) -> str:
         (tx.HTML_TAG, "''"),
     ):
         t = f"regexp_replace({t}, {lit(pattern)}, {to}, 'g')"
-    for entity, char in tx.ENTITIES:
+    for entity, char in REFERENCES:
         t = f"replace({t}, {lit(entity)}, {lit(char)})"
     return sql_non_empty(f"string_split({t}, chr(30))")
 
@@ -70,9 +72,9 @@ TEXT_CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("file",),
         f"""
         SELECT *, {SQL_EXT} AS ext,
-               CAST(CASE WHEN {SQL_EXT} NOT IN ({SUPPORTED}) THEN 4102 WHEN content IS NULL THEN 4005
+               CAST(CASE WHEN name IS NULL OR {SQL_EXT} NOT IN ({SUPPORTED}) THEN 4102 WHEN content IS NULL THEN 4005
                     WHEN {SQL_EXT} NOT IN ('html','txt','csv','rtf','docx','pptx','xlsx') THEN 4901 END AS BIGINT) AS code,
-               CASE WHEN {SQL_EXT} NOT IN ({SUPPORTED}) THEN 'File type not supported'
+               CASE WHEN name IS NULL OR {SQL_EXT} NOT IN ({SUPPORTED}) THEN 'File type not supported'
                     WHEN content IS NULL THEN 'Could not download file'
                     WHEN {SQL_EXT} NOT IN ('html','txt','csv','rtf','docx','pptx','xlsx') THEN 'No parser for this file type' END AS reason
         FROM file""",
@@ -180,12 +182,10 @@ TEXT_CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("optimized",),
         f"""
         SELECT qid, string_agg(sentence, ' ' ORDER BY recency_rank, pos) AS response
-        FROM (SELECT *, sum(len({sql_words('sentence')})) OVER (PARTITION BY qid ORDER BY recency_rank, pos
-                     ROWS UNBOUNDED PRECEDING) AS used
-              FROM (SELECT qid, recency_rank, pos, s[pos+1] AS sentence
-                    FROM (SELECT *, unnest(range(len(s))) AS pos
-                          FROM (SELECT *, {sql_sentences('text')} AS s FROM optimized))))
-        WHERE used <= 256 GROUP BY qid""",
+        FROM (SELECT qid, recency_rank, pos, s[pos+1] AS sentence
+              FROM (SELECT *, unnest(range(len(s))) AS pos
+                    FROM (SELECT *, {sql_sentences('text')} AS s FROM optimized)))
+        GROUP BY qid""",
     ),
     "src": (
         ("optimized", "file"),

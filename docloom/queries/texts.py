@@ -1,10 +1,10 @@
 """Queries over parsing, loading, chunking, embedding and search."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from docloom.functions import text as tx
 from docloom.functions.vectors import HashedEmbedder, ModelEmbedder, check_embeddings
@@ -15,16 +15,16 @@ from docloom.plans.changes import delete_nodes
 from docloom.queries import fixtures as fx
 from docloom.queries.fixtures import table, with_ctes
 from docloom.queries.registry import query
-from docloom.queries.text_sql import sql_html
+from docloom.queries.text_sql import sql_html, sql_lines
 from docloom.session import materialize
-from docloom.sources.catalog import spread
+from docloom.sources.catalog import as_text
 
 EMBEDDER = HashedEmbedder()
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """Embedded nodes of every loadable file, written once so that later steps read only the columns they need."""
-    return materialize(documents.nodes_of(spread(fx.files(spark, d)), EMBEDDER), "nodes")
+    return materialize(documents.nodes_of(fx.files(spark, d), EMBEDDER), "nodes")
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def parse_html(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def split_elements(spark: SparkSession, d: str) -> DataFrame:
-    return documents.split_documents(spread(fx.files(spark, d)))
+    return documents.split_documents(fx.files(spark, d))
 
 
 @query(
@@ -62,7 +62,7 @@ def split_elements(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def load_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    good, bad = documents.load(spread(fx.files(spark, d)))
+    good, bad = documents.load(fx.files(spark, d))
     nothing = F.lit(None).cast("string")
     return good.select(
         F.col("doc_id").alias("id"), F.lit(None).cast("bigint").alias("code"), nothing.alias("reason"), "text", "process_date"
@@ -70,7 +70,7 @@ def load_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return documents.chunk(documents.load(spread(fx.files(spark, d)))[0])
+    return documents.chunk(documents.load(fx.files(spark, d))[0])
 
 
 @query("chunk_documents", with_ctes("SELECT org_id, node_id, doc_id, chunk_idx, text, process_date FROM chunk", "chunk"))
@@ -78,24 +78,61 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d)
 
 
-@udtf(returnType="chunk_idx bigint, text string")
-class ChunkRows:
-    """Row-to-rows form of the chunker, for callers that bring their own splitting."""
-
-    def eval(self, text: str):
-        words = [w for w in text.split(" ") if w]
-        start = 0
-        while start < len(words):
-            yield start // (CHUNK_SIZE - CHUNK_OVERLAP), " ".join(words[start : start + CHUNK_SIZE])
-            if start + CHUNK_SIZE >= len(words):
-                break
-            start += CHUNK_SIZE - CHUNK_OVERLAP
+def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows-to-rows form of the chunker, for callers that bring their own splitting: Arrow batches (doc_id, text)."""
+    step = CHUNK_SIZE - CHUNK_OVERLAP
+    for batch in batches:
+        ids, places, texts = [], [], []
+        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            words = [w for w in (text or "").split(" ") if w]
+            starts = range(0, max(len(words) - CHUNK_OVERLAP, min(len(words), 1)), step)
+            ids += [doc_id] * len(starts)
+            places += range(len(starts))
+            texts += [" ".join(words[at : at + CHUNK_SIZE]) for at in starts]
+        columns = [pa.array(ids, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk_idx", "text"])
 
 
 @query("udtf_chunker", with_ctes("SELECT doc_id, chunk_idx, text FROM chunk", "chunk"))
 def udtf_chunker(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents.load(spread(fx.files(spark, d)))[0].select("doc_id", F.col("text").alias("whole"))
-    return docs.lateralJoin(ChunkRows(F.col("whole").outer())).select("doc_id", "chunk_idx", "text")
+    docs = documents.load(fx.files(spark, d))[0].select("doc_id", "text")
+    return docs.mapInArrow(chunk_rows, "doc_id string, chunk_idx bigint, text string")
+
+
+@query(
+    "parse_rtf",
+    f"""SELECT doc_id, CAST(i AS BIGINT) AS element_idx, e[i+1] AS text
+        FROM (SELECT doc_id, e, unnest(range(len(e))) AS i FROM (SELECT doc_id, {sql_lines('text')} AS e FROM documents))""",
+)
+def parse_rtf(spark: SparkSession, d: str) -> DataFrame:
+    """Every document written as rtf and parsed again: its lines come back."""
+    rtf = table(spark, d, "documents").select("doc_id", fx.as_rtf(F.col("text")).alias("rtf"))
+    found = rtf.select("doc_id", F.posexplode(tx.rtf_elements(F.col("rtf"))).alias("i", "text"))
+    return found.select("doc_id", F.col("i").cast("bigint").alias("element_idx"), "text")
+
+
+@query(
+    "raw_files",
+    f"""SELECT 'd'||doc_id AS id, coalesce(array_to_string({sql_lines('text')}, ' '), '') AS text, NULL AS code FROM documents WHERE doc_id % 7 <> 0
+        UNION ALL SELECT 'd'||doc_id, NULL, 4902 FROM documents WHERE doc_id % 7 = 0""",
+)
+def raw_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as the bytes of a raw file, read to text and parsed; every seventh is no UTF-8."""
+    broken = F.col("doc_id") % 7 == 0
+    raw = table(spark, d, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
+        F.concat(F.lit("f."), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".rtf")).alias("name"),
+        F.when(broken, F.concat(F.unhex(F.lit("fffe")), F.col("text").cast("binary")))
+        .otherwise(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(fx.as_rtf(F.col("text"))).cast("binary"))
+        .alias("content"),
+        F.lit("o").alias("org_id"),
+        F.lit("").alias("process_date"),
+    )
+    good, bad = documents.load(as_text(raw))
+    none = F.lit(None)
+    return good.select(F.col("doc_id").alias("id"), "text", none.cast("bigint").alias("code")).unionByName(
+        bad.select("id", none.cast("string").alias("text"), "code")
+    )
 
 
 @query(
@@ -166,8 +203,8 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vector_topk_blocked", with_ctes("SELECT qid, org_id, node_id, score, rank FROM topk", "topk"))
 def vector_topk_blocked(spark: SparkSession, d: str) -> DataFrame:
-    """The same without any broadcast, in blocks that also split large organizations."""
-    found = search.top_k(nodes(spark, d), asked(spark, d), max_broadcast=0, node_block=64, question_block=64)
+    """The same in small blocks, so that every organization has several of each kind."""
+    found = search.top_k(nodes(spark, d), asked(spark, d), node_block=64 * EMBEDDER.dim, question_block=64 * EMBEDDER.dim)
     return found.select("qid", "org_id", "node_id", "score", "rank")
 
 

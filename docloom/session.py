@@ -4,12 +4,20 @@ import os
 import tempfile
 import uuid
 
+from pyspark.conf import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _configured() -> bool:
+    """Whether Spark's default settings name the shared folder."""
+    return SparkConf().get("spark.checkpoint.dir") is not None
+
+
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, name: str = "docloom") -> SparkSession:
+    """A session of one process. Its shared folder is a temporary one, unless Spark's defaults name another."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="docloom-")) if not _configured() else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -24,18 +32,11 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, name: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, as the cluster names it in spark.checkpoint.dir.
-
-    Only a local session without the setting gets a temporary folder of its own.
-    """
+    """Folder that every executor can reach, as the cluster names it in spark.checkpoint.dir."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="docloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return configured.rstrip("/")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

@@ -49,7 +49,7 @@ def as_text(raw: DataFrame) -> DataFrame:
 def list_folders(folders: DataFrame, folder_id: str | None = None, drive_id: str | None = None) -> DataFrame:
     """Sub-folders of a folder, of a drive, or of both; at least one is needed."""
     if not folder_id and not drive_id:
-        raise ValueError("Either drive id or folder id is required")
+        raise ValueError("list_folders needs a folder_id or a drive_id")
     if folder_id:
         folders = folders.where(F.col("parent_id") == folder_id)
     if drive_id:
@@ -71,19 +71,6 @@ def list_folders_for(folders: DataFrame, requests: DataFrame) -> DataFrame:
     return by_folder.unionByName(by_drive).select("request_id", *folders.columns)
 
 
-def spread(files: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Scanned files over at least `tasks` tasks (the session's parallelism when not given).
-
-    A table of many splits is returned as it is, without a shuffle. Only a few splits, such as one big row
-    group, are dealt out by id, so that parsing and embedding use every core. Give it scans, not joins:
-    counting the partitions of a plan with shuffles would run them.
-    """
-    wanted = tasks or files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() >= wanted:
-        return files
-    return files.repartition(wanted, "id")
-
-
 def supported(files: DataFrame) -> DataFrame:
     """Files whose extension can be processed. Runs before content is read."""
     return files.where(extension(F.col("name")).isin(SUPPORTED_EXTENSIONS))

@@ -1,9 +1,11 @@
 """Vector collections on plain parquet.
 
-Every change batch appends: new nodes under nodes/batch=<n>/org_id=<o>, and the documents it removes
-under removed/batch=<n>. Reading hides a node when a later batch removed its document. The cost of a
-change is the size of the change, never of the collection, and a batch that is run again overwrites its
-own folder only. `compact` rewrites what is visible when the removals have grown.
+Every change batch appends below three folders, each partitioned by batch and organization: new nodes, the documents it
+removes, and the organizations it drops. A batch counts from the moment its marker is written, which is the last thing
+`publish` does: until then readers see the collection as it was, all of the batch at once after that, and a batch that is
+run again before or after its marker overwrites its own folders only. Reading hides a node when a later batch removed its
+document or dropped its organization. The cost of a change is the size of the change. One organization is read from its
+own folders, nodes and removals alike. `compact` writes what is visible as a new collection when the removals have grown.
 """
 
 from dataclasses import dataclass
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 
 from docloom.model import NODE_SCHEMA
 
+BATCH = T.StructField("batch", T.LongType())
 REMOVED_SCHEMA = T.StructType([T.StructField("org_id", T.StringType()), T.StructField("doc_id", T.StringType())])
 
 
@@ -24,66 +27,86 @@ class Collection:
 
     path: str
 
-    def write(self, nodes: DataFrame, batch: int = 0) -> None:
-        """Write one batch from the executors.
+    def publish(
+        self, spark: SparkSession, batch: int = 0, nodes: DataFrame | None = None, removed: DataFrame | None = None, dropped: DataFrame | None = None
+    ) -> None:
+        """Write one batch as a unit: what it adds, the documents (org_id, doc_id) it removes, the organizations it drops."""
+        if nodes is not None:
+            self.write(nodes, batch)
+        if removed is not None:
+            self.remove(removed, batch)
+        if dropped is not None:
+            self.drop(dropped, batch)
+        spark.range(1).select(F.lit(batch).cast("bigint").alias("batch")).write.mode("overwrite").parquet(f"{self.path}/published/number={batch}")
+
+    def write(self, nodes: DataFrame, batch: int) -> None:
+        """Stage the nodes of a batch, from the executors.
 
         Rebalancing by org keeps a small organization in one file, and adaptive execution splits an
         organization that holds a third of all nodes over many writer tasks.
         """
-        (
-            nodes.select(*NODE_SCHEMA.fieldNames())
-            .hint("rebalance", F.col("org_id"))
-            .write.mode("overwrite")
-            .partitionBy("org_id")
-            .parquet(f"{self.path}/nodes/batch={batch}")
-        )
+        self._stage(nodes.select(*NODE_SCHEMA.fieldNames()), "nodes", batch)
 
     def remove(self, docs: DataFrame, batch: int) -> None:
-        """Record documents (org_id, doc_id) as removed by this batch."""
-        docs.select("org_id", "doc_id").write.mode("overwrite").parquet(f"{self.path}/removed/batch={batch}")
+        """Stage documents (org_id, doc_id) as removed by the batch."""
+        self._stage(docs.select("org_id", "doc_id").distinct(), "removed", batch)
 
     def drop(self, orgs: DataFrame, batch: int) -> None:
-        """Record whole organizations as dropped by this batch."""
-        orgs.select("org_id").write.mode("overwrite").parquet(f"{self.path}/dropped/batch={batch}")
+        """Stage whole organizations as dropped by the batch."""
+        self._stage(orgs.select("org_id", F.lit(True).alias("gone")).distinct(), "dropped", batch)
 
-    def _read(self, spark: SparkSession, part: str, schema: T.StructType, below: str = "") -> DataFrame | None:
-        full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    def record(self, rows: DataFrame, part: str, batch: int) -> None:
+        """Stage other rows that belong to the batch, such as what it refused."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/{part}/batch={batch}")
+
+    def recorded(self, spark: SparkSession, part: str, schema: T.StructType) -> DataFrame:
+        """The rows recorded by published batches, with their batch."""
+        return self._read(spark, part, schema).where(F.col("batch").isin(self.batches(spark)))
+
+    def _stage(self, rows: DataFrame, part: str, batch: int) -> None:
+        dealt = rows.hint("rebalance", F.col("org_id"))
+        dealt.write.mode("overwrite").partitionBy("org_id").parquet(f"{self.path}/{part}/batch={batch}")
+
+    def batches(self, spark: SparkSession) -> list[int]:
+        """Published batches: one number each, as many as batches since the last compaction. Fails without a collection."""
+        rows = spark.read.schema("batch bigint").parquet(f"{self.path}/published").select("batch").collect()
+        return sorted(r.batch for r in rows)
+
+    def _read(self, spark: SparkSession, part: str, schema: T.StructType) -> DataFrame:
+        full = T.StructType([*schema.fields, BATCH])
         try:
-            return spark.read.schema(full).option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}{below}")
+            return spark.read.schema(full).option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}")
         except AnalysisException as e:
+            # The collection is there, but no batch had anything of this kind.
             if e.getCondition() == "PATH_NOT_FOUND":
-                return None
+                return spark.createDataFrame([], full)
             raise
 
     def load(self, spark: SparkSession, org_id: str | None = None, before: int | None = None) -> DataFrame:
         """Visible nodes, of one organization or of all; `before` reads an earlier state.
 
-        For one organization only its own folders are listed and read.
+        Batches and the organization are partitions, so only their folders are read. A path without a collection fails.
         """
+        published = [b for b in self.batches(spark) if before is None or b < before]
 
         def known(df: DataFrame) -> DataFrame:
-            df = df if before is None else df.where(F.col("batch") < before)
+            df = df.where(F.col("batch").isin(published))
             return df if org_id is None else df.where(F.col("org_id") == org_id)
 
-        nodes = self._read(spark, "nodes", NODE_SCHEMA, "" if org_id is None else f"/batch=*/org_id={org_id}")
-        if nodes is None:
-            return spark.createDataFrame([], NODE_SCHEMA)
-        nodes = known(nodes)
-        for part, schema, keys in (
-            ("removed", REMOVED_SCHEMA, ["org_id", "doc_id"]),
-            ("dropped", T.StructType(REMOVED_SCHEMA.fields[:1]), ["org_id"]),
-        ):
-            gone = self._read(spark, part, schema)
-            if gone is None:
-                continue
+        nodes = known(self._read(spark, "nodes", NODE_SCHEMA))
+        dropped = T.StructType([REMOVED_SCHEMA.fields[0], T.StructField("gone", T.BooleanType())])
+        for part, schema, keys in (("removed", REMOVED_SCHEMA, ["org_id", "doc_id"]), ("dropped", dropped, ["org_id"])):
             # The last removal of a key decides, so the anti join sees each key once.
-            last = known(gone).groupBy(*keys).agg(F.max("batch").alias("gone_at"))
+            last = known(self._read(spark, part, schema)).groupBy(*keys).agg(F.max("batch").alias("gone_at"))
             match = [nodes[k] == last[k] for k in keys] + [nodes["batch"] < last["gone_at"]]
             nodes = nodes.join(last, match, "left_anti")
         return nodes.select(*NODE_SCHEMA.fieldNames())
 
     def compact(self, spark: SparkSession, target: str) -> "Collection":
-        """Rewrite the visible nodes as a new collection with a single batch."""
+        """Rewrite the visible nodes as a new collection with a single batch, published when it is whole.
+
+        Its number is that of the last batch, so that a stream which goes on at the new path goes on counting.
+        """
         new = Collection(target)
-        new.write(self.load(spark))
+        new.publish(spark, max(self.batches(spark), default=0), nodes=self.load(spark))
         return new

@@ -30,11 +30,11 @@ def sync_collection(
     """Apply each micro-batch of changes (org_id, file_id, operation) to the collection.
 
     Batch n of the stream is batch n + 1 of the collection (0 is the first load), so a batch that Spark
-    runs again after a failure overwrites what it wrote. `files` gives the file snapshot of the batch.
+    runs again after a failure overwrites what it wrote; readers see it when it is published. `files` gives the file snapshot of the batch.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        write_changes(collection, batch, files(), embedder, batch_id + 1)
+        write_changes(batch.sparkSession, collection, batch, files(), embedder, batch_id + 1)
 
     return _start(changes.writeStream.foreachBatch(apply), checkpoint, available_now)
 

@@ -9,11 +9,9 @@ from docloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session(8, 4, "tests")
     session.sparkContext.setLogLevel("ERROR")
-    shared = str(tmp_path_factory.mktemp("shared"))
-    session.conf.set("spark.checkpoint.dir", shared) if not session.conf.get("spark.checkpoint.dir", None) else None
     return session
 
 

@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.vectors import HashedEmbedder
+from docloom.model import QUARANTINE_SCHEMA, REJECTED_SCHEMA
 from docloom.operators import documents
 from docloom.plans import changes as ch
 from docloom.plans import directory as dr
@@ -70,7 +73,7 @@ def test_failed_ingest_leaves_fail_as_last_status(spark, held, tmp_path):
 
 def indexed(spark, held, path):
     collection = Collection(str(path))
-    collection.write(documents.nodes_of(held, E))
+    collection.publish(held.sparkSession, nodes=documents.nodes_of(held, E))
     return collection
 
 
@@ -117,12 +120,58 @@ def test_collection_reads_one_organization_by_its_partition(spark, held, tmp_pat
     one = collection.load(spark, "o2")
     assert texts(one) == [("o2", "d", "date four.")]
     one.explain()
-    assert "PartitionFilters: [isnotnull(org_id" in capsys.readouterr().out
-    collection.drop(spark.createDataFrame([("o1",)], "org_id string"), 1)
+    assert re.search(r"PartitionFilters: \[[^\]]*org_id#\d+ = o2", capsys.readouterr().out)
+    collection.publish(spark, 1, dropped=spark.createDataFrame([("o1",)], "org_id string"))
     assert texts(collection.load(spark)) == [("o2", "d", "date four.")]
-    collection.write(documents.nodes_of(held.where("id = 'a'"), E), 2)
+    collection.publish(spark, 2, nodes=documents.nodes_of(held.where("id = 'a'"), E))
     assert [t[1] for t in texts(collection.load(spark))] == ["a", "d"], "an organization can come back"
-    assert Collection(str(tmp_path / "nothing")).load(spark).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        Collection(str(tmp_path / "nothing")).load(spark)
+
+
+def test_odd_organization_ids_read_their_rows(spark, tmp_path):
+    orgs = ["q{1}", "a b:c", "x/y", "p%41", "w*?", "[z]"]
+    held = files(spark, *[(o, "t", f"f{k}", "a.txt", f"word{k}.") for k, o in enumerate(orgs)])
+    collection = indexed(spark, held, tmp_path / "c")
+    collection.publish(spark, 1, removed=spark.createDataFrame([("x/y", "f2")], "org_id string, doc_id string"))
+    for k, o in enumerate(orgs):
+        assert texts(collection.load(spark, o)) == ([] if o == "x/y" else [(o, f"f{k}", f"word{k}.")])
+
+
+def test_a_batch_counts_when_it_is_published(spark, held, tmp_path):
+    collection = indexed(spark, held, tmp_path / "c")
+    before = texts(collection.load(spark))
+    # A crash after some of its writes: nothing of the batch is seen.
+    collection.write(documents.nodes_of(held.where("id = 'a'"), E), 1)
+    assert texts(collection.load(spark)) == before
+    collection.remove(spark.createDataFrame([("o1", "a"), ("o1", "b")], "org_id string, doc_id string"), 1)
+    assert texts(collection.load(spark)) == before
+    feed = spark.createDataFrame([("o1", "b", "DELETED"), ("o1", "a", "RENAMED"), ("o1", "g", "UPDATED")], CHANGES)
+    after = texts(ch.apply_changes(spark, collection, feed, held, E, 1))
+    assert [t[1] for t in after] == ["a", "c", "d"]
+    assert [r.file_id for r in collection.recorded(spark, "rejected", REJECTED_SCHEMA).collect()] == ["a"]
+    assert [r.id for r in collection.recorded(spark, "quarantine", QUARANTINE_SCHEMA).where("batch = 1").collect()] == ["g"]
+
+
+def test_files_without_a_name_are_quarantined(spark):
+    held = files(spark, ("o1", "t1", "a", None, "text"), ("o1", "t1", "b", "b.txt", "text"))
+    good, bad = documents.load(held)
+    assert [r.doc_id for r in good.collect()] == ["b"] and [(r.id, r.code) for r in bad.collect()] == [("a", 4102)]
+
+
+def test_only_ready_accounts_are_indexed(spark, held, tmp_path):
+    ready = spark.createDataFrame([("t2", "ready"), ("t1", "pending")], "account_token string, readiness string")
+    got = ing.run_ingest(spark, held, Collection(str(tmp_path / "c")), E, ready=ready)
+    assert [t[1] for t in texts(got)] == ["c"]
+
+
+def test_a_vector_of_another_length_fails_the_job(spark, held):
+    class Short(HashedEmbedder):
+        def embed(self, df, text, out):
+            return df.withColumn(out, F.array(F.lit(1.0).cast("float")))
+
+    with pytest.raises(Exception, match="no usable vector"):
+        documents.nodes_of(held, Short(1)).collect()
 
 
 def test_integration_removal_checks_the_admin_first(spark, held):

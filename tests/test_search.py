@@ -40,14 +40,13 @@ def data():
         org = "hot" if i % 3 else f"o{i % 5}"
         nodes.append((org, f"n{i:03d}", [float(x) for x in rng.integers(0, 3, 4)]))
     nodes.append(("hot", "zero", [0.0] * 4))
-    nodes.append(("hot", "none", None))
     questions = [("hot" if q % 2 else f"o{q % 5}", q, [float(x) for x in rng.integers(0, 3, 4)]) for q in range(60)]
     questions.append(("empty", 99, [1.0] * 4))
     questions.append(("hot", 100, [0.0] * 4))
     return nodes, questions
 
 
-@pytest.mark.parametrize("options", [{}, {"max_broadcast": 0, "node_block": 16, "question_block": 7}, {"max_broadcast": 10}])
+@pytest.mark.parametrize("options", [{}, {"node_block": 16 * 4, "question_block": 7 * 4}, {"node_block": 1}])
 def test_top_k_equals_brute_force_with_ties_and_a_hot_organization(spark, data, options):
     nodes, questions = data
     n = spark.createDataFrame(nodes, "org_id string, node_id string, embedding array<float>").repartition(5)
@@ -62,7 +61,7 @@ def test_fewer_candidates_than_k(spark):
     assert ranked(search.top_k(n, q, 10)) == {1: ["a", "b"]}
 
 
-@pytest.mark.parametrize("options", [{}, {"max_broadcast": 0}])
+@pytest.mark.parametrize("options", [{}, {"node_block": 1}])
 @pytest.mark.parametrize("vectors", [([1.0, 2.0], [1.0, 2.0, 3.0, 4.0]), ([1.0, 2.0, 3.0], [1.0, 2.0, 3.0])])
 def test_vectors_of_other_lengths_fail_the_job(spark, vectors, options):
     rows = [("o", f"n{i}", v) for i, v in enumerate(vectors)]
@@ -78,14 +77,14 @@ def test_no_questions(spark):
     assert search.top_k(n, q).count() == 0
 
 
-def test_top_k_plan_scores_in_the_scan_without_a_node_shuffle(spark, data, capsys):
+def test_top_k_plan_exchanges_blocks_once(spark, data, capsys):
     nodes, questions = data
     n = spark.createDataFrame(nodes, "org_id string, node_id string, embedding array<float>")
     q = spark.createDataFrame(questions, "org_id string, qid bigint, embedding array<float>")
     search.top_k(n, q).explain()
     plan = capsys.readouterr().out
-    assert plan.index("Exchange") < plan.index("MapInArrow"), "the only exchange is above the scoring"
-    assert plan.count("Exchange hashpartitioning") == 1
+    # Without known sizes nothing is broadcast: node blocks, question blocks and hits move once each.
+    assert plan.count("Exchange hashpartitioning") == 3
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
@@ -170,3 +169,19 @@ def test_answer_stays_in_budget(spark):
         "qid bigint, recency_rank bigint, node_id string, text string",
     )
     assert search.extractive_answer(df, 7).head()["response"] == "one two. three four five. six seven."
+    assert search.extractive_answer(df).head()["response"] == "one two. three four five. six seven. eight nine ten."
+
+
+def test_a_long_first_sentence_is_an_answer(spark):
+    long = " ".join(f"w{k}" for k in range(300)) + "."
+    df = spark.createDataFrame([(1, 1, "n1", long + " more.")], "qid bigint, recency_rank bigint, node_id string, text string")
+    assert search.extractive_answer(df).head()["response"] == long + " more."
+    assert search.extractive_answer(df, 256).head()["response"] == long
+
+
+@pytest.mark.parametrize("side", ["node", "question"])
+def test_a_missing_vector_fails_the_job(spark, side):
+    n = spark.createDataFrame([("o", "a", [1.0]), ("o", "b", None if side == "node" else [2.0])], "org_id string, node_id string, embedding array<float>")
+    q = spark.createDataFrame([("o", 1, None if side == "question" else [1.0])], "org_id string, qid bigint, embedding array<float>")
+    with pytest.raises(Exception, match="has no vector"):
+        search.top_k(n, q).collect()

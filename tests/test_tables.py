@@ -130,13 +130,6 @@ def test_folder_scan_does_not_read_content(spark, tmp_path, capsys):
     assert "content" not in capsys.readouterr().out
 
 
-def test_spread_leaves_tables_of_many_splits_alone(spark):
-    few = spark.range(10).selectExpr("cast(id as string) id").coalesce(1)
-    assert catalog.spread(few, 4).rdd.getNumPartitions() == 4
-    many = spark.range(0, 10, 1, 6).selectExpr("cast(id as string) id")
-    assert catalog.spread(many, 4) is many
-
-
 def test_parallel_write_cuts_slices(spark, tmp_path):
     keyed.write_in_batches(spark.range(1050), str(tmp_path / "w"), tasks=2, rows_per_file=100)
     back = spark.read.parquet(str(tmp_path / "w"))
