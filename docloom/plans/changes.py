@@ -92,17 +92,20 @@ def apply_changes(
 
 @dataclass(frozen=True)
 class Removal:
-    """Remaining tables after a removal, and each request's outcome."""
+    """Remaining tables after a removal, each request's outcome, and what the collection loses: documents or organizations."""
 
     outcomes: DataFrame
     files: DataFrame
-    nodes: DataFrame
     others: dict[str, DataFrame]
+    removed: DataFrame | None = None
+    dropped: DataFrame | None = None
 
+    def write(self, spark: SparkSession, collection: Collection, batch: int) -> None:
+        """Take it out of the collection, as one batch of the size of the removal."""
+        collection.publish(spark, batch, removed=self.removed, dropped=self.dropped)
 
-def remove_integrations(
-    requests: DataFrame, orgs: DataFrame, files: DataFrame, nodes: DataFrame, integrations: DataFrame
-) -> Removal:
+
+def remove_integrations(requests: DataFrame, orgs: DataFrame, files: DataFrame, integrations: DataFrame) -> Removal:
     """Requests (org_id, account_token, admin_id): files of the token, their nodes, and the integration go.
 
     The admin is checked before anything is removed.
@@ -110,12 +113,12 @@ def remove_integrations(
     outcomes = materialize(admin_check(requests, orgs), "removals")
     keys = ["org_id", "account_token"]
     allowed = outcomes.where("allowed").select(*keys).distinct()
-    docs = files.select(*keys, F.col("id").alias("doc_id")).join(allowed, keys, "left_semi")
+    docs = files.select(*keys, F.col("id").alias("doc_id")).join(allowed, keys, "left_semi").select("org_id", "doc_id")
     return Removal(
         outcomes,
         files.join(allowed, keys, "left_anti"),
-        delete_nodes(nodes, docs),
         {"integrations": integrations.join(allowed, keys, "left_anti")},
+        removed=docs,
     )
 
 
@@ -123,7 +126,6 @@ def remove_organizations(
     requests: DataFrame,
     orgs: DataFrame,
     files: DataFrame,
-    nodes: DataFrame,
     users: DataFrame,
     members: DataFrame,
     integrations: DataFrame,
@@ -138,11 +140,11 @@ def remove_organizations(
     return Removal(
         outcomes,
         without(files),
-        without(nodes),
         {
             "orgs": without(orgs, "id"),
             "users": without(users, "organization_id"),
             "members": without(members),
             "integrations": without(integrations),
         },
+        dropped=gone,
     )

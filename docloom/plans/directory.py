@@ -22,6 +22,35 @@ class Changes:
     deletes: dict[str, DataFrame]
 
 
+#: What tells the rows of a table apart. Other tables are logs, to which rows are added.
+KEYS = {
+    "orgs": ["id"],
+    "invites": ["id"],
+    "users": ["id"],
+    "members": ["org_id", "user_id"],
+    "integrations": ["org_id", "account_token"],
+}
+
+
+def apply(tables: dict[str, DataFrame], done: Changes) -> dict[str, DataFrame]:
+    """The tables after a batch: deleted keys are gone, rows that are put replace those of their key.
+
+    Put rows may lack columns of their table, which are then null. Tables without changes stay as they are.
+    """
+    out = dict(tables)
+    for name, keys in done.deletes.items():
+        if name in out:
+            out[name] = out[name].join(keys.distinct(), keys.columns, "left_anti")
+    for name, rows in done.puts.items():
+        if name in out:
+            have, keys = out[name], KEYS.get(name)
+            if keys:
+                have = have.join(rows.select(*keys).distinct(), keys, "left_anti")
+            rows = rows.select(*[c for c in rows.columns if c in have.columns])
+            out[name] = have.unionByName(rows, allowMissingColumns=True).select(*tables[name].columns)
+    return out
+
+
 def _blank(*names: str) -> Column:
     out = F.lit(False)
     for name in names:

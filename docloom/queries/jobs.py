@@ -217,16 +217,17 @@ REMOVAL_REQUESTS_SQL = """
     ),
 )
 def integration_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Admins ask to remove their web account; the requests for the other accounts come from nobody."""
+    """Admins ask to remove their web account, the others' requests come from nobody; nodes are read back from the store."""
     orgs, held = fx.orgs(spark, d), fx.integrations(spark, d)
     asked = held.join(orgs.select(F.col("id").alias("org_id"), "admin_id"), "org_id")
     claimed = F.when(F.col("account_token").endswith("_web"), F.col("admin_id")).otherwise("nobody")
     requests = asked.select("org_id", "account_token", claimed.alias("admin_id"))
-    chunk = documents.chunk(documents.load(fx.files(spark, d))[0])
-    done = ch.remove_integrations(requests, orgs, fx.files(spark, d), chunk, held)
+    done = ch.remove_integrations(requests, orgs, fx.files(spark, d), held)
+    collection = _indexed(spark, d, "integration_cascade")
+    done.write(spark, collection, 1)
     return (
         done.files.select(F.lit("file").alias("part"), "org_id", "id")
-        .unionByName(done.nodes.select(F.lit("node").alias("part"), "org_id", F.col("node_id").alias("id")))
+        .unionByName(collection.load(spark).select(F.lit("node").alias("part"), "org_id", F.col("node_id").alias("id")))
         .unionByName(
             done.others["integrations"].select(F.lit("integration").alias("part"), "org_id", F.col("account_token").alias("id"))
         )
@@ -259,23 +260,24 @@ def integration_cascade(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def org_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Each nation's first supplier number claims to be the admin; the organizations where that is true go."""
+    """Each nation's first supplier number claims to be the admin; where that is true, the organization leaves tables and store."""
     claims = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("k"))
     requests = claims.select(
         F.concat(F.lit("org_"), F.col("s_nationkey").cast("string")).alias("org_id"),
         F.concat(F.lit("u"), F.col("k").cast("string")).alias("admin_id"),
     )
-    chunk = documents.chunk(documents.load(fx.files(spark, d))[0])
     done = ch.remove_organizations(
-        requests, fx.orgs(spark, d), fx.files(spark, d), chunk, fx.users(spark, d), fx.members(spark, d), fx.integrations(spark, d)
+        requests, fx.orgs(spark, d), fx.files(spark, d), fx.users(spark, d), fx.members(spark, d), fx.integrations(spark, d)
     )
+    collection = _indexed(spark, d, "org_cascade")
+    done.write(spark, collection, 1)
 
     def part(name: str, df: DataFrame, org: str, key: str) -> DataFrame:
         return df.select(F.lit(name).alias("part"), F.col(org).alias("org_id"), F.col(key).alias("id"))
 
     return (
         part("file", done.files, "org_id", "id")
-        .unionByName(part("node", done.nodes, "org_id", "node_id"))
+        .unionByName(part("node", collection.load(spark), "org_id", "node_id"))
         .unionByName(part("org", done.others["orgs"], "id", "name"))
         .unionByName(part("user", done.others["users"], "organization_id", "id"))
         .unionByName(part("member", done.others["members"], "org_id", "user_id"))
@@ -392,6 +394,41 @@ def directory_apply(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(
+    "directory_tables",
+    with_ctes(
+        DIRECTORY_SQL[: DIRECTORY_SQL.rindex("SELECT action, request_id, code IS NULL")]
+        + """
+        SELECT 'org' AS part, o.id AS id, CASE WHEN f IS NULL THEN o.admin_id ELSE 'new'||f END AS value
+          FROM org o LEFT JOIN adm_ok ON adm_ok.org_id = o.id
+        UNION ALL SELECT 'invite', id, org_id FROM invite WHERE id NOT IN
+          (SELECT uid FROM can WHERE request_id IN (SELECT request_id FROM alls WHERE action = 'cancel' AND code IS NULL))
+        UNION ALL SELECT 'user', 'u'||c_custkey, 'org_'||c_nationkey FROM customer WHERE c_custkey NOT IN
+          (SELECT request_id FROM rm)
+        UNION ALL SELECT 'member', 'u'||c_custkey, 'org_'||c_nationkey FROM customer WHERE c_custkey NOT IN
+          (SELECT request_id FROM rm)""".replace("FROM rm)", "FROM alls WHERE action = 'remove_user' AND code IS NULL)"),
+        "org",
+        "invite",
+    ),
+)
+def directory_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Organizations, invitations, users and members after their batches of requests are applied."""
+    done = directory_changes(spark, d)
+    tables = {"orgs": fx.orgs(spark, d), "invites": fx.invites(spark, d), "users": fx.users(spark, d), "members": fx.members(spark, d)}
+    for action in ("cancel", "remove_user", "change_admin"):
+        tables = dr.apply(tables, done[action])
+
+    def part(name: str, df: DataFrame, key: str, value: str) -> DataFrame:
+        return df.select(F.lit(name).alias("part"), F.col(key).alias("id"), F.col(value).alias("value"))
+
+    return (
+        part("org", tables["orgs"], "id", "admin_id")
+        .unionByName(part("invite", tables["invites"], "id", "org_id"))
+        .unionByName(part("user", tables["users"], "id", "organization_id"))
+        .unionByName(part("member", tables["members"], "user_id", "org_id"))
+    )
+
+
 @query(
     "integration_add",
     with_ctes(

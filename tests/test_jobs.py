@@ -174,16 +174,26 @@ def test_a_vector_of_another_length_fails_the_job(spark, held):
         documents.nodes_of(held, Short(1)).collect()
 
 
-def test_integration_removal_checks_the_admin_first(spark, held):
+def test_integration_removal_checks_the_admin_first(spark, held, tmp_path):
     orgs = spark.createDataFrame([("o1", "boss"), ("o2", "chief")], "id string, admin_id string")
     requests = spark.createDataFrame([("o1", "t1", "boss"), ("o2", "t3", "boss")], "org_id string, account_token string, admin_id string")
     links = spark.createDataFrame([("o1", "t1"), ("o1", "t2"), ("o2", "t3")], "org_id string, account_token string")
-    done = ch.remove_integrations(requests, orgs, held, documents.nodes_of(held, E), links)
+    done = ch.remove_integrations(requests, orgs, held, links)
+    collection = indexed(spark, held, tmp_path / "c")
+    done.write(spark, collection, 1)
     assert sorted(r["id"] for r in done.files.collect()) == ["c", "d"]
-    assert [t[1] for t in texts(done.nodes)] == ["c", "d"]
+    assert [t[1] for t in texts(collection.load(spark))] == ["c", "d"]
     assert sorted(r["account_token"] for r in done.others["integrations"].collect()) == ["t2", "t3"]
 
 
+def test_directory_changes_are_applied_to_tables(spark):
+    tables = {"users": spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int"), "members": spark.createDataFrame([("o", "a")], "org_id string, user_id string")}
+    puts = {"users": spark.createDataFrame([("b", 3), ("c", None)], "id string, n int"), "links": tables["members"]}
+    deletes = {"users": spark.createDataFrame([("a",)], "id string"), "members": tables["members"]}
+    after = dr.apply(tables, dr.Changes(tables["users"], puts, deletes))
+    assert sorted(map(tuple, after["users"].collect())) == [("b", 3), ("c", None)] and after["members"].count() == 0
+
+
 def test_directory_requests(spark):
     orgs = spark.createDataFrame([("o", "Org", "o@x", "boss", "boss@x")], "id string, name string, email string, admin_id string, admin_email string")
     invites = spark.createDataFrame([("i1", "o", "Org", "i1@x")], "id string, org_id string, org_name string, org_user_email string")
