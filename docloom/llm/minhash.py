@@ -8,9 +8,9 @@ similarity 0.75 meets in some bucket but for one in ten million, whatever its di
 
 Equal sets are one class before anything is joined. A bucket does not emit its pairs. First every member is paired with
 the bucket's smallest; confirmed pairs make components. Only buckets that still hold several components are compared
-further, in tiles of bounded size, and give those pairs of different components whose signatures are close enough. All
-pairs are confirmed on full sets, which are read again for the documents concerned only. Pairs within a component are
-never needed, so large groups cost as much as their members, and no bucket is capped.
+further, in tiles of bounded size: members are counted against those of other components, on full sets, and what comes out
+is links that join two components. Sets are read again for the documents concerned only. Pairs within a component are
+never needed, rows never more than members, and no bucket is capped.
 """
 
 from collections.abc import Iterator
@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
+from docloom.llm.filters import possible_members
 from docloom.llm.shingles import shingle_sets, spread
+from docloom.llm.worker import CHARS, gather, starts_of, text_parts
 from docloom.session import materialize
 
 SYMBOLS, CHUNK = 48, 4
-#: Signatures of a pair of similarity 0.75 differ in more symbols than this once in a hundred million pairs.
-FAR = 30
-TILE = 2048
+#: Members of a tile, and the shingles they may have together on average.
+TILE, TILE_SHINGLES = 2048, 1 << 22
 _rng = np.random.default_rng(20240229)
 ODD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FLIP = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -58,7 +59,7 @@ def shingled(df: DataFrame, doc: str, text: str, words: int) -> DataFrame:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_parts(batches, 1, 4 * CHARS):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             signatures = [signature(s).tobytes() if len(s) else None for s in sets]
@@ -84,15 +85,16 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def sets_of(df: DataFrame, ids: DataFrame, doc: str, text: str, words: int) -> DataFrame:
-    """(id, hashes) of the documents in `ids`: their full sets."""
+    """(id, n, hashes) of the documents in `ids`: their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+        for batch in text_parts(batches, 1, 4 * CHARS):
+            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "hashes"])
 
-    rows = df.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, hashes binary")
+    rows = df.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
+    return possible_members(rows, ids, "id").join(ids, "id", "left_semi").mapInArrow(run, "id long, n long, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -115,47 +117,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def close_across_components(members: DataFrame) -> DataFrame:
-    """(a, b) with a < b from one bucket, of different components, whose signatures differ in at most FAR symbols.
+def links_across_components(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) linked, enough of them to join all components that links within buckets join.
 
-    members: key, id, component, signature. A bucket of many members is cut into tiles, and each pair of tiles is a group
-    of its own of at most 2 x TILE members or so; groups are compared one by one as their rows stream by.
+    members: key, id, component, n, hashes, signature. A bucket with many members, or much in them, is cut into tiles, and
+    each pair of tiles is a group of its own; groups are compared one by one as their rows stream by. Two members of
+    different components are counted exactly, in the first bucket that they share only. What a group emits is no more than
+    its members, since a link within a component is of no use.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     cells = members.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "signature")
+    columns = ["own", "id", "component", "signature", "hashes"]
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        i, j = group[0][1], group[0][2]
-        own, ids, component = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5))
-        s = np.frombuffer(b"".join(r[6] for r in group), np.uint16).reshape(-1, SYMBOLS)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for at in left:
-            near = (s[at] != s[right]).sum(axis=1) <= FAR
-            hit = right[near & (component[right] != component[at])]
-            hit = hit[ids[hit] > ids[at]] if i == j else hit
-            a.append(np.full(len(hit), ids[at]))
-            b.append(ids[hit])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return np.minimum(a, b), np.maximum(a, b)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 3):
-            if len(group) > 1:
-                a, b = compare(group)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            key, i, j = group[0][:3]
+            own, ids, component = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5))
+            signatures = np.frombuffer(b"".join(r[6] for r in group), np.uint16).reshape(-1, SYMBOLS)
+            sets = [np.frombuffer(r[7], np.uint64) for r in group]
+            links = linked_sets(key >> 48, signatures, sets, component, own == i, own == j, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[[x for x, _ in links]], pa.int64()), pa.array(ids[[y for _, y in links]], pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of b the first chunk and symbol left out that its signature shares with a, as numbered in keys; -1 without."""
+    equal = (b == a).reshape(len(b), SYMBOLS // CHUNK, CHUNK)
+    n = equal.sum(axis=2)
+    chunk = (n >= CHUNK - 1).argmax(axis=1)
+    rows = np.arange(len(b))
+    left_out = np.where(n[rows, chunk] == CHUNK, 0, (~equal[rows, chunk]).argmax(axis=1))
+    return np.where(n[rows, chunk] >= CHUNK - 1, chunk * CHUNK + left_out, -1)
+
+
+def linked_sets(
+    bucket: int, signatures: np.ndarray, sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int
+) -> list[tuple[int, int]]:
+    """Links (x of left, y of right) between sets of different components, until none is left that joins two."""
+    n = np.array([len(s) for s in sets])
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = starts_of(n)
+    here = np.zeros(len(every), np.int32)
+    component = component.copy()
+    links = []
+    for x in np.flatnonzero(left):
+        # The intersection is no larger than the smaller set, the union no smaller than the larger one.
+        near = right & (component != component[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        ys = np.flatnonzero(near)
+        ys = ys[first_shared(signatures[x], signatures[ys]) == bucket]
+        if not len(ys):
+            continue
+        own = place[starts[x] : starts[x] + n[x]]
+        here[own] = 1
+        shared = np.add.reduceat(here[place[gather(starts[ys], n[ys])]], starts_of(n[ys]))
+        here[own] = 0
+        for y in ys[100 * shared >= percent * (n[x] + n[ys] - shared)]:
+            if component[y] != component[x]:
+                links.append((int(x), int(y)))
+                component[component == component[y]] = component[x]
+    return links
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Runs of rows that are equal in the first columns, across batches."""
     run: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+    for part in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
+        for row in zip(*(c.to_pylist() for c in part.columns)):
             if run and row[:keys] != run[0][:keys]:
                 yield run
                 run = []
@@ -192,12 +223,12 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", word
     rest = shared.where("id > a").join(of.withColumnRenamed("node", "id"), "id", "left")
     rest = rest.select("key", "id", F.coalesce("component", "id").alias("component"))
     open_keys = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    more = close_across_components(rest.join(open_keys, "key").join(classes.select("id", "signature"), "id"))
+    more = links_across_components(rest.join(open_keys, "key").join(hashes, "id").join(classes.select("id", "signature"), "id"), percent)
 
     # A class is linked with all its documents, and so are classes that one id has texts in.
     same = sets.select("id", "set_key").distinct().join(classes.select("set_key", F.col("id").alias("a")), "set_key")
     same = same.where("id <> a").select("a", F.col("id").alias("b"))
-    of = components(links.unionByName(confirmed(more, hashes, percent)).unionByName(same), name="components")
+    of = components(links.unionByName(more).unionByName(same), name="components")
     out = rows.join(of, rows.id == of.node, "left")
     component = F.coalesce("component", "id")
     return out.select(

@@ -5,10 +5,11 @@ import xxhash
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
+KEPT_WORDS = 200_000
 
 
 class WordHashes(dict):
-    """Hash of a word, computed once per batch."""
+    """Hash of a word, computed once while it is kept."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = value = xxhash.xxh3_64_intdigest(word)
@@ -38,13 +39,15 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
     sequence as the one shingle; a text without words, or null, has none.
     """
     known = WordHashes()
-    # Bytes: lower() and split() of bytes know ASCII alone.
-    split = [text.encode("utf-8", "surrogatepass").lower().split() if text else [] for text in texts]
     out = []
-    for found in split:
+    for text in texts:
+        # Bytes: lower() and split() of bytes know ASCII alone.
+        found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         if 0 < len(h) < words:
             out.append(rolled(h, len(h)) ^ np.uint64(len(h)))
         else:
             out.append(np.unique(rolled(h, words)) if len(h) else h)
+        if len(known) > KEPT_WORDS:
+            known.clear()
     return out
