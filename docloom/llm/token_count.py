@@ -9,6 +9,7 @@ neighbours of that kind count as one together where it has none.
 Words are cut where the vocabulary cannot reach across, so that equal words of a task are counted once.
 """
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from docloom.llm.worker import kept, sums, text_parts
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -62,31 +63,36 @@ class Counter:
     def count(self, word: str) -> int:
         """Pieces of the best path."""
         n = len(word)
-        if not n:
-            return 0
-        best: list[float | None] = [None] * (n + 1)
-        # Pieces up to each place; and whether the last is unknown.
-        count, unknown = [0] * (n + 1), [False] * (n + 1)
-        best[0] = 0.0
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(word):
-            ending[end + 1].append(match)
-        for end in range(1, n + 1):
-            matches = sorted(ending[end], reverse=True)
-            if not matches or matches[-1][0] != 1:
-                matches.append((1, None))
-            for length, score in matches:
-                begin = end - length
-                total = best[begin] + (self.unknown if score is None else score)
-                if best[end] is None or total > best[end]:
-                    best[end] = total
-                    unknown[end] = score is None
-                    if score is not None:
-                        count[end] = count[begin] + 1
-                    elif self.bytes:
-                        count[end] = count[begin] + len(word[begin].encode("utf-8", "surrogatepass"))
-                    else:
-                        count[end] = count[begin] + (not unknown[begin])
+        # Best score and pieces up to each place, and whether the last piece is unknown.
+        best, count, unknown = [0.0] + [-math.inf] * n, [0] * (n + 1), [False] * (n + 1)
+
+        def alone(end: int):
+            total = best[end - 1] + self.unknown
+            if total > best[end]:
+                best[end], unknown[end] = total, True
+                if self.bytes:
+                    count[end] = count[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
+                else:
+                    count[end] = count[end - 1] + (not unknown[end - 1])
+
+        # Matches come by their ends, and those of one end by length, the longest first: so the first of equals begins first.
+        at, by_itself = 0, True
+        for end, (length, score) in self.automaton.iter(word):
+            end += 1
+            if end != at:
+                if not by_itself:
+                    alone(at)
+                for k in range(at + 1, end):
+                    alone(k)
+                at, by_itself = end, False
+            total = best[end - length] + score
+            if total > best[end]:
+                best[end], count[end] = total, count[end - length] + 1
+            by_itself = by_itself or length == 1
+        if not by_itself:
+            alone(at)
+        for k in range(at + 1, n + 1):
+            alone(k)
         return count[n]
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
