@@ -75,11 +75,9 @@ class Feistel:
                 F.sequence(F.lit(0), F.floor(F.length(x) / 64).cast("int")),
                 lambda b: F.sha2(F.concat_ws("|", F.lit(self.key), F.lit(kind), turn.cast("string"), b.cast("string"), other), 512),
             )
-            stream = F.array_join(blocks, "")
 
-            def one(c: Column, i: Column) -> Column:
-                k = F.conv(F.substring(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-                code = F.ascii(c)
+            def one(c: Column, stream: Column) -> Column:
+                code, k = F.ascii(c), F.conv(stream, 16, 10).cast("int")
                 turned = lambda first, size: F.char(F.lit(first) + F.pmod(code - first + k, F.lit(size)))
                 return (
                     F.when((c >= "0") & (c <= "9"), turned(48, 10))
@@ -88,8 +86,9 @@ class Feistel:
                     .otherwise(c)
                 )
 
-            letters = F.filter(F.split(x, ""), lambda c: c != "")
-            return F.array_join(F.transform(letters, one), "")
+            # Two hexadecimal digits of the stream for each character; there are more than needed.
+            stream = F.regexp_extract_all(F.array_join(blocks, ""), F.lit("(..)"), F.lit(1))
+            return F.array_join(F.zip_with(letters(x), stream, one), "")
 
         def turn(s: Column, i: Column) -> Column:
             left = shifted(s["l"], i, s["r"])
@@ -102,36 +101,44 @@ def only_digits(s: Column) -> Column:
     return F.regexp_replace(s, r"\D", "")
 
 
+def letters(s: Column) -> Column:
+    """The characters of a string."""
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
 def filled(shape: Column, pattern: str, values: Column) -> Column:
     """The shape with its characters of a class replaced, in order, by those of another string."""
-    at = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), f"[^{pattern}]", ""))
-    letters = F.filter(F.split(shape, ""), lambda c: c != "")
-    return F.array_join(F.transform(letters, lambda c, i: F.when(c.rlike(f"[{pattern}]"), F.substring(values, at(i), F.lit(1))).otherwise(c)), "")
+
+    def add(s: Column, c: Column) -> Column:
+        of_class = c.rlike(f"[{pattern}]")
+        new = F.when(of_class, F.substring(s["rest"], 1, 1)).otherwise(c)
+        rest = F.when(of_class, F.substring(s["rest"], F.lit(2), F.length(s["rest"]))).otherwise(s["rest"])
+        return F.struct(F.concat(s["out"], new).alias("out"), rest.alias("rest"))
+
+    return F.aggregate(letters(shape), F.struct(F.lit("").alias("out"), values.alias("rest")), add, lambda s: s["out"])
 
 
 def luhn_sum(d: Column, doubled: int) -> Column:
     """Sum of the digits, where every second one from the right is doubled, beginning with the first (0) or second (1)."""
-    n = F.length(d)
 
-    def add(total: Column, i: Column) -> Column:
-        x = F.substring(d, n - i, F.lit(1)).cast("int")
+    def value(c: Column, i: Column) -> Column:
+        x = c.cast("int")
         twice = 2 * x - F.when(x > 4, 9).otherwise(0)
-        return total + F.when(F.pmod(i, F.lit(2)) == doubled, twice).otherwise(x)
+        return F.when(F.pmod(i, F.lit(2)) == doubled, twice).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
+    return F.aggregate(F.transform(letters(F.reverse(d)), value), F.lit(0), lambda a, x: a + x)
 
 
 def mod97(s: Column) -> Column:
     """Remainder of an IBAN, moved and with letters as numbers."""
     moved = F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, F.lit(1), F.lit(4)))
-    letters = F.filter(F.split(moved, ""), lambda c: c != "")
 
     def add(rest: Column, c: Column) -> Column:
         letter = c.rlike("[A-Z]")
         value = F.when(letter, F.ascii(c) - 55).otherwise(c.cast("int"))
         return F.pmod(rest * F.when(letter, 100).otherwise(10) + value, F.lit(97))
 
-    return F.aggregate(letters, F.lit(0), add)
+    return F.aggregate(letters(moved), F.lit(0), add)
 
 
 #: The Gregorian calendar repeats after 400 years of 189 * 773 days. Fixed values.
@@ -208,12 +215,11 @@ REPLACE = {"secret": _secrets, "email": _emails, "iban": _ibans, "ip": _ips, "da
 
 
 def replaced(m: Column, key: str) -> Column:
-    """(kind, value) of a match; kind is null and the value as it was if it is not valid."""
+    """(kind, value) of a match; the value is null if it is not valid."""
     f = Feistel(key)
-    out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))
+    out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value"))
     for kind in reversed(PATTERNS):
-        value = REPLACE[kind](m, f)
-        found = F.struct(F.when(value.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(value, m).alias("value"))
+        found = F.struct(F.lit(kind).alias("kind"), REPLACE[kind](m, f).alias("value"))
         out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), found).otherwise(out)
     return out
 
@@ -224,15 +230,21 @@ def pseudonymize(df: DataFrame, text: str, key: str, kinds: str = "pii") -> Data
     Texts are whole and of any length. Null texts stay null and, like texts without personal data, have an empty map. A
     column named `kinds` is replaced; all others are kept, whatever their names. No shuffle.
     """
-    t = F.col("`" + text.replace("`", "``") + "`")
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    kept = [c for c in df.columns if c != kinds]
+    # One column of all that was there, so that no name can clash; one step for each thing that is used more than once.
+    rows = df.select(F.struct(*map(name, kept)).alias("row"), name(text).alias("t"))
     # Everything looked for has a digit or an @.
-    some = t.rlike("[0-9@]")
-    matches = F.when(some, F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(0)))
-    found = F.transform(matches, lambda m: replaced(m, key))
-    parts = F.zip_with(F.split(t, ANY, -1), found["value"], lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
-    names = F.filter(found["kind"], lambda k: k.isNotNull())
-    counts = F.map_from_entries(F.transform(F.array_distinct(names), lambda k: F.struct(k, F.size(F.filter(names, lambda x: x == k)))))
-    new = F.when(F.size(matches) > 0, F.array_join(parts, "")).otherwise(t)
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    columns = [F.col("`" + c.replace("`", "``") + "`") if c != text else new.alias(text) for c in df.columns if c != kinds]
-    return df.select(*columns, F.coalesce(F.when(F.size(matches) > 0, counts), empty).alias(kinds))
+    rows = rows.withColumn("m", F.when(F.col("t").rlike("[0-9@]"), F.regexp_extract_all("t", F.lit(f"({ANY})"), F.lit(0))))
+    rows = rows.withColumn("found", F.transform("m", lambda m: replaced(m, key)))
+    new = F.zip_with("m", F.col("found")["value"], lambda m, v: F.coalesce(v, m))
+    parts = F.zip_with(F.split("t", ANY, -1), new, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
+    rows = rows.select(
+        "row",
+        F.when(F.size("m") > 0, F.array_join(parts, "")).otherwise(F.col("t")).alias("t"),
+        F.filter("found", lambda x: x["value"].isNotNull())["kind"].alias("names"),
+    )
+    counts = F.transform(F.array_distinct("names"), lambda k: F.struct(k.alias("key"), F.size(F.filter("names", lambda x: x == k)).alias("value")))
+    none = F.array().cast("array<struct<key:string,value:int>>")
+    columns = [F.col("row")[c].alias(c) if c != text else F.col("t").alias(c) for c in kept]
+    return rows.select(*columns, F.map_from_entries(F.coalesce(counts, none)).alias(kinds))
