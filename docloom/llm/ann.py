@@ -179,33 +179,56 @@ def nearest(
     cells = cells.join(asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs")), "q_block")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(nearest):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in nearest], ["query_id", "id", "score"])
+
+        # Blocks of rows for one block of queries come one after another, and leave the k nearest of all of them.
+        now, held = None, None
         for batch in batches:
-            for dim, ids, xs, q_ids, q_xs in zip(*(batch.column(c) for c in ("dim", "ids", "xs", "q_ids", "q_xs"))):
+            for dim, ids, xs, block, q_ids, q_xs in zip(*batch.columns):
                 ids, q_ids = (np.frombuffer(c.as_buffer(), np.int64) for c in (ids, q_ids))
                 x, q = (np.frombuffer(c.as_buffer(), dtype).reshape(-1, dim.as_py()).astype(np.float64) for c in (xs, q_xs))
-                for at in range(0, len(q), 128):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(q_ids[at : at + 128], q[at : at + 128], ids, x, k)], ["query_id", "id", "score"])
-
-    found = cells.select("dim", "ids", "xs", "q_ids", "q_xs").mapInArrow(score, "query_id long, id long, score double")
+                if held is not None and now != block.as_py():
+                    yield given(held)
+                    held = None
+                now = block.as_py()
+                parts = [best(q_ids[at : at + 128], q[at : at + 128], ids, x, k) for at in range(0, len(q), 128)]
+                held = first_of([*parts, held] if held is not None else parts, k)
+        if held is not None:
+            yield given(held)
+
+    found = cells.select("dim", "ids", "xs", "q_block", "q_ids", "q_xs").mapInArrow(score, "query_id long, id long, score double")
     once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def first_of(found: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, score) the k first of each query, highest score first, ties by id; an id counts once, at its best."""
+    q, ids, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((-score, ids, q))
+    q, ids, score = q[order], ids[order], score[order]
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+    q, ids, score = q[once], ids[once], score[once]
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    return q[keep], ids[keep], score[keep]
+
+
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of the k nearest rows for each query; what ties with the last of them is decided exactly."""
     s = q @ x.T
     s[q_ids[:, None] == ids[None, :]] = -np.inf
-    if len(ids) > k:
-        bar = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    # Rows that repeat an id take places of their own until they are counted once.
+    places = k + len(ids) - len(np.unique(ids))
+    if len(ids) > places:
+        bar = -np.partition(-s, places - 1, axis=1)[:, places - 1 : places]
         # A product's order of summation differs from the exact one by far less than this.
         slack = 1e-9 * np.sqrt((q * q).sum(axis=1, keepdims=True) * (x * x).sum(axis=1).max())
         i, j = np.nonzero((s >= bar - slack) & (s > -np.inf))
     else:
         i, j = np.nonzero(s > -np.inf)
     exact = np.concatenate([(q[i[a : a + 65536]] * x[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)] or [np.zeros(0)])
-    order = np.lexsort((ids[j], -exact, i))
-    i, j, exact = i[order], j[order], exact[order]
-    first = np.searchsorted(i, i, "left")
-    keep = np.arange(len(i)) - first < k
-    return q_ids[i[keep]], ids[j[keep]], exact[keep]
+    return first_of([(q_ids[i], ids[j], exact)], k)
