@@ -117,6 +117,15 @@ def suffix_of(host: Column) -> Column:
     return F.regexp_extract(host, r"\.([^.]+)$", 1)
 
 
+def posterior(df: DataFrame, logs: list[str], out: str) -> DataFrame:
+    """Adds what the columns of logs are as probabilities, numbered; a step for each thing that is used more than once."""
+    df = df.withColumn("_top", F.greatest(*logs))
+    df = df.withColumns({f"_w{k}": F.exp(F.col(c) - F.col("_top")) for k, c in enumerate(logs)})
+    df = df.withColumn("_all", sum((F.col(f"_w{k}") for k in range(1, len(logs))), F.col("_w0")))
+    df = df.withColumns({f"{out}{k}": F.col(f"_w{k}") / F.col("_all") for k in range(len(logs))})
+    return df.drop("_top", "_all", *[f"_w{k}" for k in range(len(logs))])
+
+
 def identified(
     df: DataFrame, model: TextModel, key: str, text: str, declared: Column | None = None, address: Column | None = None, least: float = LEAST
 ) -> DataFrame:
@@ -146,14 +155,8 @@ def identified(
     kind = df.schema[key].dataType.simpleString()
     said = rows.mapInArrow(run, f"id {kind}, declared string, host string, n long, " + ", ".join(f"{c} double" for c in names))
 
-    def posterior(logs: list[Column]) -> list[Column]:
-        top = F.greatest(*logs)
-        weights = [F.exp(x - top) for x in logs]
-        total = sum(weights[1:], weights[0])
-        return [w / total for w in weights]
-
-    by_text = [p.alias(f"p{k}") for k, p in enumerate(posterior([F.col(c) for c in names]))]
-    said = materialize(said.select("id", "declared", "host", "n", *names, *by_text, suffix_of(F.col("host")).alias("suffix")), "language-evidence")
+    by_text = posterior(said, names, "p").withColumn("suffix", suffix_of(F.col("host")))
+    said = materialize(by_text, "language-evidence")
 
     # Texts without letters say nothing, so they are not counted.
     sums = [F.sum(f"p{k}") for k in range(len(names))]
@@ -172,13 +175,14 @@ def identified(
 
     joined = said.join(hosts, "host", "left").join(trust, "declared", "left")
     own = F.when(F.col("n") > 0, 1.0).otherwise(0.0)
-    logs = []
+    joined = joined.withColumns({f"h{k}": F.greatest(F.coalesce(f"h{k}", F.lit(0.0)) - own * F.col(f"p{k}"), F.lit(0.0)) for k in range(len(names))})
+    joined = joined.withColumn("others", size("h"))
+    logs = {}
     for k in range(len(names)):
-        others = F.greatest(F.coalesce(f"h{k}", F.lit(0.0)) - own * F.col(f"p{k}"), F.lit(0.0))
-        all_others = F.greatest(sum((F.coalesce(f"h{j}", F.lit(0.0)) for j in range(len(names))), F.lit(0.0)) - own, F.lit(0.0))
-        prior = (others + SHRINK * F.coalesce(f"q{k}", F.lit(overall[k]))) / (all_others + SHRINK)
-        logs.append(F.col(names[k]) + F.coalesce(f"t{k}", F.lit(0.0)) + F.log(prior))
-    scored = joined.select("id", "n", *[f"p{k}" for k in range(len(names))], *[p.alias(f"f{k}") for k, p in enumerate(posterior(logs))])
+        prior = (F.col(f"h{k}") + SHRINK * F.coalesce(f"q{k}", F.lit(overall[k]))) / (F.col("others") + SHRINK)
+        logs[f"l{k}"] = F.col(f"l{k}") + F.coalesce(f"t{k}", F.lit(0.0)) + F.log(prior)
+    joined = joined.withColumns(logs).select("id", "n", *names, *[f"p{k}" for k in range(len(names))])
+    scored = posterior(joined, names, "f")
 
     def best(c: str) -> Column:
         top = F.greatest(*[F.col(f"{c}{k}") for k in range(len(names))])
