@@ -182,7 +182,8 @@ def identified(
         prior = (F.col(f"h{k}") + SHRINK * F.coalesce(f"q{k}", F.lit(overall[k]))) / (F.col("others") + SHRINK)
         logs[f"l{k}"] = F.col(f"l{k}") + F.coalesce(f"t{k}", F.lit(0.0)) + F.log(prior)
     joined = joined.withColumns(logs).select("id", "n", *names, *[f"p{k}" for k in range(len(names))])
-    scored = posterior(joined, names, "f")
+    # Written, because a condition on the result would otherwise be rewritten into all of the above, many times over.
+    scored = materialize(posterior(joined, names, "f").drop(*names), "language-posteriors")
 
     def best(c: str) -> Column:
         top = F.greatest(*[F.col(f"{c}{k}") for k in range(len(names))])
