@@ -20,16 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docloom.llm.worker import gather, kept, starts_of
+from docloom.llm.worker import gather, kept, parts, starts_of, text_parts
 
 #: Unicode White_Space, which the tokenizer's pattern calls \s. Fixed values.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACES = [chr(i) for i in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 SLICE_WORDS = 20_000
-SLICE_CHARS = 1 << 22
-SLICE_IDS = 1 << 20
-KEPT_WORDS = 600_000
+SLICE_CHARS = 1 << 21
+SLICE_IDS = 1 << 19
+KEPT_WORDS = 400_000
 LONG = 256
 
 MERGE = """
@@ -218,11 +218,10 @@ def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
-        for batch in batches:
-            for part in _slices(batch, pc.utf8_length(batch.column(at)), SLICE_CHARS):
-                ids, lengths = codec.encode(part.column(at).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, ids)], names)
+        for part in text_parts(batches, at, SLICE_CHARS):
+            ids, lengths = codec.encode(part.column(at).to_pylist())
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, ids)], names)
 
     names = [*kept_columns, out]
     schema = T.StructType([*df.select(*map(_quoted, kept_columns)).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
@@ -239,7 +238,7 @@ def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "bytes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, "")
         for batch in batches:
-            for part in _slices(batch, pc.list_value_length(batch.column(at)), SLICE_IDS):
+            for part in parts(batch, pc.list_value_length(batch.column(at)), SLICE_IDS):
                 column = part.column(at)
                 lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
                 values = codec.decode(np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.int32), lengths)
@@ -253,12 +252,3 @@ def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "bytes")
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
-
-def _slices(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most so much, but a row at least."""
-    total = np.cumsum(np.asarray(pc.fill_null(sizes, 0)))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
-        yield batch.slice(at, end - at)
-        at = end
