@@ -3,13 +3,18 @@
 Markup is stripped to lines of text, one for each block of the page; what stands in containers that are never article
 (menus, headers, footers, asides, forms, notices, adverts, comments, by tag, role, class or id) weighs nothing, and
 neither do lines that are mostly links. The lengths are summed over sliding windows of three lines. The main text begins
-where the sums surge over a bar, ends where they dive to zero again, and all lines between are kept, short ones too. A
-page that marks its article by a tag has that as its range; without a surge, the range of largest sum is taken.
+where the sums surge over a bar, ends where they dive to zero again, and all lines between are kept, short ones too.
+Without a surge, the range of largest sum is taken.
+
+Surge and dive decide on every page. An <article> is weight only: in one with text enough, lines of links count as one
+character, so that they end no range, and neither does a container in it that holds no article. One with less, as the
+cards of related pages are, is summed apart from what stands around it.
 """
 
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,22 +70,31 @@ def _outside(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters that count, in an article's tag, in an outside container) of each block, in page order."""
+class Line(NamedTuple):
+    """A block of a page; `weight` counts the characters outside links, and none of an outside container."""
+
+    text: str
+    weight: int
+    article: int
+    outside: bool
+
+
+def lines(page: str) -> tuple[list[Line], list[int]]:
+    """The blocks in page order, and for each <article>, numbered from 1, the one it stands in (0: none)."""
     page = GONE.sub(lambda m: " " if m.group(1) is None else "", page)
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # (tag, article, outside, link)
+    out: list[Line] = []
+    above = [0]
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # (tag, in article or main, outside, link, article)
     text: list[str] = []
-    linked = 0
-    at = 0
-    article = outside = False
+    linked = article = at = 0
+    outside = False
 
     def end_line():
         nonlocal linked
         if text:
             line = SPACES.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                out.append((line, 0 if outside else max(0, len(line) - 2 * linked), article, outside))
+                out.append(Line(line, 0 if outside else max(0, len(line) - 2 * linked), article, outside))
             text.clear()
         linked = 0
 
@@ -111,12 +125,60 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 k -= 1
             if k >= 0 and tag in CLOSES.get(stack[k][0], ()):
                 del stack[k:]
-            is_article = bool(stack and stack[-1][1]) or tag in ("article", "main")
-            is_outside = bool(stack and stack[-1][2]) or _outside(tag, attributes, is_article)
-            stack.append((tag, is_article, is_outside, tag == "a" or tag not in BLOCKS and bool(stack and stack[-1][3])))
-        article, outside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            _, was_article, was_outside, was_link, number = stack[-1] if stack else ("", False, False, False, 0)
+            if tag == "article":
+                above.append(number)
+                number = len(above) - 1
+            is_article = was_article or tag in ("article", "main")
+            stack.append((tag, is_article, was_outside or _outside(tag, attributes, is_article), tag == "a" or tag not in BLOCKS and was_link, number))
+        outside, article = (stack[-1][2], stack[-1][4]) if stack else (False, 0)
     add(page[at:])
     end_line()
+    return out, above
+
+
+def _full(found: list[Line], above: list[int]) -> list[bool]:
+    """Which articles hold text enough to surge, or on a page of little text as much as stands anywhere else."""
+    held = [0] * len(above)
+    for line in found:
+        held[line.article] += line.weight
+    beside = held[0]
+    for k in range(len(above) - 1, 0, -1):
+        if above[k]:
+            held[above[k]] += held[k]
+    bar = max(1, min(SURGE, max([beside, *held[1:]])))
+    return [False, *(n >= bar for n in held[1:])]
+
+
+def _segments(found: list[Line], full: list[bool]) -> list[list[int]]:
+    """The lines that are summed together."""
+    out: list[list[int]] = []
+    last, parted = None, False
+    for k, line in enumerate(found):
+        if line.outside:
+            parted = True
+            continue
+        same = last is not None and line.article == found[last].article and full[line.article]
+        card, was_card = (bool(a) and not full[a] for a in (line.article, found[last or 0].article))
+        if last is None or card != was_card or parted and not same:
+            out.append([])
+        out[-1].append(k)
+        last, parted = k, False
+    return out
+
+
+def _ranges(weights: list[int]) -> list[tuple[int, int, int]]:
+    """(begin, end, highest window) from each first line that counts to the next dive."""
+    out: list[tuple[int, int, int]] = []
+    begin, peak = None, 0
+    for k in range(len(weights) + 1):
+        window = sum(weights[k : k + WINDOW])
+        if begin is None and window and weights[k]:
+            begin, peak = k, 0
+        peak = max(peak, window)
+        if begin is not None and not window:
+            out.append((begin, k, peak))
+            begin = None
     return out
 
 
@@ -124,25 +186,14 @@ def main_text(page: str | None) -> str:
     """The article's blocks, joined by newlines; empty if there is none."""
     if not page:
         return ""
-    found = lines(page)
-    if any(line[2] and not line[3] for line in found):
-        return "\n".join(text for text, _, article, outside in found if article and not outside)
-    weights = [w for _, w, _, _ in found]
-    ranges, begin = [], None
-    for k in range(len(weights) + 1):
-        window = sum(weights[k : k + WINDOW])
-        if begin is None and k < len(weights) and weights[k] and window:
-            begin = k
-        # A dive: nothing in the lines ahead, or a container that holds no article.
-        if begin is not None and (window == 0 or found[k][3]):
-            ranges.append((begin, k))
-            begin = None
-    peaks = [max(sum(weights[k : min(k + WINDOW, e)]) for k in range(b, e)) for b, e in ranges]
+    found, above = lines(page)
+    full = _full(found, above)
+    weights = [max(line.weight, int(full[line.article])) for line in found]
+    ranges = [(s[b:e], peak) for s in _segments(found, full) for b, e, peak in _ranges([weights[k] for k in s])]
     if not ranges:
         return ""
-    bar = SURGE if max(peaks) >= SURGE else max(peaks)
-    kept = [found[k] for (b, e), peak in zip(ranges, peaks) if peak >= bar for k in range(b, e)]
-    return "\n".join(text for text, weight, _, outside in kept if not outside and weight)
+    bar = min(SURGE, max(peak for _, peak in ranges))
+    return "\n".join(found[k].text for kept, peak in ranges if peak >= bar for k in kept if weights[k])
 
 
 def extract(df: DataFrame, html_column: str, out: str = "text") -> DataFrame:

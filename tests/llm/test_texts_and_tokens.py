@@ -114,6 +114,18 @@ def test_main_text_without_article_tags():
     assert html_text.main_text(page) == "\n".join(["Title here", words.strip(), "Short.", words.strip()])
 
 
+def test_article_tags_do_not_decide():
+    body = "<h1>Title here</h1>" + "<p>The body of this page stands in a plain container and has long paragraphs.</p>" * 4
+    cards = "".join(f"<article><h3><a href=/{k}>Related page number {k}</a></h3><p>About {k}.</p></article>" for k in range(3))
+    want = html_text.main_text(f"<div>{body}</div>")
+    assert want.startswith("Title here\nThe body") and want.count("The body") == 4
+    assert html_text.main_text(f"<body><div>{body}</div><section>{cards}</section></body>") == want
+    assert html_text.main_text(f"<body><section>{cards}</section><div>{body}</div></body>") == want
+    # An article with text enough is whole: lines of links, containers in it and what follows them.
+    page = f"<article><h1><a href=x>Linked</a></h1>{body}<div><div class=ad>Buy</div></div><section><p>End.</p><p><a href=y>Source</a></p></section></article>"
+    assert html_text.main_text(page) == "Linked\n" + want + "\nEnd.\nSource"
+
+
 def test_main_text_of_long_and_broken_pages(spark):
     long = "<article>" + "<p>some words here and there</p>" * 30000
     rows = [(1, long, "x"), (2, None, "x"), (3, "<" * 20000, "x"), (4, "<p" * 20000, "x"), (5, "<!--" * 5000, "x"), (6, "<b><p>" * 20000 + "end", "x")]
