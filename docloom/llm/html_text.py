@@ -3,8 +3,9 @@
 Markup is stripped to lines of text, one for each block of the page; what stands in containers that are never article
 (menus, headers, footers, asides, forms, notices, adverts, comments, by tag, role, class or id) weighs nothing, and
 neither do lines that are mostly links. The lengths are summed over sliding windows of three lines. The main text begins
-where the sums surge over a bar, ends where they dive to zero again, and all lines between are kept, short ones too.
-Without a surge, the range of largest sum is taken.
+where the sums surge over a bar, ends where they dive to zero again, and all lines between are kept, short ones and links
+too. A container that holds no article ends a range, unless it lies between lines of the same parent, as an advert between
+paragraphs does. Without a surge, the range of largest sum is taken.
 
 Surge and dive decide on every page. An <article> is weight only: in one with text enough, lines of links count as one
 character, so that they end no range, and neither does a container in it that holds no article. One with less, as the
@@ -34,13 +35,21 @@ RAW = "script style noscript template svg math iframe object textarea xmp noembe
 #: Containers that hold no article.
 OUTSIDE = frozenset("nav header footer aside form head dialog menu button select fieldset".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words of class and id names of such containers.
+#: Class and id names of such containers: these whole names; these before further words that are no state of a page
+#: (`sidebar-left`, not `sidebar-open`); and these after a word of place (`main-menu`, not `has-sidebar`).
 OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion breadcrumb breadcrumbs comment "
     "comments cookie cookies consent gdpr disclaimer discussion disqus footer header masthead menu menus modal nav navbar navigation "
     "newsletter notice notices notification pager pagination popup related recommended replies respond share sharing shares sidebar "
     "sidebars signup social subscribe subscription tags toolbar widget widgets".split()
 )
+PLACES = frozenset("article bottom entry footer global header inline left main mobile page post primary right secondary site social top".split())
+STATES = frozenset(
+    "active closed collapsed content disabled enabled expanded fixed free has hidden layout no none off on open page present show shown visible "
+    "with without".split()
+)
+#: Blocks that are parts of the text around them.
+WITHIN = frozenset("ul ol dl li dt dd blockquote section table tbody thead tfoot tr td th figure center hgroup".split())
 #: A tag that opens closes an open one of these before it.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
@@ -65,18 +74,34 @@ def _outside(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in OUTSIDE_ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in OUTSIDE_NAMES for w in WORDS.findall(value)):
+        if name in ("class", "id") and any(map(_names_outside, value.split())):
             return True
     return False
 
 
+def _names_outside(name: str) -> bool:
+    """Whether a name of a class or an id is one of a container that holds no article."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    at = next((k for k, w in enumerate(words) if w not in PLACES or k == len(words) - 1 or w in OUTSIDE_NAMES and words[k + 1] not in OUTSIDE_NAMES), None)
+    if at is None or words[at] not in OUTSIDE_NAMES or not STATES.isdisjoint(words[at + 1 :]):
+        return False
+    # The header of an article or a page holds its title.
+    return not (words[at] == "header" and at and words[at - 1] in ("article", "entry", "page", "post"))
+
+
 class Line(NamedTuple):
-    """A block of a page; `weight` counts the characters outside links, and none of an outside container."""
+    """A block of a page; `weight` counts the characters outside links, and none of an outside container.
+
+    `block` is the number of the container its text stands in and `parent` that of the one around; for a line in an
+    outside container, `parent` is the one around that.
+    """
 
     text: str
     weight: int
     article: int
     outside: bool
+    block: int
+    parent: int
 
 
 def lines(page: str) -> tuple[list[Line], list[int]]:
@@ -84,9 +109,10 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
     page = GONE.sub(lambda m: " " if m.group(1) is None else "", page)
     out: list[Line] = []
     above = [0]
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # (tag, in article or main, outside, link, article)
+    # (tag, in article or main, outside, link, article, block, parent)
+    stack: list[tuple[str, bool, bool, bool, int, int, int]] = []
     text: list[str] = []
-    linked = article = at = 0
+    linked = article = at = block = parent = blocks = 0
     outside = False
 
     def end_line():
@@ -94,7 +120,7 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
         if text:
             line = SPACES.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                out.append(Line(line, 0 if outside else max(0, len(line) - 2 * linked), article, outside))
+                out.append(Line(line, 0 if outside else max(0, len(line) - 2 * linked), article, outside, block, parent))
             text.clear()
         linked = 0
 
@@ -125,13 +151,19 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
                 k -= 1
             if k >= 0 and tag in CLOSES.get(stack[k][0], ()):
                 del stack[k:]
-            _, was_article, was_outside, was_link, number = stack[-1] if stack else ("", False, False, False, 0)
+            around, was_article, was_outside, was_link, number, block, parent = stack[-1] if stack else ("", False, False, False, 0, 0, 0)
             if tag == "article":
                 above.append(number)
                 number = len(above) - 1
             is_article = was_article or tag in ("article", "main")
-            stack.append((tag, is_article, was_outside or _outside(tag, attributes, is_article), tag == "a" or tag not in BLOCKS and was_link, number))
-        outside, article = (stack[-1][2], stack[-1][4]) if stack else (False, 0)
+            is_outside = was_outside or _outside(tag, attributes, is_article)
+            if tag in BLOCKS and not was_outside:
+                # What stands in a part of a text has the parent that the part has.
+                parent = parent if around in WITHIN and stack[-1][5] else block
+                blocks += 1
+                block = blocks
+            stack.append((tag, is_article, is_outside, tag == "a" or tag not in BLOCKS and was_link, number, block, parent))
+        outside, article, block, parent = (stack[-1][2], *stack[-1][4:]) if stack else (False, 0, 0, 0)
     add(page[at:])
     end_line()
     return out, above
@@ -153,17 +185,25 @@ def _full(found: list[Line], above: list[int]) -> list[bool]:
 def _segments(found: list[Line], full: list[bool]) -> list[list[int]]:
     """The lines that are summed together."""
     out: list[list[int]] = []
-    last, parted = None, False
+    # The last line of each container's own.
+    latest = {home: k for k, line in enumerate(found) if not line.outside for home in (line.block, line.parent)}
+    seen: dict[int, int] = {}
+    last, first = None, 0
+    between: set[int] = set()
     for k, line in enumerate(found):
         if line.outside:
-            parted = True
+            between.add(line.parent)
             continue
         same = last is not None and line.article == found[last].article and full[line.article]
+        # Lines of the same parent on both sides.
+        same = same or all(seen.get(p, -1) >= first and latest[p] >= k for p in between)
         card, was_card = (bool(a) and not full[a] for a in (line.article, found[last or 0].article))
-        if last is None or card != was_card or parted and not same:
+        if last is None or card != was_card or not same:
             out.append([])
+            first = k
         out[-1].append(k)
-        last, parted = k, False
+        seen[line.block] = seen[line.parent] = last = k
+        between.clear()
     return out
 
 
@@ -193,7 +233,7 @@ def main_text(page: str | None) -> str:
     if not ranges:
         return ""
     bar = min(SURGE, max(peak for _, peak in ranges))
-    return "\n".join(found[k].text for kept, peak in ranges if peak >= bar for k in kept if weights[k])
+    return "\n".join(found[k].text for kept, peak in ranges if peak >= bar for k in kept)
 
 
 def extract(df: DataFrame, html_column: str, out: str = "text") -> DataFrame:

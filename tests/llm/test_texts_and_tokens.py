@@ -126,6 +126,24 @@ def test_article_tags_do_not_decide():
     assert html_text.main_text(page) == "Linked\n" + want + "\nEnd.\nSource"
 
 
+def test_main_text_around_inline_adverts():
+    long = "word " * 40
+    for ad in ("<div class='ad-slot'><p>Buy this</p><p>now</p><p>or</p><p>never</p></div>", "<aside>Share</aside>", "<nav><a href=x>Share</a></nav>"):
+        page = f"<body><nav><a href=/>Home</a></nav><div><h1>Title here</h1>{ad}<p>{long}</p>{ad}<p>Short end.</p></div><div class=sidebar><p>{long}</p></div><div><p>Imprint</p></div></body>"
+        assert html_text.main_text(page) == f"Title here\n{long.strip()}\nShort end.", ad
+    page = f"<div><section><p>{long}</p></section><aside>Ad</aside><ul><li>Last item</li></ul></div>"
+    assert html_text.main_text(page) == f"{long.strip()}\nLast item"
+    page = f"<div><p>{long}</p><p><a href=x>A line of links only</a></p><p>After it.</p></div>"
+    assert html_text.main_text(page) == f"{long.strip()}\nA line of links only\nAfter it."
+
+
+def test_names_of_containers():
+    for name in ("has-sidebar", "no-comments", "elementor-widget", "content-with-tags", "sidebar-open", "entry-header", "hasSidebar", "addressbook", "main"):
+        assert html_text.main_text(f"<div class='x {name}'><p>Body of the page</p></div>") == "Body of the page", name
+    for name in ("sidebar", "sidebar-left", "main-menu", "cookie_notice", "siteHeader", "ad-300x250", "comments", "post-comments", "footer-nav"):
+        assert html_text.main_text(f"<div class='x {name}'><p>Body of the page</p></div>") == "", name
+
+
 def test_main_text_of_long_and_broken_pages(spark):
     long = "<article>" + "<p>some words here and there</p>" * 30000
     rows = [(1, long, "x"), (2, None, "x"), (3, "<" * 20000, "x"), (4, "<p" * 20000, "x"), (5, "<!--" * 5000, "x"), (6, "<b><p>" * 20000 + "end", "x")]
