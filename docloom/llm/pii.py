@@ -5,7 +5,9 @@ their format, and so are dates: a card number becomes another that passes the sa
 same way. Addresses and secrets are permuted character by character within their classes. A permutation gives equal values
 equal pseudonyms in all documents, different values different ones, and can be undone with the key alone.
 
-Which value stands where is found by one pattern; the text between matches is kept as it is.
+Which value may stand where is found by one pattern, at every place of a text, also within what another place may hold. The
+first that is valid is replaced, then the first valid after its end; all else is kept as it is. Of the groups that may make a
+card or account number, the longest valid beginning counts, so what follows a number does not hide it.
 """
 
 from dataclasses import dataclass
@@ -25,9 +27,22 @@ PATTERNS = {
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w]|[./-]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?![\w]|[.-]\d)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
+    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|\.\d)",
 }
 ANY = "|".join(PATTERNS.values())
+#: Lengths of account numbers by country, from the register of ISO 13616. Fixed values.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(" ".join(IBAN_COUNTRIES.values()).split())
+#: What account numbers begin with: the length of the country, or for others any number of groups, longest first.
+IBANS = [
+    "^(?:" + "|".join(rf"(?:{c.replace(' ', '|')})\d\d(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()) + ")(?![A-Z0-9])",
+    *(rf"^(?!{_KNOWN})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{end}(?![A-Z0-9])" for n in range(7, 1, -1) for end in ("(?: ?[A-Z0-9]{1,3})", "")),
+]
+CARDS = [rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)" for n in range(19, 12, -1)]
 
 
 def divided(x: Column, y: Column) -> Column:
@@ -214,16 +229,59 @@ def _secrets(m: Column, f: Feistel) -> Column:
 REPLACE = {"secret": _secrets, "email": _emails, "iban": _ibans, "ip": _ips, "date": _dates, "ssn": _ssns, "phone": _phones, "card": _cards}
 
 
+def _valid_cards(m: Column) -> Column:
+    return F.pmod(luhn_sum(only_digits(m), 1), F.lit(10)) == 0
+
+
+def _valid_ibans(m: Column) -> Column:
+    return mod97(F.regexp_replace(m, " ", "")) == 1
+
+
+#: Kinds of which a match may hold more than the value: its beginnings, longest first, and their check.
+BEGINNINGS = {"iban": (IBANS, _valid_ibans), "card": (CARDS, _valid_cards)}
+
+
 def replaced(m: Column, key: str) -> Column:
-    """(kind, value) of a match; the value is null if it is not valid."""
+    """(kind, value, size) of a match: what replaces its first `size` characters; the value is null if it is not valid."""
     f = Feistel(key)
-    out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value"))
+
+    def found(kind: str, m: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), REPLACE[kind](m, f).alias("value"), F.length(m).alias("size"))
+
+    none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("size"))
+    out = none
     for kind in reversed(PATTERNS):
-        found = F.struct(F.lit(kind).alias("kind"), REPLACE[kind](m, f).alias("value"))
-        out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), found).otherwise(out)
+        if kind in BEGINNINGS:
+            shapes, valid = BEGINNINGS[kind]
+            begins = F.filter(F.array(*(F.regexp_extract(m, shape, 0) for shape in shapes)), lambda x: F.when(x != "", valid(x)).otherwise(False))
+            # An array of one, so that the beginning is computed once.
+            value = F.coalesce(F.get(F.transform(F.slice(begins, 1, 1), lambda x: found(kind, x)), F.lit(0)), none)
+        else:
+            value = found(kind, m)
+        out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), value).otherwise(out)
     return out
 
 
+def _picked(pieces: Column) -> Column:
+    """(hit, drop) of each piece (text, found): whether its match is replaced, and how much of its text gives way.
+
+    A piece begins where a match does. Matches are taken in order, if they are valid and the one before has ended.
+    """
+    none = F.array().cast("array<struct<hit:boolean,drop:int>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), none.alias("picks"))
+
+    def add(s: Column, x: Column) -> Column:
+        hit = x["found"]["value"].isNotNull() & (s["at"] >= s["end"])
+        pick = F.struct(hit.alias("hit"), F.when(hit, x["found"]["size"]).otherwise(F.greatest(s["end"] - s["at"], F.lit(0))).alias("drop"))
+        return F.struct(
+            (s["at"] + F.length(x["text"])).alias("at"),
+            F.when(hit, s["at"] + x["found"]["size"]).otherwise(s["end"]).alias("end"),
+            F.concat(s["picks"], F.array(pick)).alias("picks"),
+        )
+
+    return F.aggregate(pieces, start, add, lambda s: s["picks"])
+
+
 def pseudonymize(df: DataFrame, text: str, key: str, kinds: str = "pii") -> DataFrame:
     """df with the text column rewritten, and a map from kind to the number of values replaced in the text as column `kinds`.
 
@@ -235,15 +293,22 @@ def pseudonymize(df: DataFrame, text: str, key: str, kinds: str = "pii") -> Data
     # One column of all that was there, so that no name can clash; one step for each thing that is used more than once.
     rows = df.select(F.struct(*map(name, kept)).alias("row"), name(text).alias("t"))
     # Everything looked for has a digit or an @.
-    rows = rows.withColumn("m", F.when(F.col("t").rlike("[0-9@]"), F.regexp_extract_all("t", F.lit(f"({ANY})"), F.lit(0))))
+    rows = rows.withColumn("m", F.when(F.col("t").rlike("[0-9@]"), F.regexp_extract_all("t", F.lit(rf"(?=({ANY}))[\s\S]"), F.lit(1))))
     rows = rows.withColumn("found", F.transform("m", lambda m: replaced(m, key)))
-    new = F.zip_with("m", F.col("found")["value"], lambda m, v: F.coalesce(v, m))
-    parts = F.zip_with(F.split("t", ANY, -1), new, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
-    rows = rows.select(
-        "row",
-        F.when(F.size("m") > 0, F.array_join(parts, "")).otherwise(F.col("t")).alias("t"),
-        F.filter("found", lambda x: x["value"].isNotNull())["kind"].alias("names"),
-    )
+    # The text is cut where matches begin; what stands before the first is no piece.
+    rows = rows.withColumn("cut", F.when(F.size("m") > 0, F.split("t", f"(?={ANY})", -1)))
+    head = F.size("cut") - F.size("m")
+    pieces = F.zip_with(F.slice("cut", head + 1, F.size("m")), "found", lambda p, f: F.struct(p.alias("text"), f.alias("found")))
+    rows = rows.select("row", "t", F.when(head > 0, F.get("cut", F.lit(0))).otherwise("").alias("head"), pieces.alias("pieces"))
+    rows = rows.withColumn("picks", _picked(F.col("pieces")))
+
+    def rewritten(x: Column, pick: Column) -> Column:
+        value = F.when(pick["hit"], x["found"]["value"]).otherwise("")
+        return F.concat(value, F.substring(x["text"], pick["drop"] + 1, F.length(x["text"])))
+
+    hits = F.filter(F.zip_with("pieces", "picks", lambda x, pick: F.when(pick["hit"], x["found"]["kind"])), lambda k: k.isNotNull())
+    new = F.concat(F.col("head"), F.array_join(F.zip_with("pieces", "picks", rewritten), ""))
+    rows = rows.select("row", F.coalesce(new, F.col("t")).alias("t"), hits.alias("names"))
     counts = F.transform(F.array_distinct("names"), lambda k: F.struct(k.alias("key"), F.size(F.filter("names", lambda x: x == k)).alias("value")))
     none = F.array().cast("array<struct<key:string,value:int>>")
     columns = [F.col("row")[c].alias(c) if c != text else F.col("t").alias(c) for c in kept]
