@@ -29,6 +29,8 @@ SPACES = [chr(i) for i in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000,
 SLICE_WORDS = 20_000
 SLICE_CHARS = 1 << 21
 SLICE_IDS = 1 << 19
+#: Rows that the rounds over a slice of words keep at most: for each word about half the square of its bytes.
+SLICE_ROWS = 4_000_000
 KEPT_WORDS = 400_000
 LONG = 256
 
@@ -46,28 +48,25 @@ WITH RECURSIVE step(w, g, id, ng, n) AS (
 SELECT s.w, s.id FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n) ORDER BY s.g
 """
 
-# For long words. No token of lower rank starts or ends with a safe one, so contracting one pair of it makes none that
-# would come before the next: all its pairs in a word go in one step, every second one where they overlap.
-MERGE_LONG = """
-WITH RECURSIVE step(w, g, id, ng, n) AS (
-  SELECT w, g, id, ng, 0 FROM start
-  UNION ALL
-  (WITH pairs AS (
-     SELECT a.*, m.t, coalesce(m.safe, false) AS safe
-     FROM (SELECT w, g, id, n, lead(id) OVER (PARTITION BY w ORDER BY g) AS nid FROM step) a
-     LEFT JOIN merges m ON m.l = a.id AND m.r = a.nid),
-   marked AS (SELECT *, min(t) OVER (PARTITION BY w) AS best FROM pairs),
-   runs AS (
-     SELECT *, t IS NOT NULL AND t = best AS hit,
-       row_number() OVER (PARTITION BY w ORDER BY g) - row_number() OVER (PARTITION BY w, t IS NOT NULL AND t = best ORDER BY g) AS run
-     FROM marked WHERE best IS NOT NULL),
-   chosen AS (
-     SELECT *, hit AND CASE WHEN safe THEN row_number() OVER (PARTITION BY w, hit, run ORDER BY g) % 2 = 1
-       ELSE g = min(CASE WHEN hit THEN g END) OVER (PARTITION BY w) END AS merged FROM runs),
-   after AS (SELECT *, lag(merged) OVER (PARTITION BY w ORDER BY g) AS gone FROM chosen)
-   SELECT w, g, CASE WHEN merged THEN t ELSE id END, 0, n + 1 FROM after WHERE gone IS NOT true)
-)
-SELECT s.w, s.id FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n) ORDER BY s.g
+# For a long word, round by round, each in place of the one before. No token of lower rank starts or ends with a safe one, so
+# contracting one pair of it makes none that would come before the next: all its pairs go in one round, every second one
+# where they overlap.
+PAIRS = """
+CREATE OR REPLACE TEMP TABLE pairs AS
+SELECT s.g, s.id, m.t, m.safe
+FROM (SELECT row_number() OVER (ORDER BY g) AS g, id, lead(id) OVER (ORDER BY g) AS nid FROM step) s
+LEFT JOIN possible m ON m.l = s.id AND m.r = s.nid
+"""
+CHOSEN = """
+CREATE OR REPLACE TEMP TABLE chosen AS
+WITH hits AS (SELECT g, safe, g - row_number() OVER (ORDER BY g) AS run FROM pairs WHERE t = (SELECT min(t) FROM pairs))
+SELECT g FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY g) AS n, min(g) OVER () AS first FROM hits)
+WHERE CASE WHEN safe THEN n % 2 = 1 ELSE g = first END
+"""
+STEP = """
+CREATE OR REPLACE TEMP TABLE step AS
+SELECT p.g, CASE WHEN c.g IS NULL THEN p.id ELSE p.t END AS id
+FROM pairs p LEFT JOIN chosen c ON c.g = p.g LEFT JOIN chosen d ON d.g + 1 = p.g WHERE d.g IS NULL
 """
 
 # DuckDB runs on one thread here, so rows reach the aggregate in the order of the subquery; sorting inside the aggregate
@@ -100,7 +99,8 @@ class Codec:
 
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         rows = merge_rows(ranks)
-        self.con.register("given", pa.table([pa.array(c) for c in zip(*rows)], ["l", "r", "t", "safe"]))
+        self.l, self.r, self.t, self.safe = (np.array(c, kind) for c, kind in zip(zip(*rows), (np.int32, np.int32, np.int32, bool)))
+        self.con.register("given", pa.table({"l": self.l, "r": self.r, "t": self.t, "safe": self.safe}))
         self.con.execute("CREATE TABLE merges AS SELECT l::INT AS l, r::INT AS r, t::INT AS t, safe FROM given")
         # Bytes as the code points 0 to 255, since text can be aggregated in order.
         vocab = {"id": list(ranks.values()), "bytes": [token.decode("latin-1") for token in ranks]}
@@ -132,17 +132,52 @@ class Codec:
             "ng": ng,
         }
         self.con.register("start", pa.table(start))
-        out = self.con.sql(MERGE_LONG if sizes.max() > LONG else MERGE).to_arrow_table()
+        out = self.con.sql(MERGE).to_arrow_table()
         self.con.unregister("start")
         return out["id"].to_numpy(), np.bincount(out["w"].to_numpy(), minlength=len(words))
 
+    def merge_long(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of one word of any length, and how many it has."""
+        raw = np.frombuffer(word.encode(), np.uint8)
+        self.con.register("start", pa.table({"g": np.arange(len(raw)), "id": self.single[raw]}))
+        self.con.execute("CREATE OR REPLACE TEMP TABLE step AS SELECT g, id FROM start")
+        self.con.unregister("start")
+        # The merges that the bytes of the word can come to.
+        met = np.zeros(1 + max(self.l.max(), self.r.max(), self.t.max(), self.single.max()), bool)
+        met[self.single[raw]] = True
+        possible, n = np.zeros(len(self.l), bool), -1
+        while n != (n := int(possible.sum())):
+            possible = met[self.l] & met[self.r]
+            met[self.t[possible]] = True
+        some = {c: getattr(self, c)[possible] for c in ("l", "r", "t", "safe")}
+        self.con.register("given", pa.table(some))
+        self.con.execute("CREATE OR REPLACE TEMP TABLE possible AS SELECT * FROM given")
+        self.con.unregister("given")
+        while True:
+            self.con.execute(PAIRS)
+            self.con.execute(CHOSEN)
+            if not self.con.execute("SELECT count(*) FROM chosen").fetchall()[0][0]:
+                break
+            self.con.execute(STEP)
+        ids = self.con.sql("SELECT id FROM step ORDER BY g").to_arrow_table()["id"].to_numpy()
+        for name in ("step", "possible", "pairs", "chosen"):
+            self.con.execute(f"DROP TABLE {name}")
+        return ids, np.array([len(ids)])
+
     def learn(self, words: list[str]):
         """Make the ids of new words known."""
-        short = [w for w in words if len(w) <= LONG // 4]
-        slices = [short[i : i + SLICE_WORDS] for i in range(0, len(short), SLICE_WORDS)]
-        slices += [[w] for w in words if len(w) > LONG // 4]
+        short = [w for w in words if len(w.encode()) <= LONG]
+        slices, rows = [], SLICE_ROWS
+        for word in short:
+            more = len(word.encode()) ** 2 // 2 + 1
+            if rows + more > SLICE_ROWS or len(slices[-1]) == SLICE_WORDS:
+                slices.append([])
+                rows = 0
+            slices[-1].append(word)
+            rows += more
+        slices += [[w] for w in words if len(w.encode()) > LONG]
         for some in slices:
-            ids, lengths = self.merge(some)
+            ids, lengths = self.merge(some) if len(some[0].encode()) <= LONG else self.merge_long(some[0])
             self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
             self.starts = np.concatenate([self.starts, len(self.ids) + starts_of(lengths)])
             self.lengths = np.concatenate([self.lengths, lengths])
