@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import ann, bpe, html_text, language, minhash, mixing, pii, sql, token_count, toxicity, vector_dedup
+from docloom.llm import ann, bpe, html_text, language, minhash, mixing, phrases, pii, simhash, sql, token_count, toxicity, va_centroids, vector_dedup
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -83,6 +83,29 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return scores.select(F.col("id").alias("doc_id"), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_phrase_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.phrases(table(spark, d, "documents"))
+
+
+def op12_simhash_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    rows = simhash.simhash(table(spark, d, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        simhash.shown(F.col("upper"), F.col("lower")).alias("fingerprint"),
+        simhash.shown(F.col("edited_upper"), F.col("edited_lower")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "n_near",
+        "group_id",
+    )
+
+
+def op13_centroid_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return va_centroids.clusters(table(spark, d, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,10 +119,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_nearest_vectors,
         op10_toxicity,
+        op11_phrase_collocations,
+        op12_simhash_fingerprints,
+        op13_centroid_clusters,
     )
 }
 SQL: dict[str, str] = {
     "op1_vector_near_dedup": sql.VECTOR_DEDUP,
     "op4_source_mixing": sql.MIXING,
     "op5_minhash_near_dedup": sql.MINHASH,
+    "op11_phrase_collocations": sql.PHRASES,
+    "op12_simhash_fingerprints": sql.simhash(),
+    "op13_centroid_clusters": sql.centroids(),
 }
