@@ -9,7 +9,7 @@ The sum of what was taken off, `cut`, stays below `least` (see `capacity`), and
 
 Words and pairs are summarised first; triples and fours only where all their pairs came through, since no n-gram is more
 frequent than a part of it. Then the texts are read once more and what came through is counted exactly, as words and not as
-hashes, which a grouped sum adds up. Of the summaries nothing but a bitmap of fixed size is broadcast: it lets all of them
+hashes, and added up in as many partitions. Of the summaries nothing but a bitmap of fixed size is broadcast: it lets all of them
 pass, and as many others as it is full; those are dropped by their exact counts.
 """
 
@@ -216,8 +216,9 @@ def summarised(docs: DataFrame, sizes: tuple[int, ...], bits: np.ndarray | None,
     return sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key long")
 
 
-def counted(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(lang, phrase, words, n) of every n-gram that passes the bitmap, exactly; the phrase of no words counts all words."""
+def counted(docs: DataFrame, bits: np.ndarray, least: int, partitions: int) -> DataFrame:
+    """(lang, phrase, words, n) of every n-gram that passes the bitmap and has `least` occurrences; the phrase of no words counts
+    all words. Tasks send what they counted packed to the partitions of the phrases' hashes, which add it up."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def distinct(words: np.ndarray, where: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,12 +230,16 @@ def counted(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         _, first, n = np.unique(code, return_index=True, return_counts=True)
         return where[first], n
 
-    def rows(held: dict) -> pa.RecordBatch:
-        phrases = [p for _, p in held]
-        sizes = [p.count(b" ") + 1 if p else 0 for p in phrases]
-        langs = pa.array([lang for lang, _ in held], pa.string())
-        columns = [langs, pa.array(phrases, pa.binary()), pa.array(sizes, pa.int32()), pa.array(list(held.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
+    def send(held: dict) -> pa.RecordBatch:
+        packed: dict[tuple[int, str], tuple[list[bytes], list[int]]] = {}
+        for (lang, phrase), n in held.items():
+            phrases, counts = packed.setdefault((xxhash.xxh3_64_intdigest(phrase) % partitions, lang), ([], []))
+            phrases.append(phrase)
+            counts.append(n)
+        columns = [pa.array([part for part, _ in packed], pa.int64()), pa.array([lang for _, lang in packed], pa.string())]
+        columns.append(pa.array([b"\n".join(p) for p, _ in packed.values()], pa.binary()))
+        columns.append(pa.array([np.array(n, np.int64).tobytes() for _, n in packed.values()], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, ["part", "lang", "phrases", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = Words(), {}
@@ -257,13 +262,32 @@ def counted(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             if len(known) > KNOWN:
                 known = Words()
             if len(held) > KNOWN:
-                yield rows(held)
+                yield send(held)
                 held = {}
         if held:
-            yield rows(held)
+            yield send(held)
 
-    found = docs.mapInArrow(count, "lang string, phrase binary, words int, n long")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(lang: str, held: dict) -> pa.RecordBatch:
+            enough = {p: n for p, n in held.items() if n >= least or not p}
+            sizes = [p.count(b" ") + 1 if p else 0 for p in enough]
+            columns = [pa.array([lang] * len(enough), pa.string()), pa.array(list(enough), pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int32()), pa.array(list(enough.values()), pa.int64())], ["lang", "phrase", "words", "n"])
+
+        of, held = None, {}
+        for batch in batches:
+            for part, lang, phrases, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if (part, lang) != of:
+                    if held:
+                        yield rows(of[1], held)
+                    of, held = (part, lang), {}
+                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(counts, np.int64).tolist()):
+                    held[phrase] = held.get(phrase, 0) + n
+        if held:
+            yield rows(of[1], held)
+
+    sent = docs.mapInArrow(count, "part long, lang string, phrases binary, counts binary")
+    return sent.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(merge, "lang string, phrase binary, words int, n long")
 
 
 def counts(df: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, counters: int = COUNTERS) -> DataFrame:
@@ -275,7 +299,7 @@ def counts(df: DataFrame, text: str = "text", lang: str = "lang", least: int = 3
     partitions = 1 + 2 * mass // (least * counters)
     first = materialize(summarised(docs, (1, 2), None, least, partitions, counters), "frequent-pairs")
     longer = materialize(summarised(docs, tuple(range(3, LONGEST + 1)), bitmap(first), least, partitions, counters), "frequent-phrases")
-    found = counted(docs, bitmap(first.unionByName(longer))).where((F.col("n") >= least) | (F.col("words") == 0))
+    found = counted(docs, bitmap(first.unionByName(longer)), least, partitions)
     return materialize(found.select("lang", F.decode("phrase", "utf-8").alias("phrase"), "words", "n"), "phrase-counts")
 
 
