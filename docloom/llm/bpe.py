@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docloom.llm.worker import gather, kept, parts, starts_of, text_parts
+from docloom.llm.worker import freeing, gather, kept, parts, starts_of, text_parts
 
 #: Unicode White_Space, which the tokenizer's pattern calls \s. Fixed values.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -30,8 +30,8 @@ SLICE_WORDS = 20_000
 SLICE_CHARS = 1 << 21
 SLICE_IDS = 1 << 19
 #: Rows that the rounds over a slice of words keep at most: for each word about half the square of its bytes.
-SLICE_ROWS = 4_000_000
-KEPT_WORDS = 400_000
+SLICE_ROWS = 2_000_000
+KEPT_WORDS = 200_000
 LONG = 256
 
 MERGE = """
@@ -90,26 +90,36 @@ def merge_rows(ranks: dict[bytes, int]) -> list[tuple[int, int, int, bool]]:
     return [(ranks[a], ranks[b], rank, rank not in unsafe) for _, a, b, rank in splits if a in ranks and b in ranks]
 
 
+class Tables:
+    """The merges and the vocabulary as columns; small, so workers keep them."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        rows = merge_rows(ranks)
+        self.l, self.r, self.t, self.safe = (np.array(c, kind) for c, kind in zip(zip(*rows), (np.int32, np.int32, np.int32, bool)))
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        # Bytes as the code points 0 to 255, since text can be aggregated in order.
+        self.vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": [token.decode("latin-1") for token in ranks]})
+
+
 class Codec:
-    """The vocabulary as DuckDB tables, and the ids of words met so far."""
+    """A task's DuckDB with the tables, and the ids of words that the task met so far."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, tables: Tables, pattern: str | None):
+        """Without a pattern for decoding only."""
         import duckdb
         import regex
 
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        rows = merge_rows(ranks)
-        self.l, self.r, self.t, self.safe = (np.array(c, kind) for c, kind in zip(zip(*rows), (np.int32, np.int32, np.int32, bool)))
-        self.con.register("given", pa.table({"l": self.l, "r": self.r, "t": self.t, "safe": self.safe}))
-        self.con.execute("CREATE TABLE merges AS SELECT l::INT AS l, r::INT AS r, t::INT AS t, safe FROM given")
-        # Bytes as the code points 0 to 255, since text can be aggregated in order.
-        vocab = {"id": list(ranks.values()), "bytes": [token.decode("latin-1") for token in ranks]}
-        self.con.register("given", pa.table(vocab))
-        self.con.execute("CREATE TABLE vocab AS SELECT id::INT AS id, bytes FROM given")
+        self.l, self.r, self.t, self.safe, self.single = tables.l, tables.r, tables.t, tables.safe, tables.single
+        if pattern is None:
+            self.con.register("given", tables.vocab)
+            self.con.execute("CREATE TABLE vocab AS SELECT id, bytes FROM given")
+        else:
+            self.con.register("given", pa.table({"l": self.l, "r": self.r, "t": self.t}))
+            self.con.execute("CREATE TABLE merges AS SELECT l, r, t FROM given")
+            self.words_in = regex.compile(pattern).findall
+            self.chunks_in = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.con.unregister("given")
-        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.words_in = regex.compile(pattern).findall
-        self.chunks_in = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.forget()
 
     def forget(self):
@@ -240,8 +250,8 @@ class _Index(dict):
         return value
 
 
-def _codec(ranks, pattern: str) -> Codec:
-    return kept(("bpe", hash(frozenset(ranks.value.items())), pattern), lambda: Codec(ranks.value, pattern))
+def _codec(ranks, pattern: str | None) -> Codec:
+    return Codec(kept(("bpe", hash(frozenset(ranks.value.items()))), lambda: Tables(ranks.value)), pattern)
 
 
 def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, out: str = "ids") -> DataFrame:
@@ -257,10 +267,11 @@ def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, out:
             ids, lengths = codec.encode(part.column(at).to_pylist())
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, ids)], names)
+        codec.con.close()
 
     names = [*kept_columns, out]
     schema = T.StructType([*df.select(*map(_quoted, kept_columns)).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return df.select(*map(_quoted, kept_columns)).mapInArrow(run, schema)
+    return df.select(*map(_quoted, kept_columns)).mapInArrow(freeing(run), schema)
 
 
 def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "bytes") -> DataFrame:
@@ -271,17 +282,18 @@ def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "bytes")
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, "")
+        codec = _codec(shared, None)
         for batch in batches:
             for part in parts(batch, pc.list_value_length(batch.column(at)), SLICE_IDS):
                 column = part.column(at)
                 lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
                 values = codec.decode(np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.int32), lengths)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.binary())], names)
+        codec.con.close()
 
     names = [*kept_columns, out]
     schema = T.StructType([*df.select(*map(_quoted, kept_columns)).schema.fields, T.StructField(out, T.BinaryType())])
-    return df.select(*map(_quoted, kept_columns)).mapInArrow(run, schema)
+    return df.select(*map(_quoted, kept_columns)).mapInArrow(freeing(run), schema)
 
 
 def _quoted(name: str) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm.shingles import spread
-from docloom.llm.worker import text_parts
+from docloom.llm.worker import freeing, text_parts
 from docloom.session import materialize
 
 #: What ends a piece, as fixed by the definition of a phrase; a piece's words stand between spaces and tabs.
@@ -212,8 +212,8 @@ def summarised(docs: DataFrame, sizes: tuple[int, ...], bits: np.ndarray | None,
         if summary:
             yield out(summary)
 
-    sent = docs.mapInArrow(count, "part long, keys binary, counts binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key long")
+    sent = docs.mapInArrow(freeing(count), "part long, keys binary, counts binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(freeing(merge), "key long")
 
 
 def counted(docs: DataFrame, bits: np.ndarray, least: int, partitions: int) -> DataFrame:
@@ -286,8 +286,8 @@ def counted(docs: DataFrame, bits: np.ndarray, least: int, partitions: int) -> D
         if held:
             yield rows(of[1], held)
 
-    sent = docs.mapInArrow(count, "part long, lang string, phrases binary, counts binary")
-    return sent.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(merge, "lang string, phrase binary, words int, n long")
+    sent = docs.mapInArrow(freeing(count), "part long, lang string, phrases binary, counts binary")
+    return sent.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(freeing(merge), "lang string, phrase binary, words int, n long")
 
 
 def counts(df: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, counters: int = COUNTERS) -> DataFrame:

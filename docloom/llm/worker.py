@@ -1,8 +1,11 @@
 """What Python workers keep between tasks, and small numpy helpers for ragged arrays."""
 
+import ctypes
+import functools
+import gc
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,21 @@ def kept(key, make):
     return store[key]
 
 
+def freeing(run: Callable) -> Callable:
+    """run, with what it held given back to the system when its task ends: workers live on, for tasks of other kinds."""
+
+    @functools.wraps(run)
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of GNU's library
+        if trim:
+            trim(0)
+
+    return outer
+
+
 def starts_of(lengths: np.ndarray) -> np.ndarray:
     """Where each piece starts when pieces of these lengths stand one after another."""
     out = np.zeros(len(lengths), np.int64)

@@ -46,7 +46,7 @@ def test_bpe_memory_does_not_grow_with_rounds(plain):
     rng = random.Random(1)
     run = "".join(rng.choice("0123456789") for _ in range(5000))
     names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(3000)]
-    codec = bpe.Codec(bpe.read_ranks(BYTE_RANKS), public_tokenizers.PATTERN)
+    codec = bpe.Codec(bpe.Tables(bpe.read_ranks(BYTE_RANKS)), public_tokenizers.PATTERN)
     # A tenth of the room: a run of 50,000 digits has as much for each of its symbols.
     codec.con.execute("SET memory_limit = '40MB'")
     assert codec.encode([run])[0].tolist() == plain.encode_ordinary(run)
