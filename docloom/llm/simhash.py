@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.components import components
 from docloom.llm.minhash import grouped
-from docloom.llm.worker import text_parts
+from docloom.llm.worker import freeing, text_parts
 from docloom.session import materialize
 
 HALVES = 2
@@ -41,6 +41,10 @@ class WordHashes(dict):
 
     def __init__(self):
         super().__init__()
+        self.forget()
+
+    def forget(self):
+        self.clear()
         self.table = np.zeros((1024, WORDS, HALVES), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
@@ -61,7 +65,7 @@ def terms(known: WordHashes, text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if len(known) > KNOWN:
-        known.__init__()
+        known.forget()
     at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     size = min(WORDS, len(at))
     if not size:
@@ -127,7 +131,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             columns = [pa.array([len(t or "") for t in texts], pa.int64()), pa.array(has, pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(pa.array(c, pa.int64()) for c in zip(*prints))], ["id", "n_chars", "has_words", "upper", "lower"])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_chars long, has_words boolean, upper long, lower long")
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(freeing(run), "id long, n_chars long, has_words boolean, upper long, lower long")
 
 
 #: What is told of a text and its edited form; what a range of texts leaves open carries the text along.
@@ -193,7 +197,7 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
             yield _batch([(*row, *own, *[None] * 5, part, "last", t)])
 
     schema = ", ".join(f"`{name}` {kind}" for name, _, kind in _OUT)
-    found = materialize(dealt.mapInArrow(run, schema), "fingerprints")
+    found = materialize(dealt.mapInArrow(freeing(run), schema), "fingerprints")
     # The driver gets the numbers of the ranges that have rows.
     parts = sorted(r.part for r in found.where("end = 'first'").select("part").collect())
     told = [name for name, *_ in _OUT[:-3]]
@@ -271,7 +275,7 @@ def near_fingerprints(df: DataFrame, key: str = "id", radius: int = RADIUS) -> D
             yield pa.RecordBatch.from_arrays([pa.nulls(len(links), pa.int64())] * 3 + [pa.array(a), pa.array(b)], names)
 
     names = ["upper", "lower", "near", "a", "b"]
-    found = materialize(dealt.mapInArrow(compare, ", ".join(f"{n} long" for n in names)), "near-fingerprints")
+    found = materialize(dealt.mapInArrow(freeing(compare), ", ".join(f"{n} long" for n in names)), "near-fingerprints")
     near = found.where("near is not null").groupBy("upper", "lower").agg(F.sum("near").alias("near"))
     counted = classes.join(near, ["upper", "lower"], "left").select("upper", "lower", "class", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
     each = worded.join(counted, ["upper", "lower"]).select("id", "class", "n")

@@ -151,6 +151,14 @@ def test_fingerprints_match_a_plain_version(spark):
     assert sorted(as_rows(found)) == sorted(plain_rows(sorted(((i, t) for i, t, _ in rows), reverse=True)))
 
 
+def test_forgotten_words_get_the_same_hashes(monkeypatch):
+    monkeypatch.setattr(simhash, "KNOWN", 50)
+    known, texts = simhash.WordHashes(), [" ".join(f"w{(k * 37 + j) % 3000}" for j in range(1500)) for k in range(9)]
+    for text in texts:
+        upper, lower = (x & (1 << 64) - 1 for x in simhash.fingerprint(known, text))
+        assert f"{upper:016x}{lower:016x}" == plain_fingerprint(text)
+
+
 def test_rows_without_id_come_last_and_first_follows_last(spark):
     rows = [(None, "the last of all", "en"), (3, "three", "en"), (9, "nine nine", "en"), (3, "three", "en")]
     found = sorted(as_rows(simhash.edited_fingerprints(docs(spark, rows))), key=repr)
