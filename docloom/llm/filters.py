@@ -1,36 +1,33 @@
 """A filter that keeps most of what a join would drop out of its shuffle."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the map: 2 MB, whatever the input.
+#: Bits of the map. Its words are at most 262,144 rows of two longs, 4 MB, whatever the input: that is what is broadcast.
 BITS = 1 << 24
 
 
 def possible_members(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """The rows of df whose key may be among members: none that is gets lost, most others do.
 
-    Keys are hashed into a bitmap of fixed size, built in Spark and broadcast. With as many members as bits it lets most
-    rows pass, and the join that must follow does all the work; the result is the same. Rows with a null key are dropped.
+    Keys are hashed into a bitmap of fixed size, which is made and joined in the JVM, so that rows that go never leave it.
+    With as many members as bits it lets most rows pass, and the join that must follow does all the work; the result is the
+    same. Rows with a null key are dropped.
     """
     place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS))
     words = members.where(F.col(key).isNotNull()).select(place.alias("p"))
-    words = words.groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("word"))
-    found = words.toPandas()
-    bits = np.zeros(BITS // 64, np.int64)
-    bits[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64)
-    shared = df.sparkSession.sparkContext.broadcast(bits)
-    at = df.columns.index(key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(batch.num_columns - 1).to_numpy()
-            word = shared.value[place >> 6]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array((word >> (place & 63)) & 1 == 1))
-
-    names = df.columns
-    return df.where(df[names[at]].isNotNull()).select("*", place.alias("_place")).mapInArrow(run, df.schema)
+    words = words.groupBy(F.shiftright("p", 6).alias("_at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_word"))
+    placed = df.where(F.col(key).isNotNull()).withColumn("_place", place)
+    found = placed.join(F.broadcast(words), F.shiftright("_place", 6) == F.col("_at"))
+    return found.where("shiftrightunsigned(_word, cast(_place % 64 as int)) % 2 <> 0").select(df.columns)
+
+
+def exact_members(rows: DataFrame, key: str) -> DataFrame:
+    """(_at, _word): the bits of all keys, 64 neighbours to a row; for keys that are dense numbers."""
+    return rows.groupBy(F.shiftright(key, 6).alias("_at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))")).alias("_word"))
+
+
+def members(df: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among the bits; the join is on 64th parts of the keys, so its small side is small."""
+    found = df.join(words, F.shiftright(key, 6) == F.col("_at"))
+    return found.where(f"shiftrightunsigned(_word, cast(`{key}` & 63 as int)) % 2 <> 0").select(df.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from docloom.llm.components import components
 from docloom.llm.filters import possible_members
 from docloom.llm.shingles import shingle_sets, spread
-from docloom.llm.worker import CHARS, gather, starts_of, text_parts
+from docloom.llm.worker import freeing, gather, starts_of, text_parts
 from docloom.session import materialize
 
 SYMBOLS, CHUNK = 48, 4
@@ -59,7 +59,7 @@ def shingled(df: DataFrame, doc: str, text: str, words: int) -> DataFrame:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_parts(batches, 1, 4 * CHARS):
+        for batch in text_parts(batches, 1):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             signatures = [signature(s).tobytes() if len(s) else None for s in sets]
@@ -68,7 +68,7 @@ def shingled(df: DataFrame, doc: str, text: str, words: int) -> DataFrame:
 
     names = ["id", "n", "set_key", "signature"]
     rows = df.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, set_key binary, signature binary")
+    return rows.mapInArrow(freeing(run), "id long, n long, set_key binary, signature binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -81,20 +81,20 @@ def buckets(classes: DataFrame) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
 
-    return classes.select("id", "signature").mapInArrow(run, "key long, id long")
+    return classes.select("id", "signature").mapInArrow(freeing(run), "key long, id long")
 
 
 def sets_of(df: DataFrame, ids: DataFrame, doc: str, text: str, words: int) -> DataFrame:
     """(id, n, hashes) of the documents in `ids`: their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_parts(batches, 1, 4 * CHARS):
+        for batch in text_parts(batches, 1):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             n = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "hashes"])
 
     rows = df.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    return possible_members(rows, ids, "id").join(ids, "id", "left_semi").mapInArrow(run, "id long, n long, hashes binary")
+    return possible_members(rows, ids, "id").join(ids, "id", "left_semi").mapInArrow(freeing(run), "id long, n long, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -114,7 +114,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(freeing(compare), "a long, b long")
 
 
 def links_across_components(members: DataFrame, percent: int) -> DataFrame:
@@ -141,7 +141,7 @@ def links_across_components(members: DataFrame, percent: int) -> DataFrame:
             links = linked_sets(key >> 48, signatures, sets, component, own == i, own == j, percent)
             yield pa.RecordBatch.from_arrays([pa.array(ids[[x for x, _ in links]], pa.int64()), pa.array(ids[[y for _, y in links]], pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(freeing(run), "a long, b long").distinct()
 
 
 def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
