@@ -11,6 +11,8 @@ the same whenever it is run.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import materialize
+
 #: A draw of larger mean is the sum of several, so that exp(-mean) does not vanish.
 PART = 64.0
 #: 52 bits of a hash.
@@ -65,6 +67,8 @@ def mix(
     per_part = F.ceil(F.greatest(F.col("rate") / PART, F.lit(1.0)))
     tables = rates(df, source, weights, temperature, size).where("rate > 0")
     tables = tables.select(F.col("source").alias("s"), per_part.cast("int").alias("parts"), poisson_table(F.col("rate") / per_part).alias("sums"))
+    # Written, so that the join knows how small it is and leaves the rows where they are.
+    tables = materialize(tables, "mixing-rates")
     rows = df.select(F.struct(*map(name, kept)).alias("row"), name(doc).alias("id"), name(source).alias("s0"))
     drawn = rows.join(tables, F.col("s0").eqNullSafe(F.col("s")))
 
