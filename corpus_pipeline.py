@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, language, minhash, mixing, pii
+from docloom.llm.filters import exact_members, members
 from docloom.llm.queries import BYTE_RANKS, KEY, LANGUAGES
 from docloom.session import materialize
 
@@ -16,19 +17,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of those to be known; `lang` becomes the language found."""
+    """Documents whose language is one of those to be known; `lang` becomes the language found. Each row is judged by itself."""
     model = language.fit_text_model(docs, "text", "lang", LANGUAGES)
-    found = language.identified(docs, model, "doc_id", "text", F.col("lang"), F.col("source"))
-    kept = found.where("not rejected").groupBy("id").agg(F.min("lang").alias("found"))
-    joined = docs.join(kept, docs.doc_id.eqNullSafe(kept.id))
-    return joined.select("doc_id", "text", F.col("found").alias("lang"), "source", "n_chars")
+    found = language.identified(docs, model, "doc_id", "text", F.col("lang"), F.col("source"), carry=("doc_id", "text", "source", "n_chars"))
+    kept = found.where("not rejected").select("row.*", "lang")
+    return kept.select(COLUMNS)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates, once. What has no id is in no group and stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
-    return one.unionByName(docs.where("doc_id is null").select(COLUMNS))
+    """The document of smallest id of each group of near-duplicates, once; of one id the text of smallest hash.
+
+    Rows are grouped by their texts, so rows of one id with different texts each have a group of their own, and equal rows have one. A
+    row without id is in no group and stays.
+    """
+    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("mix"))
+    rows = materialize(rows, "numbered-documents")
+    known = rows.where("doc_id is not null")
+    groups = minhash.near_duplicates(known, "row").select(F.col("id").alias("row"), "component_id")
+    told = known.select("row", F.struct("doc_id", "mix", "lang", "source", "n_chars", "row").alias("told"))
+    first = groups.join(told, "row").groupBy("component_id").agg(F.min("told").alias("told"))
+    one = materialize(exact_members(first.select("told.row"), "row"), "kept-documents")
+    return members(known, one, "row").select(COLUMNS).unionByName(rows.where("doc_id is null").select(COLUMNS))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

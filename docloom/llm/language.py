@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.worker import starts_of, text_parts
+from docloom.llm.worker import freeing, starts_of, text_parts
 from docloom.session import materialize
 
 OTHER = "und"
@@ -96,7 +96,7 @@ def fit_text_model(df: DataFrame, text: str, language: str, languages: tuple[str
 
     which = F.array_position(F.array(*map(F.lit, languages)), F.lower(F.col(language))) - 1
     rows = df.select(F.col(text).alias("text"), which.cast("int").alias("which")).where("which >= 0 and text is not null")
-    found = rows.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(freeing(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) << BITS)
     counts[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     counts = counts.reshape(len(languages), -1).T
@@ -117,88 +117,94 @@ def suffix_of(host: Column) -> Column:
     return F.regexp_extract(host, r"\.([^.]+)$", 1)
 
 
-def posterior(df: DataFrame, logs: list[str], out: str) -> DataFrame:
-    """Adds what the columns of logs are as probabilities, numbered; a step for each thing that is used more than once."""
-    df = df.withColumn("_top", F.greatest(*logs))
-    df = df.withColumns({f"_w{k}": F.exp(F.col(c) - F.col("_top")) for k, c in enumerate(logs)})
-    df = df.withColumn("_all", sum((F.col(f"_w{k}") for k in range(1, len(logs))), F.col("_w0")))
-    df = df.withColumns({f"{out}{k}": F.col(f"_w{k}") / F.col("_all") for k in range(len(logs))})
-    return df.drop("_top", "_all", *[f"_w{k}" for k in range(len(logs))])
+def posterior(logs: np.ndarray) -> np.ndarray:
+    """Rows of logarithms as probabilities."""
+    weights = np.exp(logs - logs.max(axis=1, keepdims=True)) if len(logs) else logs
+    return weights / weights.sum(axis=1, keepdims=True)
 
 
 def identified(
-    df: DataFrame, model: TextModel, key: str, text: str, declared: Column | None = None, address: Column | None = None, least: float = LEAST
+    df: DataFrame,
+    model: TextModel,
+    key: str,
+    text: str,
+    declared: Column | None = None,
+    address: Column | None = None,
+    least: float = LEAST,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, lang, confidence, rejected, text_lang, n_trigrams) of every row.
+    """(id, lang, confidence, rejected, text_lang, n_trigrams) of every row, and `row`, a struct of the columns to carry along.
 
     lang is the language of highest posterior, ties to the first in the model's order; `und` if that is the flat model. A row
     is rejected if its language is `und`, if its posterior is below `least`, or if its text has no letters: nothing else can
-    make up for that. Null declarations and addresses are evidence of their own kind, like any other value. Repeated rows
-    are identified alike and count as often as they occur.
+    make up for that. Null declarations and addresses are evidence of their own kind, like any other value. Every row is judged
+    by itself, whatever its id; repeated rows are identified alike and count as often as they occur.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model.logs)
-    names = [f"l{k}" for k in range(len(model.languages) + 1)]
-    tongues = [*model.languages, OTHER]
+    size = len(model.languages) + 1
+    names, ps = [f"l{k}" for k in range(size)], [f"p{k}" for k in range(size)]
+    tongues = np.array([*model.languages, OTHER], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_parts(batches, 3):
-            logs, n = evidence(shared.value, batch.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n.astype(np.int64)), *(pa.array(c) for c in logs.T)], ["id", "declared", "host", "n", *names])
+        for batch in text_parts(batches, 4):
+            logs, n = evidence(shared.value, batch.column(4).to_pylist())
+            said = [pa.array(c) for c in (*logs.T, *posterior(logs).T)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), *said], [*columns, "n", *names, *ps])
 
+    columns = ["id", "declared", "host", "row", "text"]
     rows = df.select(
         F.col(key).alias("id"),
         F.coalesce(F.lower(declared) if declared is not None else F.lit(None), F.lit("")).alias("declared"),
         F.coalesce(host_of(address) if address is not None else F.lit(None), F.lit("")).alias("host"),
+        F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry if c != text]).alias("row"),
         F.col(text).alias("text"),
     )
-    kind = df.schema[key].dataType.simpleString()
-    said = rows.mapInArrow(run, f"id {kind}, declared string, host string, n long, " + ", ".join(f"{c} double" for c in names))
-
-    by_text = posterior(said, names, "p").withColumn("suffix", suffix_of(F.col("host")))
-    said = materialize(by_text, "language-evidence")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    said = rows.mapInArrow(freeing(run), schema + ", n long, " + ", ".join(f"{c} double" for c in names + ps))
+    said = said.drop("text") if text not in carry else said
+    said = materialize(said.withColumn("suffix", suffix_of(F.col("host"))), "language-evidence")
 
     # Texts without letters say nothing, so they are not counted.
-    sums = [F.sum(f"p{k}") for k in range(len(names))]
+    sums = [F.sum(p) for p in ps]
     spoken = said.where("n > 0")
     hosts = spoken.groupBy("host", "suffix").agg(*[s.alias(f"h{k}") for k, s in enumerate(sums)])
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"h{k}").alias(f"s{k}") for k in range(len(names))])
-    everywhere = suffixes.agg(*[F.sum(f"s{k}") for k in range(len(names))]).first()
+    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"h{k}").alias(f"s{k}") for k in range(size)])
+    everywhere = suffixes.agg(*[F.sum(f"s{k}") for k in range(size)]).first()
     total = np.array([x or 0.0 for x in everywhere]) + 1.0
     overall = (total / total.sum()).tolist()
-    size = lambda c: sum((F.col(f"{c}{k}") for k in range(1, len(names))), F.col(f"{c}0"))
-    suffixes = suffixes.select("suffix", *[((F.col(f"s{k}") + SHRINK * overall[k]) / (size("s") + SHRINK)).alias(f"q{k}") for k in range(len(names))])
-    hosts = hosts.join(suffixes, "suffix").drop("suffix")
+    sized = lambda c: sum((F.col(f"{c}{k}") for k in range(1, size)), F.col(f"{c}0"))
+    suffixes = suffixes.select("suffix", *[((F.col(f"s{k}") + SHRINK * overall[k]) / (sized("s") + SHRINK)).alias(f"q{k}") for k in range(size)])
+    # Written, so that the joins know how small they are and leave the rows, and the texts they carry, where they are.
+    hosts = materialize(hosts.join(suffixes, "suffix").drop("suffix"), "language-hosts")
 
     declarations = spoken.groupBy("declared").agg(*[s.alias(f"d{k}") for k, s in enumerate(sums)])
-    trust = declarations.select("declared", *[F.log((F.col(f"d{k}") + 0.5) / (total[k] + 1.0)).alias(f"t{k}") for k in range(len(names))])
-
+    trust = declarations.select("declared", *[F.log((F.col(f"d{k}") + 0.5) / (total[k] + 1.0)).alias(f"t{k}") for k in range(size)])
+    trust = materialize(trust, "language-declarations")
     joined = said.join(hosts, "host", "left").join(trust, "declared", "left")
-    own = F.when(F.col("n") > 0, 1.0).otherwise(0.0)
-    joined = joined.withColumns({f"h{k}": F.greatest(F.coalesce(f"h{k}", F.lit(0.0)) - own * F.col(f"p{k}"), F.lit(0.0)) for k in range(len(names))})
-    joined = joined.withColumn("others", size("h"))
-    logs = {}
-    for k in range(len(names)):
-        prior = (F.col(f"h{k}") + SHRINK * F.coalesce(f"q{k}", F.lit(overall[k]))) / (F.col("others") + SHRINK)
-        logs[f"l{k}"] = F.col(f"l{k}") + F.coalesce(f"t{k}", F.lit(0.0)) + F.log(prior)
-    joined = joined.withColumns(logs).select("id", "n", *names, *[f"p{k}" for k in range(len(names))])
-    # Written, because a condition on the result would otherwise be rewritten into all of the above, many times over.
-    scored = materialize(posterior(joined, names, "f").drop(*names), "language-posteriors")
-
-    def best(c: str) -> Column:
-        top = F.greatest(*[F.col(f"{c}{k}") for k in range(len(names))])
-        out = F.lit(tongues[-1])
-        for k in reversed(range(len(names) - 1)):
-            out = F.when(F.col(f"{c}{k}") == top, tongues[k]).otherwise(out)
-        return out
-
-    confidence = F.greatest(*[F.col(f"f{k}") for k in range(len(names))])
-    lang = F.when(F.col("n") > 0, best("f")).otherwise(OTHER)
-    return scored.select(
-        "id",
-        lang.alias("lang"),
-        confidence.alias("confidence"),
-        ((lang == OTHER) | (confidence < least)).alias("rejected"),
-        F.when(F.col("n") > 0, best("p")).otherwise(OTHER).alias("text_lang"),
-        F.col("n").alias("n_trigrams"),
-    )
+    carried = [c for c in ("row", "text") if c in said.columns]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            block = lambda c: np.column_stack([column(f"{c}{k}") for k in range(size)])  # noqa: E731, B023
+            n, p = column("n"), block("p")
+            q = np.where(np.isnan(block("q")), overall, block("q"))
+            others = np.maximum(np.nan_to_num(block("h")) - (n > 0)[:, None] * p, 0.0)
+            prior = (others + SHRINK * q) / (others.sum(axis=1, keepdims=True) + SHRINK)
+            found = posterior(block("l") + np.nan_to_num(block("t")) + np.log(prior))
+            lang = np.where(n > 0, tongues[found.argmax(axis=1)], OTHER)
+            confidence = found.max(axis=1)
+            out = [pa.array(lang, pa.string()), pa.array(confidence), pa.array((lang == OTHER) | (confidence < least))]
+            out += [pa.array(np.where(n > 0, tongues[p.argmax(axis=1)], OTHER), pa.string()), batch.column("n")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *out, *(batch.column(c) for c in carried)], [*judged, *carried])
+
+    judged = ["id", "lang", "confidence", "rejected", "text_lang", "n_trigrams"]
+    kinds = [said.schema["id"].dataType.simpleString(), "string", "double", "boolean", "string", "long"]
+    kinds += [said.schema[c].dataType.simpleString() for c in carried]
+    needed = joined.select("id", "n", *carried, *[F.col(f"{c}{k}").cast("double").alias(f"{c}{k}") for c in "lphqt" for k in range(size)])
+    out = needed.mapInArrow(freeing(judge), ", ".join(f"{c} {kind}" for c, kind in zip([*judged, *carried], kinds)))
+    if text in carry:
+        rest = [F.col(f"row.{c}").alias(c) for c in carry if c != text]
+        return out.select(*judged, F.struct(*rest, F.col("text").alias(text)).alias("row"))
+    return out.withColumn("row", F.struct(*[F.col(f"row.{c}").alias(c) for c in carry])) if carry else out.drop("row")

@@ -48,7 +48,7 @@ def op5_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
     model = language.fit_text_model(table(spark, d, "documents"), "text", "lang", LANGUAGES)
     pages = table(spark, d, "pages")
-    declared = F.regexp_extract("html", r"(?i)<html\b[^>]{0,500}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
+    declared = F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
     said = html_text.extract(pages.select("page_id", "url", declared.alias("declared"), "html"), "html")
     return language.identified(said, model, "page_id", "text", F.col("declared"), F.col("url")).withColumnRenamed("id", "page_id")
 
