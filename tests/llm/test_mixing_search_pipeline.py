@@ -94,6 +94,19 @@ def test_parts_are_balanced_and_keep_neighbours_together():
     assert (label[near] == label[:, None]).mean() > 0.6
 
 
+def test_queries_outside_the_sample_find_their_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    x = (centres[rng.integers(0, 12, 3000)] + 0.4 * rng.normal(size=(3000, 16))) * rng.lognormal(0, 0.5, (3000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest(df, F.col("id") % 20 == 0, k=10, sample=400).collect()
+    near = x[::20] @ x.T
+    near[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    best = {20 * q: set(np.argpartition(-row, 10)[:10].tolist()) for q, row in enumerate(near)}
+    assert len(found) == 1500
+    assert sum(r.id in best[r.query_id] for r in found) >= 0.9 * 1500
+
+
 @pytest.fixture(scope="module")
 def staged(spark, sf, tmp_path_factory):
     folder = tmp_path_factory.mktemp("stages")
