@@ -27,17 +27,26 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates, once; of one id the text of smallest hash.
 
-    Rows are grouped by their texts, so rows of one id with different texts each have a group of their own, and equal rows have one. A
-    row without id is in no group and stays.
+    A row is known by its id, or by a new number for id and text where rows share an id: so different texts of one id each have a
+    group of their own, and equal rows have one. A row without id is in no group and stays.
     """
-    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("mix"))
-    rows = materialize(rows, "numbered-documents")
-    known = rows.where("doc_id is not null")
+    known = docs.where("doc_id is not null").select(*COLUMNS, F.xxhash64("text").alias("mix"))
+    most = known.agg(F.max("doc_id").alias("m")).first().m or 0
+    shared = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    # Written, so that the joins below know how small it is, and leave the texts where they are.
+    shared = materialize(shared, "shared-ids")
+    number = F.monotonically_increasing_id() + (most + 1)
+    shared = known.select("doc_id", "mix").join(shared, "doc_id").distinct().select(F.col("doc_id").alias("d"), F.col("mix").alias("m"), number.alias("number"))
+    shared = materialize(shared, "shared-id-rows")
+    known = known.join(shared, (F.col("doc_id") == F.col("d")) & (F.col("mix") == F.col("m")), "left")
+    known = known.select(*COLUMNS, "number", F.coalesce("number", "doc_id").alias("row"))
     groups = minhash.near_duplicates(known, "row").select(F.col("id").alias("row"), "component_id")
-    told = known.select("row", F.struct("doc_id", "mix", "lang", "source", "n_chars", "row").alias("told"))
-    first = groups.join(told, "row").groupBy("component_id").agg(F.min("told").alias("told"))
-    one = materialize(exact_members(first.select("told.row"), "row"), "kept-documents")
-    return members(known, one, "row").select(COLUMNS).unionByName(rows.where("doc_id is null").select(COLUMNS))
+    told = groups.join(shared, F.col("row") == F.col("number"), "left").select("component_id", F.struct(F.coalesce("d", "row").alias("d"), "m", "row").alias("told"))
+    first = told.groupBy("component_id").agg(F.min("told").alias("told")).select("told.row")
+    one = members(known, materialize(exact_members(first, "row"), "kept-documents"), "row")
+    again = one.where("number is not null").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    again = again.select("doc_id", "text", "rest.*").select(COLUMNS)
+    return one.where("number is null").select(COLUMNS).unionByName(again).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

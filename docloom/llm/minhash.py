@@ -85,7 +85,7 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def sets_of(df: DataFrame, ids: DataFrame, doc: str, text: str, words: int) -> DataFrame:
-    """(id, n, hashes) of the documents in `ids`: their full sets."""
+    """(id, n, hashes) of the documents in `ids`, and of few others: their full sets. Texts are not shuffled for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_parts(batches, 1):
@@ -94,7 +94,7 @@ def sets_of(df: DataFrame, ids: DataFrame, doc: str, text: str, words: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "hashes"])
 
     rows = df.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    return possible_members(rows, ids, "id").join(ids, "id", "left_semi").mapInArrow(freeing(run), "id long, n long, hashes binary")
+    return possible_members(rows, ids, "id").mapInArrow(freeing(run), "id long, n long, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
