@@ -13,6 +13,7 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from docloom.functions import text as tx
 from docloom.functions.values import parse_process_date
 from docloom.model import RECENCY_TOP_K, RERANK_TOP_N, SENTENCE_CUTOFF, SIMILARITY_TOP_K
+from docloom.operators.filters import possible_members
+from docloom.session import materialize
 
 #: Numbers in the matrix of a block: 16 MB of single precision.
 NODE_BLOCK, QUESTION_BLOCK = 4 << 20, 1 << 20
@@ -97,18 +100,33 @@ def _blocks(df: DataFrame, key: str, numbers: int, prefix: str) -> DataFrame:
             return pa.RecordBatch.from_pylist([one], schema=schema)
 
         for batch in batches:
-            for org, i, vector in zip(*(batch.column(c) for c in ("org_id", key, "embedding"))):
-                values = vector.values
-                if values is None or values.null_count:
-                    raise ValueError(f"{key} {i.as_py()} has no vector")
-                org, dim = org.as_py(), len(values)
-                ids, vectors = held.setdefault((org, dim), ([], []))
-                ids.append(i.as_py())
-                vectors.append(values.to_numpy(zero_copy_only=False).astype(dtype).tobytes())
-                numbers_held += dim
-                if (len(ids) + 1) * dim > numbers:
-                    numbers_held -= len(ids) * dim
-                    yield block(org, dim)
+            vectors, ids = batch.column("embedding"), batch.column(key)
+            flat = vectors.flatten()
+            if vectors.null_count or flat.null_count:
+                missing = next(i for i, v in zip(ids, vectors) if v.values is None or v.values.null_count)
+                raise ValueError(f"{key} {missing.as_py()} has no vector")
+            lengths = pc.list_value_length(vectors).to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            values = flat.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+            orgs = batch.column("org_id").dictionary_encode()
+            code = orgs.indices.to_numpy().astype(np.int64) * (int(lengths.max(initial=0)) + 1) + lengths
+            order = np.argsort(code, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                if not len(rows):
+                    continue
+                org, dim = orgs.dictionary[orgs.indices[int(rows[0])].as_py()].as_py(), int(lengths[rows[0]])
+                room = max(1, numbers // max(dim, 1))
+                at = 0
+                while at < len(rows):
+                    some_ids, some_vectors = held.setdefault((org, dim), ([], []))
+                    some = rows[at : at + room - len(some_ids)]
+                    at += len(some)
+                    some_ids += ids.take(pa.array(some)).to_pylist()
+                    some_vectors.append(values[starts[some][:, None] + np.arange(dim)].tobytes())
+                    numbers_held += len(some) * dim
+                    if len(some_ids) >= room:
+                        numbers_held -= len(some_ids) * dim
+                        yield block(org, dim)
             while numbers_held > 4 * numbers:
                 largest = max(held, key=lambda k: len(held[k][0]) * k[1])
                 numbers_held -= len(held[largest][0]) * largest[1]
@@ -158,9 +176,15 @@ def top_k(
 
 
 def candidates(nodes: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits with the text of their node and question."""
+    """Hits with the text of their node and question.
+
+    Hits are written, k rows for each question; node texts are dropped where they are scanned unless a hit may name them, so the
+    join moves the texts of hits and not of the collection, whether or not the hits are few enough to be broadcast.
+    """
+    hits = materialize(hits, "hits")
     asked = questions.select("qid", "question", F.col("embedding").alias("q_embedding"))
     texts = nodes.select("org_id", "node_id", "doc_id", "text", "process_date")
+    texts = possible_members(texts, hits, ["org_id", "node_id"])
     # The question's words and vector are joined last, onto k rows per question.
     return texts.join(hits, ["org_id", "node_id"]).join(asked, "qid")
 

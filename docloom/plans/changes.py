@@ -12,6 +12,7 @@ from docloom.operators.sets import load_rows
 from docloom.plans.ingest import stored_rows
 from docloom.session import materialize
 from docloom.sources.collection import Collection
+from docloom.sources.contents import FileStore
 
 
 def delete_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -30,16 +31,18 @@ class ChangeSet:
     rejected: DataFrame
 
 
-def plan_changes(changes: DataFrame, files: DataFrame, embedder) -> ChangeSet:
+def plan_changes(changes: DataFrame, files: DataFrame | FileStore, embedder) -> ChangeSet:
     """Changes (org_id, file_id, operation) against a snapshot of the files taken before any delete.
 
+    Of a FileStore only the folders are read that hold named files; of a DataFrame all rows.
+
     Every named file loses its nodes first, created ones too, so that a repeated batch adds nothing twice.
     Then created and updated files are loaded from the snapshot; unknown ids load nothing.
     """
     valid, rejected = split(valid_operation(changes))
     removed = valid.select("org_id", F.col("file_id").alias("doc_id")).distinct()
     wanted = load_rows(valid).select("org_id", F.col("file_id").alias("id")).distinct()
-    reloaded = files.join(wanted, ["org_id", "id"], "left_semi")
+    reloaded = files.changed(wanted) if isinstance(files, FileStore) else files.join(wanted, ["org_id", "id"], "left_semi")
     docs, bad = documents.load(reloaded)
     added = documents.embed(documents.chunk(docs), embedder)
     return ChangeSet(removed, added, reloaded, bad, rejected)
@@ -66,7 +69,7 @@ def next_files(files: DataFrame, changes: DataFrame) -> DataFrame:
     return state.where("_loaded is null or (_loaded and _bad is null)").select(*files.columns)
 
 
-def write_changes(spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame, embedder, batch: int) -> None:
+def write_changes(spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame | FileStore, embedder, batch: int) -> None:
     """Append the batch to the collection as a unit. Running the same batch again gives the same collection.
 
     Besides nodes and removals it leaves a record of the file rows that were loaded again, of the files that could not be
@@ -83,7 +86,7 @@ def write_changes(spark: SparkSession, collection: Collection, changes: DataFram
 
 
 def apply_changes(
-    spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame, embedder, batch: int
+    spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame | FileStore, embedder, batch: int
 ) -> DataFrame:
     """Append the batch and return the collection after it."""
     write_changes(spark, collection, changes, files, embedder, batch)

@@ -51,7 +51,8 @@ def payloads(asked: DataFrame, answers: DataFrame, sources: DataFrame) -> DataFr
 def retrieve(
     nodes: DataFrame, files: DataFrame, questions: DataFrame, members: DataFrame, embedder, stages=None
 ) -> DataFrame:
-    asked = ask(questions, members, embedder)
+    # Read by the search, for the candidates and for the payloads.
+    asked = materialize(ask(questions, members, embedder), "asked")
     # A few rows per question, needed for the answer and for the sources: the collection is scanned once.
     kept = materialize(context(nodes, asked, embedder, stages).drop("question", "q_embedding"), "context")
     # The last stage that ranked decides the order of the answer.

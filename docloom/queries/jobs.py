@@ -15,6 +15,7 @@ from docloom.queries.registry import query
 from docloom.queries.texts import EMBEDDER, nodes
 from docloom.session import run_dir
 from docloom.sources.collection import Collection
+from docloom.sources.contents import FileStore
 from docloom.streaming import jobs
 
 NODE_SQL = "org_id, node_id, doc_id, chunk_idx, md5(text) AS digest, CAST(256 AS BIGINT) AS dim, process_date"
@@ -150,6 +151,44 @@ def cdc_apply(spark: SparkSession, d: str) -> DataFrame:
     return _shown(ch.apply_changes(spark, collection, fx.changes(spark, d), fx.files(spark, d), EMBEDDER, 1))
 
 
+def _stored(spark: SparkSession, d: str, name: str) -> FileStore:
+    """The files laid out in buckets of 1 MB."""
+    store = FileStore(run_dir(spark, name))
+    store.create(fx.files(spark, d), 1 << 20)
+    return store
+
+
+@query("cdc_stored", with_ctes(f"SELECT {NODE_SQL} FROM next_node", "next_node"))
+def cdc_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The change feed, with contents read from the folders of the named files."""
+    collection, store = _indexed(spark, d, "cdc_stored"), _stored(spark, d, "cdc_stored_files")
+    return _shown(ch.apply_changes(spark, collection, fx.changes(spark, d), store, EMBEDDER, 1))
+
+
+@query(
+    "file_store_put",
+    with_ctes(
+        """SELECT f.org_id, f.id, f.name, md5(CASE WHEN c.operation IS NULL THEN f.content ELSE 'new '||f.content END) AS digest
+           FROM file f LEFT JOIN change c ON c.org_id = f.org_id AND c.file_id = f.id
+           WHERE coalesce(c.operation, '') <> 'DELETED'
+           UNION ALL SELECT 'org_late', 'late'||doc_id, 'late.txt', md5('late') FROM labels JOIN documents USING (doc_id) WHERE toxic = 1""",
+        "file",
+        "change",
+    ),
+)
+def file_store_put(spark: SparkSession, d: str) -> DataFrame:
+    """Deleted files go, other named ones get new content, and an organization comes that was not there; read back."""
+    store, feed = _stored(spark, d, "file_store_put"), fx.changes(spark, d)
+    named = feed.select("org_id", F.col("file_id").alias("id"), "operation")
+    gone = named.where("operation = 'DELETED'")
+    new = store.changed(named.where("operation <> 'DELETED'")).withColumn("content", F.concat(F.lit("new "), "content"))
+    late = store.changed(gone).withColumns(
+        {"org_id": F.lit("org_late"), "id": F.concat(F.lit("late"), F.expr("substring(id, 2)")), "name": F.lit("late.txt"), "content": F.lit("late")}
+    )
+    store.put(1, new.unionByName(late), gone)
+    return store.read(spark).select("org_id", "id", "name", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 @query(
     "cdc_refused",
     with_ctes(
