@@ -33,7 +33,8 @@ TILE = 2048
 LANE = 255
 #: Terms that vote at once, and words whose hashes a task keeps.
 VOTERS = 51 * LANE
-KNOWN = 100_000
+KNOWN = 300_000
+WHITE = " \t\n\v\f\r"
 
 
 class WordHashes(dict):
@@ -127,7 +128,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         for batch in text_parts(batches, 1):
             texts = batch.column(1).to_pylist()
             prints = [fingerprint(known, t) for t in texts]
-            has = [bool(t and t.encode("utf-8", "surrogatepass").split()) for t in texts]
+            has = [bool(t and t.strip(WHITE)) for t in texts]
             columns = [pa.array([len(t or "") for t in texts], pa.int64()), pa.array(has, pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(pa.array(c, pa.int64()) for c in zip(*prints))], ["id", "n_chars", "has_words", "upper", "lower"])
 
@@ -185,7 +186,7 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
             out = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = last[2] if last and last[1] == t else fingerprint(known, t)
-                row = (i, len(t), bool(t.encode("utf-8", "surrogatepass").split()))
+                row = (i, len(t), bool(t.strip(WHITE)))
                 if last is None:
                     out.append((*row, *own, *[None] * 5, part, "first", t))
                 else:
