@@ -20,7 +20,7 @@ ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What is looked for, in this order. Fixed formats.
 PATTERNS = {
-    "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_-]{0,200}\d)[A-Za-z0-9+/_-]{8,})",
+    "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s*+[=:]\s*+[\"']?(?=[A-Za-z+/_-]*+\d)[A-Za-z0-9+/_-]{8,})",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
@@ -156,24 +156,48 @@ def mod97(s: Column) -> Column:
     return F.aggregate(letters(moved), F.lit(0), add)
 
 
-#: The Gregorian calendar repeats after 400 years of 189 * 773 days. Fixed values.
-FIRST_DAY, LAST_DAY, DAY_RADIX = "1800-01-01", "2199-12-31", (189, 773)
+#: The Gregorian calendar repeats after 400 years of 146,097 days: 4,800 months of twelve first days, and 9 * 9,833 others. Fixed values.
+FIRST_DAY, LAST_DAY, MONTHS, FIRST_DAYS, LATER_RADIX = "1800-01-01", "2199-12-31", 4800, 12, (9, 9833)
+
+
+def _moved_day(day: Column, f: Feistel) -> Column:
+    """A permutation of the days of those 400 years, of the first twelve of the months and of all others apart.
+
+    What is written month first can be read day first only if its day is one of the first twelve, and is then read month
+    first. So a date and its image are read the same way in every spelling, and one date has one image in all of them.
+    """
+    first = F.lit(FIRST_DAY).cast("date")
+    month = (F.year(day) - 1800) * 12 + F.month(day) - 1
+    early = f.number("early date", (month * FIRST_DAYS + F.dayofmonth(day) - 1).cast("bigint"), F.lit(MONTHS), F.lit(FIRST_DAYS))
+    from_early = F.date_add(F.add_months(first, divided(early, F.lit(FIRST_DAYS)).cast("int")), F.pmod(early, F.lit(FIRST_DAYS)).cast("int"))
+    # The later days are counted from the first on; of a month's start, those before it.
+    before = lambda m: F.datediff(F.add_months(first, m), first) - FIRST_DAYS * m
+    later = f.number("later date", (F.datediff(day, first) - FIRST_DAYS * (month + 1)).cast("bigint"), *map(F.lit, LATER_RADIX))
+
+    def from_later(y: Column) -> Column:
+        # Months are about equally long: the month is the one reckoned, or one beside it.
+        near = divided(y * MONTHS, F.lit(LATER_RADIX[0] * LATER_RADIX[1])).cast("int")
+        m = F.array_max(F.filter(F.sequence(F.greatest(near - 2, F.lit(0)), F.least(near + 2, F.lit(MONTHS - 1))), lambda k: before(k) <= y))
+        return F.date_add(first, (y + FIRST_DAYS * (m + 1)).cast("int"))
+
+    # An array of one, so that the number is computed once.
+    return F.when(F.dayofmonth(day) <= FIRST_DAYS, from_early).otherwise(F.get(F.transform(F.array(later), from_later), F.lit(0)))
 
 
 def _dates(m: Column, f: Feistel) -> Column:
-    def as_format(pattern: str) -> Column:
+    def read(pattern: str) -> Column:
         day = F.try_to_timestamp(m, F.lit(pattern)).cast("date")
         valid = day.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")) & (F.date_format(day, pattern) == m)
-        number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("bigint")
-        moved = F.date_add(F.lit(FIRST_DAY).cast("date"), f.number("date", number, *map(F.lit, DAY_RADIX)).cast("int"))
-        return F.when(valid, F.date_format(moved, pattern))
-
-    return (
-        F.when(m.rlike(r"^\d{4}-"), as_format("yyyy-MM-dd"))
-        .when(m.rlike(r"^\d{4}/"), as_format("yyyy/MM/dd"))
-        .when(m.rlike(r"\."), as_format("dd.MM.yyyy"))
-        .otherwise(F.coalesce(as_format("MM/dd/yyyy"), as_format("dd/MM/yyyy")))
+        return F.when(valid, F.struct(day.alias("day"), F.lit(pattern).alias("pattern")))
+
+    found = (
+        F.when(m.rlike(r"^\d{4}-"), read("yyyy-MM-dd"))
+        .when(m.rlike(r"^\d{4}/"), read("yyyy/MM/dd"))
+        .when(m.rlike(r"\."), read("dd.MM.yyyy"))
+        .otherwise(F.coalesce(read("MM/dd/yyyy"), read("dd/MM/yyyy")))
     )
+    written = lambda x: F.when(x.isNotNull(), F.call_function("date_format", _moved_day(x["day"], f), x["pattern"]))
+    return F.get(F.transform(F.array(found), written), F.lit(0))
 
 
 def _cards(m: Column, f: Feistel) -> Column:
@@ -217,8 +241,11 @@ def _ibans(m: Column, f: Feistel) -> Column:
 
 
 def _emails(m: Column, f: Feistel) -> Column:
+    # Addresses are equal whatever the case of their letters; the new ones have the same letters in capitals.
     end = F.regexp_extract(m, r"\.[A-Za-z]+$", 0)
-    return F.concat(f.characters("email", F.substring(m, F.lit(1), F.length(m) - F.length(end))), end)
+    old = F.substring(m, F.lit(1), F.length(m) - F.length(end))
+    cased = F.zip_with(letters(old), letters(f.characters("email", F.lower(old))), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b))
+    return F.concat(F.array_join(cased, ""), end)
 
 
 def _secrets(m: Column, f: Feistel) -> Column:

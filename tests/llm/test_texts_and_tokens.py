@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import public_tokenizers
@@ -191,7 +192,8 @@ def all_of(spark, texts):
 def test_pseudonyms_against_plain_version(spark):
     rng = random.Random(4)
     cards = [card(rng) for _ in range(20)]
-    dates = [datetime.date(1800, 1, 1) + datetime.timedelta(rng.randrange(146097)) for _ in range(20)] + [datetime.date(2024, 2, 29)]
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(k) for k in range(146097)]
+    dates = [rng.choice(days) for _ in range(20)] + [datetime.date(2024, 2, 29), days[0], days[-1]]
     ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(20)]
     rows = [(0, k, f"so {c} it") for k, c in enumerate(cards)] + [(1, k, f"on {d:%d.%m.%Y}, {d:%Y-%m-%d}") for k, d in enumerate(dates)] + [(2, k, f"at {i}.") for k, i in enumerate(ips)]
     out = {(r.kind, r.k): r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "kind int, k int, text string"), "text", KEY).collect()}
@@ -200,13 +202,84 @@ def test_pseudonyms_against_plain_version(spark):
         new = re.fullmatch(r"so (\d{16}) it", out[0, k]).group(1)
         assert new[:-1] == payload and luhn(new)
     for k, d in enumerate(dates):
-        moved = datetime.date(1800, 1, 1) + datetime.timedelta(number("date", (d - datetime.date(1800, 1, 1)).days, 189, 773))
+        early = [x for x in days if x.day <= 12]
+        later = [x for x in days if x.day > 12]
+        moved = early[number("early date", early.index(d), 4800, 12)] if d.day <= 12 else later[number("later date", later.index(d), 9, 9833)]
         assert out[1, k] == f"on {moved:%d.%m.%Y}, {moved:%Y-%m-%d}"
     for k, i in enumerate(ips):
         x = number("ip", int.from_bytes(bytes(map(int, i.split(".")))), 65536, 65536)
         assert out[2, k] == "at " + ".".join(map(str, x.to_bytes(4))) + "."
 
 
+def test_dates_of_every_spelling_have_images_of_their_own(spark):
+    """All days of 400 years, in the spellings that can be taken for one another: as many images as strings, each read back the same way."""
+    day = F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(146097).select(day.alias("day")).repartition(8)
+    f = pii.Feistel(KEY)
+    spelled = days.select(F.explode(F.array_distinct(F.array(*(F.date_format("day", p) for p in ("MM/dd/yyyy", "dd/MM/yyyy"))))).alias("old"))
+    rows = spelled.distinct().select("old", pii._dates(F.col("old"), f).alias("new"))
+    day_first = lambda c: F.substring(c, 1, 2) > "12"
+    told = rows.agg(F.count("*"), F.countDistinct("new"), F.count_if(day_first(F.col("old")) != day_first(F.col("new"))), F.count_if(pii._dates(F.col("new"), f).isNull())).first()
+    assert tuple(told) == (146097 + 146097 - 4800 * 12, 146097 + 146097 - 4800 * 12, 0, 0)
+    # One date in several spellings stays one date.
+    text = "2020-12-25 12/25/2020 25/12/2020 25.12.2020 2020/12/25"
+    a, b, c, d, e = all_of(spark, [text])[0][0].split(" ")
+    year, month, day_ = a.split("-")
+    assert [b, c, d, e] == [f"{month}/{day_}/{year}", f"{day_}/{month}/{year}", f"{day_}.{month}.{year}", f"{year}/{month}/{day_}"]
+
+
+def plain_characters(kind: str, s: str) -> str:
+    """The permutation of strings in plain words."""
+    left, right = s[: len(s) // 2], s[len(s) // 2 :]
+
+    def shifted(x: str, turn: int, other: str) -> str:
+        stream = b"".join(hashlib.sha512(f"{KEY}|{kind}|{turn}|{b}|{other}".encode()).digest() for b in range(len(x) // 64 + 1))
+        out = ""
+        for c, k in zip(x, stream):
+            first, size = ("0", 10) if c in string.digits else ("a", 26) if c in string.ascii_lowercase else ("A", 26) if c in string.ascii_uppercase else (c, 1)
+            out += chr(ord(first) + (ord(c) - ord(first) + k) % size)
+        return out
+
+    for turn in range(1, pii.ROUNDS // 2 + 1):
+        left = shifted(left, turn, right)
+        right = shifted(right, -turn, left)
+    return left + right
+
+
+def test_other_kinds_against_plain_version(spark):
+    rng = random.Random(9)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    texts, want = [], []
+    for _ in range(10):
+        area, group, serial = rng.choice([1, 665, 667, 899, 123]), rng.randint(1, 99), rng.randint(1, 9999)
+        y = number("ssn", ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999)
+        order = y // (99 * 9999)
+        texts.append(f"id {area:03d}-{group:02d}-{serial:04d}")
+        want.append(f"id {order + 1 + (order >= 665):03d}-{y // 9999 % 99 + 1:02d}-{y % 9999 + 1:04d}")
+        digits = pick(string.digits, 10)
+        moved = f"{number('phone', int(digits), 10**5, 10**5):010d}"
+        texts.append(f"+1 ({digits[:3]}) {digits[3:6]}-{digits[6:]}")
+        want.append(f"+1 ({moved[:3]}) {moved[3:6]}-{moved[6:]}")
+        rest = pick(string.digits, 18)
+        value = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4]))
+        texts.append(f"DE{98 - value('DE00' + rest) % 97:02d}{rest}")
+        moved = plain_characters("iban", rest)
+        want.append(f"DE{98 - value('DE00' + moved) % 97:02d}{moved}")
+        name, host = pick(string.ascii_letters + string.digits + "._-", 9), pick(string.ascii_letters, 150)
+        moved = plain_characters("email", f"{name}@{host}".lower())
+        texts.append(f"to {name}@{host}.Org")
+        want.append("to " + "".join(b.upper() if a in string.ascii_uppercase else b for a, b in zip(f"{name}@{host}", moved)) + ".Org")
+        secret = pick(string.ascii_letters, 300) + pick(string.digits, 3) + pick(string.ascii_letters + "/_", 20)
+        texts.append(f"password  \t  =    {secret}")
+        want.append(f"password  \t  =    {plain_characters('secret', secret)}")
+    assert [t for t, _ in all_of(spark, texts)] == want
+
+
+def test_addresses_stay_linked_whatever_their_case(spark):
+    a, b = (t for t, _ in all_of(spark, ["Jane.Doe@Example.com", "jane.doe@example.com"]))
+    assert a != b and a.lower() == b and [c.isupper() for c in a] == [c.isupper() for c in "Jane.Doe@Example.com"]
+
+
 def test_numbers_are_permuted(spark):
     f = pii.Feistel("k")
     df = spark.range(189 * 7).select(f.number("x", F.col("id"), F.lit(189), F.lit(7)).alias("y"))
