@@ -13,7 +13,8 @@ hashes, and added up in as many partitions. Of the summaries nothing but a bitma
 pass, and as many others as it is full; those are dropped by their exact counts.
 """
 
-import re
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ from docloom.session import materialize
 
 #: What ends a piece, as fixed by the definition of a phrase; a piece's words stand between spaces and tabs.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
-ENDED = bytes.maketrans(PIECE_ENDS, b"\n" * len(PIECE_ENDS))
-TOKEN = re.compile(rb"\n|[^ \t\n]+")
+#: Stands for the end of a piece: a byte that no text in UTF-8 has.
+END = b"\xff"
+#: A-Z in lower case, and piece ends as one byte; of white space only spaces and tabs are left then.
+PLAIN = bytes.maketrans(PIECE_ENDS + string.ascii_uppercase.encode(), END * len(PIECE_ENDS) + string.ascii_lowercase.encode())
 LONGEST = 4
 #: Counters of a summary, n-grams that a task adds up before it sends them, and words it knows at once.
 COUNTERS = 1 << 18
@@ -46,9 +49,9 @@ class Words(dict):
     """Numbers of words, in order of appearance; 0 is the end of a piece."""
 
     def __init__(self):
-        super().__init__({b"\n": 0})
-        self.words = [b"\n"]
-        self.hashes = [0]
+        super().__init__({END: 0})
+        self.words = [END]
+        self.hashes = array("Q", [0])
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.words)
@@ -61,8 +64,8 @@ def numbered(known: Words, langs: list[str], texts: list[str | None]) -> tuple[n
     """Word numbers of all texts with an end after each, and for each place the number of its language among `langs`."""
     found = []
     for text in texts:
-        tokens = TOKEN.findall(text.encode("utf-8", "surrogatepass").lower().translate(ENDED)) if text else []
-        tokens.append(b"\n")
+        tokens = text.encode("utf-8", "surrogatepass").translate(PLAIN).replace(END, b" \xff ").split() if text else []
+        tokens.append(END)
         found.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))
     lengths = np.array([len(x) for x in found], np.int64)
     return np.concatenate(found), np.repeat(np.array([known_lang(x) for x in langs], np.uint64), lengths)
@@ -133,6 +136,19 @@ def added(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def merged(grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, words, counts) of n-grams, with those that follow one another in the order of their hashes added up if they are the
+    same words. Others of the same hash stay apart; where they alternate, one may come twice, and is added up later."""
+    keys, words, n = map(np.concatenate, zip(*grams))
+    order = np.argsort(keys)
+    keys, words, n = keys[order], words[order], n[order]
+    new = keys[1:] != keys[:-1]
+    for column in words.T:
+        new |= column[1:] != column[:-1]
+    first = np.concatenate([[0], np.flatnonzero(new) + 1])
+    return keys[first], words[first], np.add.reduceat(n, first)
+
+
 def place(keys: np.ndarray) -> np.ndarray:
     """Place of a key in the bitmap."""
     return (keys >> np.uint64(7)).astype(np.int64) & (BITS - 1)
@@ -221,28 +237,31 @@ def counted(docs: DataFrame, bits: np.ndarray, least: int, partitions: int) -> D
     all words. Tasks send what they counted packed to the partitions of the phrases' hashes, which add it up."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def distinct(words: np.ndarray, where: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """A place of every different n-gram among those places, and how many there are of it; by words, not hashes."""
-        code = words[where]
-        most = int(words.max()) + 1
-        for at in range(1, k):
-            _, code = np.unique(code * most + words[where + at], return_inverse=True)
-        _, first, n = np.unique(code, return_index=True, return_counts=True)
-        return where[first], n
-
-    def send(held: dict) -> pa.RecordBatch:
-        packed: dict[tuple[int, str], tuple[list[bytes], list[int]]] = {}
-        for (lang, phrase), n in held.items():
-            phrases, counts = packed.setdefault((xxhash.xxh3_64_intdigest(phrase) % partitions, lang), ([], []))
-            phrases.append(phrase)
-            counts.append(n)
+    def send(held: dict, totals: dict, known: Words) -> pa.RecordBatch:
+        packed: dict[tuple[int, str], tuple[list[bytes], list[bytes]]] = {}
+        names = np.array(known.words, object)
+        for (lang, _), grams in held.items():
+            keys, words, n = merged(grams)
+            part = ((keys >> np.uint64(33)) % np.uint64(partitions)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, n, spelled = part[order], n[order], names[words[order]]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for start, end in zip(cuts, cuts[1:]):
+                said, counts = packed.setdefault((int(part[start]), lang), ([], []))
+                said.append(b"\n".join(map(b" ".join, spelled[start:end].tolist())))
+                counts.append(n[start:end].tobytes())
+        for lang, n in totals.items():
+            said, counts = packed.setdefault((0, lang), ([], []))
+            said.append(b"")
+            counts.append(np.int64(n).tobytes())
         columns = [pa.array([part for part, _ in packed], pa.int64()), pa.array([lang for _, lang in packed], pa.string())]
         columns.append(pa.array([b"\n".join(p) for p, _ in packed.values()], pa.binary()))
-        columns.append(pa.array([np.array(n, np.int64).tobytes() for _, n in packed.values()], pa.binary()))
+        columns.append(pa.array([b"".join(n) for _, n in packed.values()], pa.binary()))
         return pa.RecordBatch.from_arrays(columns, ["part", "lang", "phrases", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = Words(), {}
+        # What was found, by language and number of words: hashes, word numbers and counts.
+        known, held, totals, n = Words(), {}, {}, 0
         for batch in text_parts(batches, 1):
             langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
             for lang in dict.fromkeys(langs):
@@ -251,21 +270,23 @@ def counted(docs: DataFrame, bits: np.ndarray, least: int, partitions: int) -> D
                 hashes = np.array(known.hashes, np.uint64)
                 for k, keys, where in possible(words, mix, hashes, LONGEST, shared.value):
                     if k == 1:
-                        held[lang, b""] = held.get((lang, b""), 0) + len(where)
-                    where = where[passes(shared.value, keys)]
-                    if not len(where):
-                        continue
-                    first, n = distinct(words, where, k)
-                    for place, m in zip(first.tolist(), n.tolist()):
-                        key = lang, b" ".join([known.words[w] for w in words[place : place + k].tolist()])
-                        held[key] = held.get(key, 0) + m
+                        totals[lang] = totals.get(lang, 0) + len(where)
+                    good = passes(shared.value, keys)
+                    keys, where = keys[good], where[good]
+                    if len(where):
+                        grams = np.stack([words[where + at] for at in range(k)], 1).astype(np.int32)
+                        held.setdefault((lang, k), []).append(merged([(keys, grams, np.ones(len(keys), np.int64))]))
+                        n += len(held[lang, k][-1][0])
+            if n > HELD // 2:
+                held = {of: [merged(grams)] for of, grams in held.items()}
+                n = sum(len(grams[0][0]) for grams in held.values())
+            if n > HELD // 4 or len(known) > KNOWN:
+                yield send(held, totals, known)
+                held, totals, n = {}, {}, 0
             if len(known) > KNOWN:
                 known = Words()
-            if len(held) > KNOWN:
-                yield send(held)
-                held = {}
-        if held:
-            yield send(held)
+        if totals:
+            yield send(held, totals, known)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(lang: str, held: dict) -> pa.RecordBatch:
