@@ -10,8 +10,8 @@ before. A bucket of a table is compared bit by bit, in tiles of bounded size tha
 first table that it meets in. What comes out is counts and enough links to join what is joined: never pairs.
 """
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import md5, sha256
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +34,8 @@ LANE = 255
 #: Terms that vote at once, and words whose hashes a task keeps.
 VOTERS = 51 * LANE
 KNOWN = 300_000
+#: What is hashed before a word, by its position in a shingle.
+PLACES = [b"%d:" % at for at in range(WORDS)]
 WHITE = " \t\n\v\f\r"
 
 
@@ -46,15 +48,16 @@ class WordHashes(dict):
 
     def forget(self):
         self.clear()
-        self.table = np.zeros((1024, WORDS, HALVES), np.uint64)
+        self.data = bytearray()
+
+    def table(self) -> np.ndarray:
+        """The hashes by place. Not to be held while words are added."""
+        return np.frombuffer(self.data, "<u8").reshape(-1, WORDS, HALVES)
 
     def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        digests = b"".join(hashlib.md5(b"%d:%s" % (at, word), usedforsecurity=False).digest() for at in range(WORDS))
-        self.table[n] = np.frombuffer(digests, "<u8").reshape(WORDS, HALVES)
-        self[word] = n
+        self[word] = n = len(self)
+        for before in PLACES:
+            self.data += md5(before + word, usedforsecurity=False).digest()
         return n
 
 
@@ -72,9 +75,10 @@ def terms(known: WordHashes, text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not size:
         return np.zeros((0, HALVES), np.uint64), np.zeros(0, np.int64)
     n = len(at) - size + 1
-    hashes = known.table[at[:n], 0]
+    table = known.table()
+    hashes = table[at[:n], 0]
     for k in range(1, size):
-        hashes = hashes ^ known.table[at[k : n + k], k]
+        hashes ^= table[at[k : n + k], k]
     _, first, often = np.unique(hashes[:, 0], return_index=True, return_counts=True)
     return hashes[first], np.frexp(often)[1].astype(np.int64)
 
@@ -161,7 +165,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _compared(known: WordHashes, row: tuple, text: str, own: tuple[int, int], following: str, other: tuple[int, int]) -> tuple:
     new = edited(text, following)
     theirs = own if new == text else fingerprint(known, new)
-    digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+    digest = sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
     return (*row, *own, digest, *theirs, likeness(own, theirs), likeness(own, other), None, None, None)
 
 
