@@ -194,8 +194,9 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_curve(features: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> Curve:
-    """By Newton's method. With rows of one class only, that class's share; without rows, 0."""
+def fit_curve(features: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> Curve:
+    """By Newton's method; each weight of a scaled feature is held by a normal prior of variance 1 / ridge, which many rows outweigh
+    and few do not. With rows of one class only, that class's share; without rows, 0."""
     weights = np.zeros(features.shape[1] + 1)
     if len(set(label.tolist())) < 2:
         weights[0] = 30.0 if label.any() else -30.0
@@ -206,8 +207,8 @@ def fit_curve(features: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> C
     x = x / scale
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        slope = x.T @ (label - p) - ridge * len(x) * weights * (np.arange(len(weights)) > 0)
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(x) * np.eye(len(weights))
+        slope = x.T @ (label - p) - ridge * weights * (np.arange(len(weights)) > 0)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(weights))
         weights = weights + np.linalg.solve(curve, slope)
     return Curve(weights / scale)
 
