@@ -29,6 +29,8 @@ HTML_BREAK = r"(?i)<br(\s[^>]*)?/?>"
 HTML_TAG = r"</?[a-zA-Z!][^>]*>"
 SENTENCE = r"[^.!?]+[.!?]*"
 SEPARATOR = "\x1e"
+#: Sentences whose running word counts are built together.
+SUM_BLOCK = 256
 
 
 def collapse_ws(text: Column) -> Column:
@@ -140,5 +142,76 @@ def chunks(word_list: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERL
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(windows)
 
 
+def _bounded(sentence: Column, size: int) -> Column:
+    """A sentence as pieces of at most `size` words: itself, but for very long ones."""
+    split = spaced_words(sentence)
+    cut = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(split) - 1) / size).cast("int")),
+        lambda i: F.array_join(F.slice(split, i * size + 1, F.lit(size)), " "),
+    )
+    return F.when(F.size(split) <= size, F.array(sentence)).otherwise(cut)
+
+
+def sentence_pieces(text: Column, size: int = CHUNK_SIZE) -> Column:
+    """The sentences of a text whose whitespace is collapsed, those of more than `size` words cut into pieces."""
+    return F.flatten(F.transform(sentences(text), lambda s: _bounded(s, size)))
+
+
+def words_before(pieces: Column) -> Column:
+    """Words before each piece, and of all pieces as the last entry: [0, n1, n1 + n2, ...]."""
+    # The running sums are built by joining lists of sums, so that no list is copied once for each piece.
+    count = F.transform(pieces, lambda p: F.size(spaced_words(p)))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(count) / SUM_BLOCK).cast("int")),
+        lambda i: F.slice(count, i * SUM_BLOCK + 1, F.lit(SUM_BLOCK)),
+    )
+    none = F.array().cast("array<int>")
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def run(xs: Column, start: Column) -> Column:
+        """The running sums of a block, after what stands before it."""
+        grown = F.aggregate(xs, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        return F.slice(grown, F.lit(2), F.size(xs))
+
+    start = F.struct(F.lit(0).alias("sum"), F.array(none).alias("runs"))
+    merged = F.aggregate(
+        blocks,
+        start,
+        lambda a, xs: F.struct((a["sum"] + total(xs)).alias("sum"), F.concat(a["runs"], F.array(run(xs, a["sum"]))).alias("runs")),
+    )
+    return F.concat(F.array(F.lit(0)), F.flatten(merged["runs"]))
+
+
+def packed(before: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Chunks as ranges [begin, end) of pieces, from the words before each piece; [] for no pieces.
+
+    A chunk takes whole pieces while they are at most `size` words. The next begins with the last pieces of it that are at most
+    `overlap` words and leave room for the piece that did not fit, or with that piece.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and below size")
+    n = F.size(before) - 1
+
+    def step(a: Column, i: Column) -> Column:
+        """Piece i (from 0) goes into the open chunk, or closes it."""
+        upto, after = F.get(before, i), F.get(before, i + 1)
+        full = after > a["words"] + size
+        # Pieces of the open chunk that are too far back to be repeated.
+        far = F.greatest(upto - overlap, after - size)
+        inside = F.slice(before, a["begin"] + 1, i - a["begin"])
+        begin = a["begin"] + F.size(F.filter(inside, lambda w: w < far))
+        ranges = F.concat(a["ranges"], F.array(F.struct(a["begin"].alias("begin"), i.alias("end"))))
+        closed = F.struct(begin.alias("begin"), F.get(before, begin).alias("words"), ranges.alias("ranges"))
+        return F.when(full, closed).otherwise(a)
+
+    none = F.array().cast("array<struct<begin:int,end:int>>")
+    start = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("words"), none.alias("ranges"))
+    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    done = F.aggregate(places, start, step, lambda a: F.concat(a["ranges"], F.array(F.struct(a["begin"].alias("begin"), n.alias("end")))))
+    return F.when(n > 0, done).otherwise(none)
+
+
 def sentences(text: Column) -> Column:
     return _non_empty(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)))

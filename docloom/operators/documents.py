@@ -120,6 +120,28 @@ def chunk(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
     )
 
 
+def chunk_sentences(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Like `chunk`, but chunks hold whole sentences: at most `size` words, the last sentences of up to `overlap` words repeated.
+
+    Only a sentence of more than `size` words is cut. A document without sentences has no chunk. Everything happens inside the
+    document's row, in steps, so that each list is computed once.
+    """
+    split = documents.withColumn("_pieces", tx.sentence_pieces(F.col("text"), size))
+    counted = split.withColumn("_before", tx.words_before(F.col("_pieces")))
+    cut = counted.select(
+        "org_id", "doc_id", "process_date", "_pieces", F.posexplode(tx.packed(F.col("_before"), size, overlap)).alias("chunk_idx", "_range")
+    )
+    text = F.array_join(F.slice("_pieces", F.col("_range.begin") + 1, F.col("_range.end") - F.col("_range.begin")), " ")
+    return cut.select(
+        "org_id",
+        F.concat_ws("#", "doc_id", F.col("chunk_idx").cast("string")).alias("node_id"),
+        "doc_id",
+        F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
+        text.alias("text"),
+        "process_date",
+    )
+
+
 def embed(nodes: DataFrame, embedder) -> DataFrame:
     """Adds `embedding`. A vector that is missing or has another length than the embedder's fails the job."""
     embedded = embedder.embed(nodes, "text", "embedding")
@@ -130,7 +152,7 @@ def embed(nodes: DataFrame, embedder) -> DataFrame:
     return embedded.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong))
 
 
-def nodes_of(files: DataFrame, embedder, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Files to embedded nodes in one narrow stage: no shuffle between scan and result."""
+def nodes_of(files: DataFrame, embedder, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, chunker=chunk) -> DataFrame:
+    """Files to embedded nodes in one narrow stage: no shuffle between scan and result. `chunker` may be `chunk_sentences`."""
     documents, _ = load(files)
-    return embed(chunk(documents, size, overlap), embedder)
+    return embed(chunker(documents, size, overlap), embedder)

@@ -31,7 +31,7 @@ class ChangeSet:
     rejected: DataFrame
 
 
-def plan_changes(changes: DataFrame, files: DataFrame | FileStore, embedder) -> ChangeSet:
+def plan_changes(changes: DataFrame, files: DataFrame | FileStore, embedder, chunker=documents.chunk) -> ChangeSet:
     """Changes (org_id, file_id, operation) against a snapshot of the files taken before any delete.
 
     Of a FileStore only the folders are read that hold named files; of a DataFrame all rows.
@@ -44,7 +44,7 @@ def plan_changes(changes: DataFrame, files: DataFrame | FileStore, embedder) ->
     wanted = load_rows(valid).select("org_id", F.col("file_id").alias("id")).distinct()
     reloaded = files.changed(wanted) if isinstance(files, FileStore) else files.join(wanted, ["org_id", "id"], "left_semi")
     docs, bad = documents.load(reloaded)
-    added = documents.embed(documents.chunk(docs), embedder)
+    added = documents.embed(chunker(docs), embedder)
     return ChangeSet(removed, added, reloaded, bad, rejected)
 
 
@@ -69,7 +69,7 @@ def next_files(files: DataFrame, changes: DataFrame) -> DataFrame:
     return state.where("_loaded is null or (_loaded and _bad is null)").select(*files.columns)
 
 
-def write_changes(spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame | FileStore, embedder, batch: int) -> None:
+def write_changes(spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame | FileStore, embedder, batch: int, chunker=documents.chunk) -> None:
     """Append the batch to the collection as a unit. Running the same batch again gives the same collection.
 
     Besides nodes and removals it leaves a record of the file rows that were loaded again, of the files that could not be
@@ -78,7 +78,7 @@ def write_changes(spark: SparkSession, collection: Collection, changes: DataFram
     The changes are read for each of these, so they are written down first; from their size the planner can tell whether
     to broadcast them against the files.
     """
-    change_set = plan_changes(materialize(changes, "changes"), files, embedder)
+    change_set = plan_changes(materialize(changes, "changes"), files, embedder, chunker)
     collection.record(stored_rows(documents.loadable(change_set.reloaded)), "file_rows", batch)
     collection.record(change_set.quarantine.select(*QUARANTINE_SCHEMA.fieldNames()), "quarantine", batch)
     collection.record(change_set.rejected.select(*REJECTED_SCHEMA.fieldNames()), "rejected", batch)
@@ -86,10 +86,10 @@ def write_changes(spark: SparkSession, collection: Collection, changes: DataFram
 
 
 def apply_changes(
-    spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame | FileStore, embedder, batch: int
+    spark: SparkSession, collection: Collection, changes: DataFrame, files: DataFrame | FileStore, embedder, batch: int, chunker=documents.chunk
 ) -> DataFrame:
     """Append the batch and return the collection after it."""
-    write_changes(spark, collection, changes, files, embedder, batch)
+    write_changes(spark, collection, changes, files, embedder, batch, chunker)
     return collection.load(spark)
 
 

@@ -29,10 +29,10 @@ class Ingest:
     nodes: DataFrame
 
 
-def plan_ingest(files: DataFrame, embedder) -> Ingest:
-    """Files that fail to load are in `quarantine` and not in the file table."""
+def plan_ingest(files: DataFrame, embedder, chunker=documents.chunk) -> Ingest:
+    """Files that fail to load are in `quarantine` and not in the file table. `chunker` makes chunks of documents."""
     docs, bad = documents.load(files)
-    return Ingest(stored_rows(documents.loadable(files)), bad, docs, documents.embed(documents.chunk(docs), embedder))
+    return Ingest(stored_rows(documents.loadable(files)), bad, docs, documents.embed(chunker(docs), embedder))
 
 
 def file_list(have: DataFrame, ingest: Ingest) -> DataFrame:
@@ -57,6 +57,7 @@ def run_ingest(
     status_path: str | None = None,
     batch: int = 0,
     ready: DataFrame | None = None,
+    chunker=documents.chunk,
 ) -> DataFrame:
     """Index the files and return the collection. Statuses go INDEXING, then SUCCESS or FAIL, to an append-only log.
 
@@ -73,7 +74,7 @@ def run_ingest(
 
     log("INDEXING", 1)
     try:
-        plan = plan_ingest(files, embedder)
+        plan = plan_ingest(files, embedder, chunker)
         collection.record(plan.file_rows, "file_rows", batch)
         collection.record(plan.quarantine.select(*QUARANTINE_SCHEMA.fieldNames()), "quarantine", batch)
         collection.publish(spark, batch, nodes=plan.nodes)

@@ -51,6 +51,28 @@ def sql_sentences(x: str) -> str:
     return sql_non_empty(f"regexp_extract_all({x}, {lit(tx.SENTENCE)})")
 
 
+def sentence_chunks(size: int, overlap: int) -> str:
+    """Chunks of whole sentences: from a chunk's first piece the next one is looked up in the running word counts."""
+    words = "len(string_split(e, ' '))"
+    cut = f"list_transform(range(0, {words}, {size}), lambda i: array_to_string(string_split(e, ' ')[i+1 : i+{size}], ' '))"
+    pieces = f"flatten(list_transform({sql_sentences('text')}, lambda e: CASE WHEN {words} <= {size} THEN [e] ELSE {cut} END))"
+    return f"""
+        SELECT org_id, doc_id||'#'||k AS node_id, doc_id, CAST(k AS BIGINT) AS chunk_idx, process_date, array_to_string(ps[b+1 : e], ' ') AS text
+        FROM (
+          WITH RECURSIVE piece AS (SELECT org_id, doc_id, process_date, {pieces} AS ps FROM document),
+          counted AS (SELECT *, list_transform(ps, lambda e: {words}) AS ws FROM piece WHERE len(ps) > 0),
+          run AS (SELECT *, list_transform(range(len(ps) + 1), lambda i: CAST(coalesce(list_sum(ws[1 : i]), 0) AS BIGINT)) AS cum FROM counted),
+          walk AS (
+            SELECT org_id, doc_id, process_date, ps, cum, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS b,
+                   CAST(len(list_filter(cum, lambda x: x <= {size})) - 1 AS BIGINT) AS e
+            FROM run
+            UNION ALL
+            SELECT org_id, doc_id, process_date, ps, cum, k + 1, nb, CAST(len(list_filter(cum, lambda x: x <= cum[nb+1] + {size})) - 1 AS BIGINT)
+            FROM (SELECT *, CAST(len(list_filter(cum, lambda x: x < greatest(cum[e+1] - {overlap}, cum[e+2] - {size}))) AS BIGINT) AS nb
+                  FROM walk WHERE e < len(ps)))
+          SELECT * FROM walk)"""
+
+
 SQL_EXT = "string_split(name, '.')[-1]"
 SUPPORTED = ", ".join(lit(e) for e in SUPPORTED_EXTENSIONS)
 NOT_EMPTY_LIST = "list_filter(string_split(text, ' '), lambda w: w <> '')"

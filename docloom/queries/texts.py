@@ -15,7 +15,7 @@ from docloom.plans.changes import delete_nodes
 from docloom.queries import fixtures as fx
 from docloom.queries.fixtures import table, with_ctes
 from docloom.queries.registry import query
-from docloom.queries.text_sql import sql_html, sql_lines
+from docloom.queries.text_sql import sentence_chunks, sql_html, sql_lines
 from docloom.session import materialize
 from docloom.sources.catalog import as_text
 
@@ -78,6 +78,12 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d)
 
 
+@query("chunk_sentences", with_ctes(sentence_chunks(128, 20), "document"))
+def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of whole sentences, of at most 128 words so that the given texts have several."""
+    return documents.chunk_sentences(documents.load(fx.files(spark, d))[0], 128, 20)
+
+
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows-to-rows form of the chunker, for callers that bring their own splitting: Arrow batches (doc_id, text)."""
     step = CHUNK_SIZE - CHUNK_OVERLAP
