@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.functions import values as v
 from docloom.model import FILE_DEFAULTS, INVITATION_DEFAULTS, ORGANIZATION_DEFAULTS, USER_DEFAULTS, WRITE_BATCH
-from docloom.operators import checks, keyed, rollup, sets
+from docloom.operators import checks, keyed, rollup, sets, transitions
 from docloom.operators.documents import loadable
 from docloom.plans.directory import user_organizations
 from docloom.plans.ingest import stored_rows
@@ -454,6 +454,27 @@ def status_latest(spark: SparkSession, d: str) -> DataFrame:
     return rollup.latest_status(fx.status_log(spark, d))
 
 
+@query(
+    "status_transitions",
+    with_ctes(
+        """
+        , placed AS (SELECT *, row_number() OVER (ORDER BY org_id, account_token, ts, seq, status) AS place FROM status_log),
+        stretch AS (SELECT *, coalesce(max(place) FILTER (status = 'SYNCING') OVER (PARTITION BY org_id, account_token ORDER BY place), 0) AS start FROM placed),
+        firsts AS (SELECT *, min(place) FILTER (status = 'INDEXING') OVER (PARTITION BY org_id, account_token, start) AS i,
+                          min(place) FILTER (status = 'FAIL') OVER (PARTITION BY org_id, account_token, start) AS f FROM stretch),
+        ended AS (SELECT *, min(place) FILTER (status IN ('SUCCESS', 'FAIL') AND place > i) OVER (PARTITION BY org_id, account_token, start) AS e FROM firsts)
+        SELECT org_id, account_token, status, ts, seq,
+               CASE WHEN status = 'SYNCING' OR (i < coalesce(f, place + i) AND (place = i OR place = e)) OR (f < coalesce(i, place + f) AND place = f)
+                    THEN NULL ELSE 'not allowed here' END AS refused
+        FROM ended""",
+        "status_log",
+    ),
+)
+def status_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the status log and, if it may not follow the rows before it, why not."""
+    return transitions.judged(fx.status_log(spark, d))
+
+
 @query(
     "token_usage",
     f"""SELECT conv_id, CAST(sum(len({sql_words('text')})) AS BIGINT) AS tokens, count(*) AS texts
