@@ -14,6 +14,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The table's rows as a stream, whether the table is one file or a folder of part files.
+
+    The path is given as a pattern that only its own name fits: Spark takes a plain path for a folder, and a filter by file name
+    would find no part file.
+    """
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/[{name[0]}]{name[1:]}.parquet")
+
+
 def _text(c: str) -> Column:
     return F.col(c).cast("string")
 

@@ -514,8 +514,7 @@ def integration_add(spark: SparkSession, d: str) -> DataFrame:
 def stream_cdc(spark: SparkSession, d: str) -> DataFrame:
     """The change feed as a stream, applied in micro-batches; the collection is read back."""
     collection = _indexed(spark, d, "stream_cdc")
-    schema = table(spark, d, "labels").schema
-    labels = spark.readStream.schema(schema).option("pathGlobFilter", "labels.parquet").parquet(d)
+    labels = fx.stream(spark, d, "labels")
     feed = fx.changes(spark, d, labels)
     run = jobs.sync_collection(
         feed, lambda: fx.files(spark, d), collection, EMBEDDER, run_dir(spark, "stream_cdc_log"), available_now=True
@@ -528,8 +527,7 @@ def stream_cdc(spark: SparkSession, d: str) -> DataFrame:
 def stream_query(spark: SparkSession, d: str) -> DataFrame:
     """The questions as a stream; the answers are read back."""
     held = nodes(spark, d)
-    schema = table(spark, d, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    turns = fx.stream(spark, d, "conversations")
     out = run_dir(spark, "stream_query")
     run = jobs.answer_questions(
         fx.questions(spark, d, turns),
@@ -555,8 +553,7 @@ def stream_query(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Windows that the watermark has closed; the last ones stay open until more samples come."""
-    schema = table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = fx.stream(spark, d, "events")
     out = run_dir(spark, "stream_metrics")
     samples = events.select("ts", F.col("user_id").alias("series"), "value")
     run = jobs.rolling_metrics(samples, out, run_dir(spark, "stream_metrics_log"), available_now=True)
