@@ -1,22 +1,19 @@
 """Similarity search over node collections and the stages after it.
 
-`top_k` never forms the join of questions and nodes. Both are packed into blocks of their organization where they are
-scanned, a block being one row of ids and a matrix, and the blocks are joined by organization: with few questions the
-planner broadcasts the question blocks by their size and the nodes stay where they are; with many it shuffles both sides
-once, and splits an organization that holds a third of all nodes like any skewed key. A pair of blocks is scored as a
-matrix product, and only the best k per question leave it. The plan is the same at every size, and the top k is exact.
+`top_k` never forms the join of questions and nodes. An organization's nodes and questions are dealt into parts of bounded size,
+as many as its counts ask for, and each pair of parts is one group of a cogroup: an organization that holds all nodes is spread
+over as many tasks as it has pairs, and a task holds one pair whatever the size of the tables. A pair is scored block by block as
+matrix products, and only the best k per question leave it. The plan is the same at every size, and the top k is exact.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.functions import text as tx
 from docloom.functions.values import parse_process_date
@@ -24,8 +21,11 @@ from docloom.model import RECENCY_TOP_K, RERANK_TOP_N, SENTENCE_CUTOFF, SIMILARI
 from docloom.operators.filters import possible_members
 from docloom.session import materialize
 
-#: Numbers in the matrix of a block: 16 MB of single precision.
+#: Numbers in the matrix of a block, and in that of a part of an organization: 16 MB of nodes, 4 MB of questions in single precision.
 NODE_BLOCK, QUESTION_BLOCK = 4 << 20, 1 << 20
+NODE_PART, QUESTION_PART = 4 << 20, 1 << 20
+#: Rows of a block that are scored at once, and numbers of the pairs scored exactly at once.
+NODE_ROWS, QUESTION_ROWS, EXACT_NUMBERS = 4096, 512, 1 << 20
 HIT_SCHEMA = "org_id string, qid bigint, node_id string, score double"
 # Similarities are compared at this many digits, so that the order of summation cannot decide a rank.
 SCORE_DIGITS = 9
@@ -49,128 +49,129 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.copysign(np.floor(np.abs(cos) * unit + 0.5) / unit, cos) + 0.0
 
 
-def _best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best k hits per question; equal scores go to the smaller node id."""
-    ranked = hits.sort_values(["q", "score", "node_id"], ascending=[True, False, True])
-    return ranked.groupby("q", sort=False).head(k)
+def _first(k: int, rows: np.ndarray, nodes: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each row, best first; equal scores go to the smaller node."""
+    order = np.lexsort((nodes, -scores, rows))
+    rows = rows[order]
+    at = np.arange(len(rows))
+    place = at - np.maximum.accumulate(np.where(np.r_[True, rows[1:] != rows[:-1]], at, 0)) if len(rows) else at
+    kept = place < k
+    return rows[kept], nodes[order][kept], scores[order][kept]
 
 
-def _score_block(ids: np.ndarray, nodes: np.ndarray, questions: np.ndarray, k: int) -> pd.DataFrame:
-    """Best k nodes of the block for each question, by its position `q`.
+def _score_part(nodes: np.ndarray, questions: np.ndarray, k: int, node_rows: int, question_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k nodes for each question, as rows (question, node, score) of positions.
 
-    A single-precision product finds every node that can be among the best k, ties included; only those are
-    scored exactly.
+    A single-precision product finds every node that can be among the best k of what was seen so far, ties included; only those
+    are scored exactly. The best k of a question are carried from block to block.
     """
     units, q_units = _unit(nodes), _unit(questions)
-    found = [pd.DataFrame({"q": np.zeros(0, np.int64), "node_id": ids[:0], "score": np.zeros(0)})]
-    for start in range(0, len(questions), 256):
-        approx = q_units[start : start + 256] @ units.T
-        bar = np.full((len(approx), 1), -np.inf, dtype=np.float32)
-        if len(ids) > k:
-            bar = np.partition(approx, len(ids) - k, axis=1)[:, len(ids) - k : len(ids) - k + 1] - SLACK
-        q, n = np.nonzero(approx >= bar)
-        q += start
-        # Many ties may pass, so the exact scores are taken in bounded pieces.
-        for at in range(0, len(q), 65536):
-            qs, ns = q[at : at + 65536], n[at : at + 65536]
-            hits = pd.DataFrame({"q": qs, "node_id": ids[ns], "score": _exact(nodes[ns], questions[qs])})
-            found.append(_best(hits, k))
-    return _best(pd.concat(found[1:] or found, ignore_index=True), k)
-
-
-def _blocks(df: DataFrame, key: str, numbers: int, prefix: str) -> DataFrame:
-    """Rows of an organization packed where they are scanned: (org_id, ids, dim, vectors).
-
-    A block has at most so many numbers, but a row at least; a task holds four blocks' worth before it gives away what it
-    has, whatever the number of organizations. A row without a vector fails the job.
-    """
-    double = isinstance(df.schema["embedding"].dataType.elementType, T.DoubleType)
-    dtype = np.dtype(np.float64 if double else np.float32)
-    id_type = df.schema[key].dataType
-    arrow_id = pa.string() if isinstance(id_type, T.StringType) else pa.int64()
-    schema = pa.schema([("org_id", pa.string()), (f"{prefix}_ids", pa.list_(arrow_id)), ("dim", pa.int32()), (f"{prefix}_vectors", pa.binary())])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[list, list]] = {}
-        numbers_held = 0
-
-        def block(org, dim: int) -> pa.RecordBatch:
-            ids, vectors = held.pop((org, dim))
-            one = {"org_id": org, f"{prefix}_ids": ids, "dim": dim, f"{prefix}_vectors": b"".join(vectors)}
-            return pa.RecordBatch.from_pylist([one], schema=schema)
-
-        for batch in batches:
-            vectors, ids = batch.column("embedding"), batch.column(key)
-            flat = vectors.flatten()
-            if vectors.null_count or flat.null_count:
-                missing = next(i for i, v in zip(ids, vectors) if v.values is None or v.values.null_count)
-                raise ValueError(f"{key} {missing.as_py()} has no vector")
-            lengths = pc.list_value_length(vectors).to_numpy()
-            starts = np.cumsum(lengths) - lengths
-            values = flat.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
-            orgs = batch.column("org_id").dictionary_encode()
-            code = orgs.indices.to_numpy().astype(np.int64) * (int(lengths.max(initial=0)) + 1) + lengths
-            order = np.argsort(code, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
-                if not len(rows):
-                    continue
-                org, dim = orgs.dictionary[orgs.indices[int(rows[0])].as_py()].as_py(), int(lengths[rows[0]])
-                room = max(1, numbers // max(dim, 1))
-                at = 0
-                while at < len(rows):
-                    some_ids, some_vectors = held.setdefault((org, dim), ([], []))
-                    some = rows[at : at + room - len(some_ids)]
-                    at += len(some)
-                    some_ids += ids.take(pa.array(some)).to_pylist()
-                    some_vectors.append(values[starts[some][:, None] + np.arange(dim)].tobytes())
-                    numbers_held += len(some) * dim
-                    if len(some_ids) >= room:
-                        numbers_held -= len(some_ids) * dim
-                        yield block(org, dim)
-            while numbers_held > 4 * numbers:
-                largest = max(held, key=lambda k: len(held[k][0]) * k[1])
-                numbers_held -= len(held[largest][0]) * largest[1]
-                yield block(*largest)
-        for group in list(held):
-            yield block(*group)
-
-    rows = df.select("org_id", key, "embedding").where("org_id is not null")
-    ids = "string" if isinstance(id_type, T.StringType) else "bigint"
-    return rows.mapInArrow(pack, f"org_id string, {prefix}_ids array<{ids}>, dim int, {prefix}_vectors binary")
+    step = max(1, EXACT_NUMBERS // max(nodes.shape[1], 1))
+    done = []
+    for start in range(0, len(questions), question_rows):
+        some = q_units[start : start + question_rows]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        bar = np.full((len(some), 1), -np.inf, dtype=np.float32)
+        for at in range(0, len(nodes), node_rows):
+            approx = some @ units[at : at + node_rows].T
+            possible = approx >= bar
+            if approx.shape[1] > k and np.count_nonzero(possible) > 4 * k * len(some):
+                kth = approx.shape[1] - k
+                possible = approx >= np.maximum(bar, np.partition(approx, kth, axis=1)[:, kth : kth + 1] - np.float32(SLACK))
+            q, n = np.divmod(np.flatnonzero(possible), approx.shape[1])
+            # Many ties may pass, so the exact scores are taken in bounded pieces.
+            for piece in range(0, len(q), step):
+                qs, ns = q[piece : piece + step], n[piece : piece + step] + at
+                found = (qs, ns, _exact(nodes[ns], questions[start + qs]))
+                best = _first(k, *(np.concatenate(both) for both in zip(best, found)))
+            if len(q):
+                rows, counts = np.unique(best[0], return_counts=True)
+                full = counts == k
+                bar[rows[full], 0] = best[2][np.cumsum(counts)[full] - 1] - SLACK
+        done.append((best[0] + start, *best[1:]))
+    return tuple(np.concatenate(parts) for parts in zip(*done))
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    vectors = pa.concat_arrays(rows["embedding"].chunks)
+    lengths = pc.list_value_length(vectors).to_numpy()
+    if lengths.min() != lengths.max():
+        raise ValueError("all vectors must have the same length")
+    values = vectors.flatten().to_numpy(zero_copy_only=False)
+    return values.astype(np.float64 if values.dtype == np.float64 else np.float32, copy=False).reshape(len(lengths), -1)
+
+
+def _vectors(df: DataFrame, key: str) -> DataFrame:
+    """(org_id, key, embedding) of what has an organization. A row without a vector fails the job."""
+    missing = F.raise_error(F.concat(F.lit(f"{key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" has no vector")))
+    none = F.col("embedding").isNull() | F.exists("embedding", lambda x: x.isNull())
+    whole = F.when(none, missing.cast(df.schema["embedding"].dataType)).otherwise(F.col("embedding"))
+    return df.where("org_id is not null").select("org_id", key, whole.alias("embedding"))
+
+
+def _parts(nodes: DataFrame, questions: DataFrame, node_part: int, question_part: int) -> DataFrame:
+    """In how many parts the nodes and the questions of each organization are dealt: a row for each that has both."""
+    held = nodes.groupBy("org_id").agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("numbers"))
+    asked = questions.groupBy("org_id").agg(F.count("*").alias("q"))
+    dim = F.col("numbers") / F.col("n")
+    counted = held.join(asked, "org_id").select(
+        "org_id",
+        F.greatest(F.ceil(F.col("numbers") / node_part), F.lit(1)).cast("int").alias("n_parts"),
+        F.greatest(F.ceil(F.col("q") * dim / question_part), F.lit(1)).cast("int").alias("q_parts"),
+    )
+    return materialize(counted, "parts")
 
 
 def top_k(
-    nodes: DataFrame, questions: DataFrame, k: int = SIMILARITY_TOP_K, node_block: int = NODE_BLOCK, question_block: int = QUESTION_BLOCK
+    nodes: DataFrame,
+    questions: DataFrame,
+    k: int = SIMILARITY_TOP_K,
+    node_block: int = NODE_BLOCK,
+    question_block: int = QUESTION_BLOCK,
+    node_part: int = NODE_PART,
+    question_part: int = QUESTION_PART,
 ) -> DataFrame:
     """Best k nodes by cosine per question (org_id, qid, embedding) inside its own organization, with `rank`.
 
     Vectors of several lengths, from different embedders, fail, and so does a node or question without a vector. What has
-    no organization is in none.
+    no organization is in none. Parts are what a task holds of an organization, blocks what it multiplies at once; both are given
+    in numbers. The counts of the organizations are taken first, in a job of their own.
     """
-    double = [isinstance(df.schema["embedding"].dataType.elementType, T.DoubleType) for df in (nodes, questions)]
-    n_type, q_type = (np.dtype(np.float64 if d else np.float32) for d in double)
-    n, q = _blocks(nodes, "node_id", node_block, "n"), _blocks(questions, "qid", question_block, "q")
-    pairs = n.withColumnRenamed("dim", "n_dim").join(q.withColumnRenamed("dim", "q_dim"), "org_id")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = ("org_id", "n_ids", "n_dim", "n_vectors", "q_ids", "q_dim", "q_vectors")
-            for org, ids, dim, vectors, qids, q_dim, q_vectors in zip(*(batch.column(c) for c in names)):
-                if dim != q_dim:
-                    raise ValueError("all vectors must have the same length")
-                held = np.frombuffer(vectors.as_buffer(), n_type).reshape(-1, dim.as_py())
-                asked = np.frombuffer(q_vectors.as_buffer(), q_type).reshape(-1, dim.as_py())
-                hits = _score_block(np.array(ids.as_py(), object), held, asked, k)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "org_id": pa.array([org.as_py()] * len(hits), pa.string()),
-                        "qid": pa.array(np.array(qids.as_py(), np.int64)[hits["q"].to_numpy(np.int64)], pa.int64()),
-                        "node_id": pa.array(hits["node_id"].to_list(), pa.string()),
-                        "score": pa.array(hits["score"].to_numpy(np.float64), pa.float64()),
-                    }
-                )
-
-    hits = pairs.mapInArrow(score, HIT_SCHEMA)
+    parts = _parts(nodes, questions, node_part, question_part)
+
+    def places(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def dealt(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    held = _vectors(nodes, "node_id").join(parts, "org_id")
+    held = held.select("org_id", dealt("node_id", "n_parts").alias("_n"), places("q_parts").alias("_q"), "node_id", "embedding")
+    asked = _vectors(questions, "qid").join(parts, "org_id")
+    # The key is a column of its own, since nodes and questions may be of one table.
+    asked = asked.select(F.col("org_id").alias("org_id"), places("n_parts").alias("_n"), dealt("qid", "q_parts").alias("_q"), "qid", "embedding")
+
+    def score(key: tuple, n: pa.Table, q: pa.Table) -> pa.Table:
+        rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if n.num_rows and q.num_rows:
+            # In the order of the ids, so that of equal scores the smaller position wins.
+            n = n.take(pc.sort_indices(n["node_id"], null_placement="at_start"))
+            vectors, q_vectors = _matrix(n), _matrix(q)
+            if vectors.shape[1] != q_vectors.shape[1]:
+                raise ValueError("all vectors must have the same length")
+            dim = max(vectors.shape[1], 1)
+            n_rows, q_rows = min(NODE_ROWS, node_block // dim), min(QUESTION_ROWS, question_block // dim)
+            rows = _score_part(vectors, q_vectors, k, max(n_rows, 1), max(q_rows, 1))
+        at, found, scores = rows
+        org = pa.array([key[0].as_py()] * len(at), pa.string())
+        hits = {"org_id": org, "qid": q["qid"].take(pa.array(at)), "node_id": n["node_id"].take(pa.array(found)), "score": scores}
+        return pa.table(hits, schema=pa.schema({"org_id": pa.string(), "qid": pa.int64(), "node_id": pa.string(), "score": pa.float64()}))
+
+    # A pair is much work on little data, so tasks are not merged by their bytes: the number of partitions is given.
+    pair = ["org_id", "_n", "_q"]
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held, asked = (df.repartition(tasks, *pair).groupBy(*pair) for df in (held, asked))
+    hits = held.cogroup(asked).applyInArrow(score, HIT_SCHEMA)
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "node_id")
     return hits.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
