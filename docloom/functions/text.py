@@ -1,12 +1,11 @@
-"""Text expressions: whitespace, elements, chunks, sentences. All but character references are built-in functions."""
+"""Text expressions: whitespace, elements, chunks, sentences. All are built-in functions."""
 
-import html as html_module
-import re
+import json
+from html import unescape
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.model import CHUNK_OVERLAP, CHUNK_SIZE
 
@@ -63,12 +62,52 @@ def line_elements(text: Column) -> Column:
     return _non_empty(F.split(text, "\n", -1))
 
 
-@F.pandas_udf(T.StringType())
-def decode_references(texts: pd.Series) -> pd.Series:
-    """All character references of html, each decoded once; the separator of blocks cannot come from one."""
-    decode = lambda m: html_module.unescape(m.group()).replace("\x1e", " ")
-    pattern = re.compile(REFERENCE)
-    return texts.map(lambda t: t if t is None or "&" not in t else pattern.sub(decode, t))
+# Names that count without a semicolon too, so that a longer unknown name may begin with one; the longest wins.
+OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+# Numbers that do not stand for the character of that number.
+ODD_NUMBERS = [*range(0xA0), *range(0xFDD0, 0xFDF0), *(p << 16 | low for p in range(17) for low in (0xFFFE, 0xFFFF))]
+# The names seen most come first, since a map is searched from its beginning.
+FREQUENT_NAMES = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "middot;"]
+REFERRED = json.dumps(
+    {n: html5[n] for n in (*FREQUENT_NAMES, *sorted(html5)) if n.endswith(";")} | {f"#{i}": unescape(f"&#{i};") for i in ODD_NUMBERS}
+)
+# Characters that hold any reference.
+LONGEST_REFERENCE = 40
+
+
+def decode_references(text: Column) -> Column:
+    """All character references of html, each decoded once, as `html.unescape` does; what is none stays."""
+    referred = F.from_json(F.lit(REFERRED), "map<string,string>")
+
+    def numbered(body: Column) -> Column:
+        hexed = F.lower(F.substring(body, 3, 1)) == "x"
+        digits = F.when(hexed, F.conv(F.substring(body, 4, 8), 16, 10)).otherwise(F.substring(body, 3, 8))
+        number = digits.cast("int")
+        # The mark of the byte order is said, so that it is not taken out of the text.
+        utf32 = F.concat(F.lit("0000FEFF"), F.lpad(F.hex(number), 8, "0"))
+        char = F.coalesce(F.try_element_at(referred, F.concat(F.lit("#"), number.cast("string"))), F.decode(F.unhex(utf32), "UTF-32"))
+        return F.when(number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd").otherwise(char)
+
+    def named(body: Column) -> Column:
+        name = F.substring(body, 2, LONGEST_REFERENCE)
+        begin = F.regexp_extract(name, f"^({OPEN_NAMES})", 1)
+        rest = name.substr(F.length(begin) + 1, F.length(name))
+        longer = F.concat(F.try_element_at(referred, F.concat(begin, F.lit(";"))), rest, F.lit(";"))
+        return F.coalesce(F.try_element_at(referred, F.concat(name, F.lit(";"))), longer, F.concat(body, F.lit(";")))
+
+    def decoded(piece: Column) -> Column:
+        head = F.substring(piece, 1, LONGEST_REFERENCE)
+        body = F.substring_index(head, ";", 1)
+        char = F.when(body.startswith("&#"), numbered(body)).otherwise(named(body))
+        rest = piece.substr(F.length(body) + 2, F.length(piece))
+        return F.when(head.rlike(f"^{REFERENCE}"), F.concat(char, rest)).otherwise(piece)
+
+    def whole(t: Column) -> Column:
+        pieces = F.transform(F.split(t, f"(?={REFERENCE})", -1), decoded)
+        return F.when(t.contains("&"), F.array_join(pieces, "")).otherwise(t)
+
+    # Inside a list of one, so that the text is computed once.
+    return F.get(F.transform(F.array(text), whole), F.lit(0))
 
 
 def html_blocks(html: Column) -> Column:

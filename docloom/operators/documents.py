@@ -18,7 +18,7 @@ def elements(ext: Column, content: Column) -> Column:
     """Text elements of a file's content by its extension; null where no parser exists."""
     out = F.when(ext.isin(LINES), tx.line_elements(content))
     for name, (parse, _) in MARKUP.items():
-        # Null for all other files: what a parser sends to Python is computed for every row.
+        # Null for all other files, whatever the order in which Spark computes them.
         out = out.when(ext == name, parse(F.when(ext == name, content)))
     return out
 

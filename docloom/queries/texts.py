@@ -84,19 +84,30 @@ def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
     return documents.chunk_sentences(documents.load(fx.files(spark, d))[0], 128, 20)
 
 
+#: Characters of chunks that are given away together.
+CHUNK_CHARS = 1 << 20
+
+
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows-to-rows form of the chunker, for callers that bring their own splitting: Arrow batches (doc_id, text)."""
+    """Rows-to-rows form of the chunker, for callers that bring their own splitting: Arrow batches (doc_id, text).
+
+    One text at a time is split, and chunks leave as soon as they have so many characters.
+    """
     step = CHUNK_SIZE - CHUNK_OVERLAP
+    names, kinds = ["doc_id", "chunk_idx", "text"], (pa.string(), pa.int64(), pa.string())
     for batch in batches:
-        ids, places, texts = [], [], []
-        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = [w for w in (text or "").split(" ") if w]
-            starts = range(0, max(len(words) - CHUNK_OVERLAP, min(len(words), 1)), step)
-            ids += [doc_id] * len(starts)
-            places += range(len(starts))
-            texts += [" ".join(words[at : at + CHUNK_SIZE]) for at in starts]
-        columns = [pa.array(ids, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk_idx", "text"])
+        held, chars = ([], [], []), 0
+        for doc_id, text in zip(*batch.columns):
+            words = [w for w in (text.as_py() or "").split(" ") if w]
+            for place, at in enumerate(range(0, max(len(words) - CHUNK_OVERLAP, min(len(words), 1)), step)):
+                chunk = " ".join(words[at : at + CHUNK_SIZE])
+                for column, value in zip(held, (doc_id.as_py(), place, chunk)):
+                    column.append(value)
+                chars += len(chunk)
+                if chars >= CHUNK_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds)], names)
+                    held, chars = ([], [], []), 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds)], names)
 
 
 @query("udtf_chunker", with_ctes("SELECT doc_id, chunk_idx, text FROM chunk", "chunk"))
