@@ -1,8 +1,8 @@
 """Byte-level BPE by DuckDB inside the tasks of a Spark job.
 
 Each task cuts its texts by the tokenizer's pattern, and DuckDB merges the task's distinct words: a recursive query over
-rows (word, position, id) joins each neighbouring pair with the merge table, contracts in every word its leftmost pair
-of least rank, and ends when no pair can be merged. Decoding joins rows (text, position, id) with the vocabulary and
+rows (word, position, id) contracts in every word its leftmost pair of least rank, joins the pairs that this makes with the
+merge table, and ends when no pair can be merged. Decoding joins rows (text, position, id) with the vocabulary and
 aggregates the pieces in order. Whole texts, no special tokens, no shuffle; memory is bounded by the Arrow batch and by
 the slices that DuckDB gets.
 
@@ -12,7 +12,7 @@ Null and empty texts have no ids; an id outside the vocabulary fails the job, as
 import base64
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +31,28 @@ SLICE_CHARS = 1 << 21
 SLICE_IDS = 1 << 19
 #: Rows that the rounds over a slice of words keep at most: for each word about half the square of its bytes.
 SLICE_ROWS = 2_000_000
-KEPT_WORDS = 200_000
+#: Words, and pieces of texts, that a task knows at most when it begins a slice.
+KEPT_WORDS = 300_000
 LONG = 256
 
+# A row knows the id after it (nid) and the order of that pair among its word's (k: rank, then place), so a round looks up only the
+# two pairs that are new in a word. Rows of a word that is done are given once more, marked, and end there.
 MERGE = """
-WITH RECURSIVE step(w, g, id, ng, n) AS (
-  SELECT w, g, id, ng, 0 FROM start
+WITH RECURSIVE step(w, g, id, ng, nid, k, done) AS (
+  SELECT w, g, id, ng, nid, m.t::BIGINT * 4294967296 + g, false FROM start LEFT JOIN merges m ON m.l = id AND m.r = nid
   UNION ALL
-  (WITH pairs AS (
-     SELECT a.*, b.ng AS nng, m.t, m.t::BIGINT * 4294967296 + a.g AS k
-     FROM step a LEFT JOIN step b ON b.g = a.ng LEFT JOIN merges m ON m.l = a.id AND m.r = b.id),
-   best AS (SELECT w, min(k) AS k, arg_min(ng, k) AS gone FROM pairs WHERE k IS NOT NULL GROUP BY w)
-   SELECT p.w, p.g, CASE WHEN p.k = best.k THEN p.t ELSE p.id END, CASE WHEN p.k = best.k THEN p.nng ELSE p.ng END, p.n + 1
-   FROM pairs p JOIN best USING (w) WHERE p.g <> best.gone)
+  (WITH held AS (SELECT * FROM step WHERE NOT done),
+   best AS (SELECT w, min(k) AS k, arg_min(ng, k) AS gone FROM held WHERE k IS NOT NULL GROUP BY w),
+   merged AS (SELECT b.w, (b.k >> 32)::INT AS t, (b.k & 4294967295)::INT AS g, b.gone, s.ng, s.nid FROM best b JOIN held s ON s.g = b.gone),
+   contracted AS (
+     SELECT p.w, p.g, p.k, b.w IS NULL AS done, coalesce(p.g = b.g OR p.ng = b.g, false) AS new,
+       CASE WHEN p.g = b.g THEN b.t ELSE p.id END AS id, CASE WHEN p.g = b.g THEN b.ng ELSE p.ng END AS ng,
+       CASE WHEN p.g = b.g THEN b.nid WHEN p.ng = b.g THEN b.t ELSE p.nid END AS nid
+     FROM held p LEFT JOIN merged b ON b.w = p.w WHERE b.w IS NULL OR p.g <> b.gone)
+   SELECT c.w, c.g, c.id, c.ng, c.nid, CASE WHEN c.new THEN m.t::BIGINT * 4294967296 + c.g ELSE c.k END, c.done
+   FROM contracted c LEFT JOIN merges m ON m.l = CASE WHEN c.new THEN c.id END AND m.r = c.nid)
 )
-SELECT s.w, s.id FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n) ORDER BY s.g
+SELECT w, id FROM step WHERE done ORDER BY g
 """
 
 # For a long word, round by round, each in place of the one before. No token of lower rank starts or ends with a safe one, so
@@ -90,6 +97,29 @@ def merge_rows(ranks: dict[bytes, int]) -> list[tuple[int, int, int, bool]]:
     return [(ranks[a], ranks[b], rank, rank not in unsafe) for _, a, b, rank in splits if a in ranks and b in ranks]
 
 
+#: Rank of a pair that is none.
+NONE = np.iinfo(np.int32).max
+
+
+def first_pairs(ranks: dict[bytes, int], unsafe: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables by two bytes: the rank of the pair if it is safe, and the least rank of a merge that may take one of its bytes from it.
+
+    `before[a, b]` is of the merges of any token that ends in a with the byte b, `after[c, d]` of the byte c with any that starts in d.
+    A safe pair of lower rank than both beside it is merged whatever else is, since neither of its bytes can go elsewhere before, and
+    nothing that is made of it comes before it.
+    """
+    pair, before, after = (np.full((256, 256), NONE, np.int32) for _ in range(3))
+    for token, rank in ranks.items():
+        if len(token) == 2 and rank not in unsafe:
+            pair[token[0], token[1]] = rank
+        if len(token) > 1:
+            if token[:-1] in ranks:
+                before[token[-2], token[-1]] = min(before[token[-2], token[-1]], rank)
+            if token[1:] in ranks:
+                after[token[0], token[1]] = min(after[token[0], token[1]], rank)
+    return pair, before, after
+
+
 class Tables:
     """The merges and the vocabulary as columns; small, so workers keep them."""
 
@@ -97,6 +127,7 @@ class Tables:
         rows = merge_rows(ranks)
         self.l, self.r, self.t, self.safe = (np.array(c, kind) for c, kind in zip(zip(*rows), (np.int32, np.int32, np.int32, bool)))
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.pair, self.before, self.after = first_pairs(ranks, set(self.t[~self.safe].tolist()))
         # Bytes as the code points 0 to 255, since text can be aggregated in order.
         self.vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": [token.decode("latin-1") for token in ranks]})
 
@@ -111,6 +142,7 @@ class Codec:
 
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.l, self.r, self.t, self.safe, self.single = tables.l, tables.r, tables.t, tables.safe, tables.single
+        self.pair, self.before, self.after = tables.pair, tables.before, tables.after
         if pattern is None:
             self.con.register("given", tables.vocab)
             self.con.execute("CREATE TABLE vocab AS SELECT id, bytes FROM given")
@@ -118,6 +150,8 @@ class Codec:
             self.con.register("given", pa.table({"l": self.l, "r": self.r, "t": self.t}))
             self.con.execute("CREATE TABLE merges AS SELECT l, r, t FROM given")
             self.words_in = regex.compile(pattern).findall
+            # Whether a space and letters are always one match, so that such a piece need not be searched.
+            self.letters = all(self.words_in(f" {w}") == [f" {w}"] for w in ("a", "Z", "ab", "AB", "aB", "Ab", "letterLETTERletter"))
             self.chunks_in = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.con.unregister("given")
         self.forget()
@@ -127,28 +161,38 @@ class Codec:
         self.ids = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
+        # Pieces of texts, and the numbers of their words one after another.
+        self.index = _Index()
+        self.words = np.zeros(0, np.int64)
+        self.per_chunk = np.zeros(0, np.int64)
 
-    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, raw: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after another, and how many each has."""
-        raw = [w.encode() for w in words]
-        sizes = np.array([len(b) for b in raw])
-        g = np.arange(sizes.sum(), dtype=np.int32)
-        ng = g + 1
-        ng[np.cumsum(sizes) - 1] = -1
-        start = {
-            "w": np.repeat(np.arange(len(raw), dtype=np.int32), sizes),
-            "g": g,
-            "id": self.single[np.frombuffer(b"".join(raw), np.uint8)],
-            "ng": ng,
-        }
+        x = np.frombuffer(b"".join(raw), np.uint8)
+        w = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+        # Pairs of bytes that are merged whatever else is, at once; place i is the pair of bytes i and i + 1.
+        inside = w[1:] == w[:-1]
+        rank = np.where(inside, self.pair[x[:-1], x[1:]], NONE)
+        sure = rank < NONE
+        sure[1:] &= rank[1:] < np.where(inside[:-1], self.before[x[:-2], x[1:-1]], NONE)
+        sure[:-1] &= rank[:-1] < np.where(inside[1:], self.after[x[1:-1], x[2:]], NONE)
+        ids = self.single[x]
+        ids[:-1][sure] = rank[sure]
+        left = np.append(True, ~sure)
+        w, ids = w[left], ids[left]
+        last = np.append(w[1:] != w[:-1], True)
+        g = np.arange(len(w), dtype=np.int32)
+        ng, nid = g + 1, np.append(ids[1:], ids[:1])
+        ng[last] = nid[last] = -1
+        start = {"w": w, "g": g, "id": ids, "ng": ng, "nid": nid}
         self.con.register("start", pa.table(start))
         out = self.con.sql(MERGE).to_arrow_table()
         self.con.unregister("start")
-        return out["id"].to_numpy(), np.bincount(out["w"].to_numpy(), minlength=len(words))
+        return out["id"].to_numpy(), np.bincount(out["w"].to_numpy(), minlength=len(raw))
 
-    def merge_long(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+    def merge_long(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of one word of any length, and how many it has."""
-        raw = np.frombuffer(word.encode(), np.uint8)
+        raw = np.frombuffer(word, np.uint8)
         self.con.register("start", pa.table({"g": np.arange(len(raw)), "id": self.single[raw]}))
         self.con.execute("CREATE OR REPLACE TEMP TABLE step AS SELECT g, id FROM start")
         self.con.unregister("start")
@@ -176,22 +220,28 @@ class Codec:
 
     def learn(self, words: list[str]):
         """Make the ids of new words known."""
-        short = [w for w in words if len(w.encode()) <= LONG]
-        slices, rows = [], SLICE_ROWS
-        for word in short:
-            more = len(word.encode()) ** 2 // 2 + 1
-            if rows + more > SLICE_ROWS or len(slices[-1]) == SLICE_WORDS:
-                slices.append([])
-                rows = 0
-            slices[-1].append(word)
-            rows += more
-        slices += [[w] for w in words if len(w.encode()) > LONG]
-        for some in slices:
-            ids, lengths = self.merge(some) if len(some[0].encode()) <= LONG else self.merge_long(some[0])
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
-            self.starts = np.concatenate([self.starts, len(self.ids) + starts_of(lengths)])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, ids])
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        # Short words first, as many at once as the limits allow.
+        order = np.argsort(sizes > LONG, kind="stable")
+        if sizes.max(initial=0) > LONG:
+            words, raw, sizes = [words[i] for i in order], [raw[i] for i in order], sizes[order]
+        n_short, rows = int(np.count_nonzero(sizes <= LONG)), np.cumsum(sizes**2 // 2 + 1)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        all_ids, all_lengths, at = [self.ids], [self.lengths], 0
+        while at < len(raw):
+            if at < n_short:
+                most = int(np.searchsorted(rows, (rows[at - 1] if at else 0) + SLICE_ROWS, "right"))
+                end = max(at + 1, min(most, at + SLICE_WORDS, n_short))
+                ids, lengths = self.merge(raw[at:end], sizes[at:end])
+            else:
+                end = at + 1
+                ids, lengths = self.merge_long(raw[at])
+            all_ids.append(ids)
+            all_lengths.append(lengths)
+            at = end
+        self.ids, self.lengths = np.concatenate(all_ids), np.concatenate(all_lengths)
+        self.starts = starts_of(self.lengths)
 
     def chunks(self, text: str) -> tuple[list, bool]:
         """The text in pieces that the pattern never matches across, and whether each after the first lacks its space."""
@@ -200,29 +250,37 @@ class Codec:
             return text.split(" "), True
         return self.chunks_in(text), False
 
+    def cut(self, chunk: str | tuple[str]) -> list[str]:
+        """The words of a piece. A plain key is a piece without its space, a tuple a piece as it is."""
+        if chunk.__class__ is tuple:
+            return self.words_in(chunk[0])
+        word = " " + chunk
+        return [word] if self.letters and chunk.isascii() and chunk.isalpha() else self.words_in(word)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after another, and how many each text has."""
-        index = _Index()
+        if max(len(self.known), len(self.index)) > KEPT_WORDS:
+            self.forget()
+        index, before = self.index, len(self.index)
         refs, sizes = [], []
         for text in texts:
             pieces, bare = self.chunks(text) if text else ([], False)
             if bare:
-                refs.append([index[(pieces[0],)], *map(index.__getitem__, pieces[1:])])
+                pieces[0] = (pieces[0],)
             else:
-                refs.append([index[(p,)] for p in pieces])
-            sizes.append(len(refs[-1]))
-        # A plain key is a piece without its space, a tuple a piece as it is.
-        cut = [self.words_in(c[0] if c.__class__ is tuple else " " + c) for c in index]
+                pieces = [(p,) for p in pieces]
+            refs.extend(map(index.__getitem__, pieces))
+            sizes.append(len(pieces))
+        cut = list(map(self.cut, islice(index, before, None)))
         new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in self.known]
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.forget()
-            new = list(dict.fromkeys(chain.from_iterable(cut)))
         if new:
             self.learn(new)
-        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
-        per_chunk = np.array([len(c) for c in cut], np.int64)
-        chunk = np.fromiter(chain.from_iterable(refs), np.int64, sum(sizes))
-        del refs, cut, index
+        found = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+        self.words = np.concatenate([self.words, found])
+        self.per_chunk = np.concatenate([self.per_chunk, np.fromiter(map(len, cut), np.int64, len(cut))])
+        words, per_chunk = self.words, self.per_chunk
+        chunk = np.array(refs, np.int64)
+        del refs, cut
         # Texts are rows of chunks, chunks rows of words, words rows of ids.
         words = words[gather(starts_of(per_chunk)[chunk], per_chunk[chunk])]
         per_word = self.lengths[words]

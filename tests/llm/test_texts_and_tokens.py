@@ -30,6 +30,15 @@ def plain():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def plain_merges(word, ranks):
+    """One pair after another: the leftmost of least rank."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
 def test_bpe_edges_and_round_trip(spark, plain):
     rng = random.Random(3)
     alphabet = " \n\tabcXYZ019.,!'-éß中🙂 "
@@ -55,6 +64,40 @@ def test_bpe_memory_does_not_grow_with_rounds(plain):
     assert codec.encode([" ".join(names)])[0].tolist() == plain.encode_ordinary(" ".join(names))
 
 
+def test_bpe_of_odd_vocabularies_and_patterns():
+    rng = random.Random(7)
+    single = {bytes([i]): i for i in range(256)}
+    for trial in range(30):
+        # Ranks in any order, so that a token may come before its parts.
+        tokens = list({bytes(rng.choice(b"abc ") for _ in range(rng.randrange(2, 6))) for _ in range(40)})
+        rng.shuffle(tokens)
+        ranks = single | {t: 256 + i for i, t in enumerate(tokens)}
+        codec = bpe.Codec(bpe.Tables(ranks), r"(?s:.+)")
+        codec.learn(words := list({"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 24))) for _ in range(60)}))
+        for w in words:
+            at = codec.known[w]
+            assert codec.ids[codec.starts[at] :][: codec.lengths[at]].tolist() == plain_merges(w.encode(), ranks), (w, tokens)
+    # Letters are one match in this pattern only while their case does not change.
+    codec = bpe.Codec(bpe.Tables(single | {b"aB": 256}), r" ?\p{Lu}+| ?\p{Ll}+| ")
+    assert not codec.letters and codec.encode(["aB aB"])[0].tolist() == [*b"aB aB"]
+
+
+def test_bpe_knows_pieces_across_slices_and_forgets(monkeypatch, plain):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcé19' ") for _ in range(400)) for _ in range(60)]
+    codec = bpe.Codec(bpe.Tables(bpe.read_ranks(BYTE_RANKS)), public_tokenizers.PATTERN)
+    learned = []
+    learn = codec.learn
+    monkeypatch.setattr(codec, "learn", lambda words: (learned.extend(words), learn(words)))
+    for _ in range(2):
+        ids, lengths = codec.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in plain.encode_ordinary(t)] and len(lengths) == 60
+    assert len(learned) == len(set(learned)) == len(codec.known) > 0 and len(codec.index) == len(codec.per_chunk)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 10)
+    assert codec.encode(texts[:1])[0].tolist() == plain.encode_ordinary(texts[0])
+    assert len(codec.known) < len(set(learned)) and len(codec.index) == len(codec.per_chunk)
+
+
 def test_bpe_decodes_null_and_refuses_unknown_ids(spark):
     ranks = bpe.read_ranks(BYTE_RANKS)
     rows = spark.createDataFrame([(1, None), (2, []), (3, [72, 73])], "k int, ids array<int>")
