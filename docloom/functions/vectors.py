@@ -66,7 +66,7 @@ class HashedEmbedder:
 
         def one(text: Column) -> Column:
             numbers = F.transform(
-                F.array_sort(self._buckets(text)), lambda b: F.conv(b, 16, 10).cast("int") + F.lit(1)
+                F.sort_array(self._buckets(text)), lambda b: F.conv(b, 16, 10).cast("int") + F.lit(1)
             )
             start = F.struct(
                 F.lit(0.0).alias("dot"), F.lit(0.0).alias("sq"), F.lit(0).alias("last"), F.lit(0.0).alias("run")

@@ -240,8 +240,9 @@ def sentence_optimizer(embedder, cutoff: float = SENTENCE_CUTOFF):
             ),
         )
         keep = F.greatest(F.floor(F.size("_s") * share).cast("int"), F.lit(1))
-        best = F.slice(F.array_sort(numbered), F.lit(1), keep)
-        in_order = F.array_sort(F.transform(best, lambda x: F.struct(x["pos"], x["sentence"])))
+        # sort_array compares natively, array_sort by an interpreted function.
+        best = F.slice(F.sort_array(numbered), F.lit(1), keep)
+        in_order = F.sort_array(F.transform(best, lambda x: F.struct(x["pos"], x["sentence"])))
         text = F.array_join(F.transform(in_order, lambda x: x["sentence"]), " ")
         return scored.withColumn("text", text).drop("_s", "_scores")
 
@@ -265,7 +266,7 @@ def extractive_answer(df: DataFrame, budget: int | None = None, order: str = "re
         before = Window.partitionBy("qid").orderBy(order, "pos").rowsBetween(Window.unboundedPreceding, -1)
         used = F.coalesce(F.sum(F.size(tx.lower_words(F.col("sentence")))).over(before), F.lit(0))
         each = each.withColumn("_used", used).where(F.col("_used") < budget)
-    parts = each.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(order, "pos", "sentence"))).alias("_s"))
+    parts = each.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(order, "pos", "sentence"))).alias("_s"))
     text = F.array_join(F.transform("_s", lambda x: x.getField("sentence")), " ")
     return parts.select("qid", text.alias("response"))
 

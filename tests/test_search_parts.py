@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from docloom.functions.vectors import HashedEmbedder
 from docloom.operators import search
 
 N, Q = "org_id string, node_id string, embedding array<float>", "org_id string, qid bigint, embedding array<float>"
@@ -59,3 +60,14 @@ def test_nodes_and_questions_of_one_table(spark):
     held = rows.selectExpr("org_id", "concat('n', qid) AS node_id", "embedding")
     best = search.top_k(held, rows, 3, node_part=40, question_part=24)
     assert best.where("score > 0.999999999").select("qid").distinct().count() == 30
+
+
+def test_sentences_are_sorted_natively(spark):
+    embedder = HashedEmbedder()
+    text = "b b. zz yy. a b. q. a b. r s t. " * 9
+    rows = embedder.embed(spark.createDataFrame([(1, text.strip(), "a b.")], "qid long, text string, question string"), "question", "q_embedding")
+    kept = search.sentence_optimizer(embedder, 0.5)(rows)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
+    # Those that are the question itself, then those that share a word; equal ones in text order.
+    assert kept.first().text == "b b. a b. a b. " * 8 + "b b. a b. a b."
