@@ -1,6 +1,7 @@
 """Text expressions: whitespace, elements, chunks, sentences. All are built-in functions."""
 
 import json
+from collections.abc import Callable
 from html import unescape
 from html.entities import html5
 
@@ -12,6 +13,8 @@ from docloom.model import CHUNK_OVERLAP, CHUNK_SIZE
 # The characters that count as whitespace when text is split into words: all Unicode separators,
 # and the controls tab to carriage return, file to unit separator, and next line.
 WHITESPACE = r"[\pZ\x{09}-\x{0d}\x{1c}-\x{1f}\x{85}]+"
+# The same of a text of ASCII characters only, for which Java looks up bits and no categories.
+ASCII_WHITESPACE = r"[\x{09}-\x{0d}\x{1c}-\x{20}]+"
 
 # Html tags that end a text element.
 BLOCK_TAGS = (
@@ -32,9 +35,19 @@ SEPARATOR = "\x1e"
 SUM_BLOCK = 256
 
 
+def _once(text: Column, function: Callable[[Column], Column]) -> Column:
+    """The function of a text that it names several times: inside a list of one, so that the text is computed once."""
+    return F.get(F.transform(F.array(text), function), F.lit(0))
+
+
+def _collapsed(text: Column) -> Column:
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.trim(F.when(ascii_only, F.regexp_replace(text, ASCII_WHITESPACE, " ")).otherwise(F.regexp_replace(text, WHITESPACE, " ")))
+
+
 def collapse_ws(text: Column) -> Column:
     """Runs of whitespace become one space, and the ends are stripped."""
-    return F.trim(F.regexp_replace(text, WHITESPACE, " "))
+    return _once(text, _collapsed)
 
 
 # What is cleaned from joined elements, and by what.
@@ -55,7 +68,7 @@ def extension(name: Column) -> Column:
 
 
 def _non_empty(parts: Column) -> Column:
-    return F.filter(F.transform(parts, collapse_ws), lambda e: e != "")
+    return F.filter(F.transform(parts, _collapsed), lambda e: e != "")
 
 
 def line_elements(text: Column) -> Column:
@@ -106,19 +119,19 @@ def decode_references(text: Column) -> Column:
         pieces = F.transform(F.split(t, f"(?={REFERENCE})", -1), decoded)
         return F.when(t.contains("&"), F.array_join(pieces, "")).otherwise(t)
 
-    # Inside a list of one, so that the text is computed once.
-    return F.get(F.transform(F.array(text), whole), F.lit(0))
+    return _once(text, whole)
 
 
 def html_blocks(html: Column) -> Column:
     """Visible text of a page, with a separator between blocks."""
-    t = F.translate(html, SEPARATOR, " ")
-    t = F.regexp_replace(t, HTML_COMMENT, " ")
+    plain = F.replace(html, F.lit(SEPARATOR), F.lit(" "))
+    t = F.regexp_replace(plain, HTML_COMMENT, " ")
     t = F.regexp_replace(t, HTML_HIDDEN, " ")
     t = F.regexp_replace(t, HTML_BLOCK, SEPARATOR)
     t = F.regexp_replace(t, HTML_BREAK, " ")
     t = F.regexp_replace(t, HTML_TAG, "")
-    return decode_references(t)
+    # All patterns begin with the same character.
+    return decode_references(F.when(html.contains("<"), t).otherwise(plain))
 
 
 def html_elements(html: Column) -> Column:

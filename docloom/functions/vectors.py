@@ -5,19 +5,36 @@ against a vector in the same row. Both are given texts whose whitespace is alrea
 sentences and questions are.
 """
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import lower_words
 from docloom.model import EMBED_BATCH
 
+#: Bytes of texts whose words are counted at once.
+COUNT_BYTES = 8 << 20
+
+
+def word_counts(texts: pa.Array, hex_digits: int) -> np.ndarray:
+    """How many words of each text, which are parted by spaces, have each bucket: a row for a text. A distinct word is hashed once."""
+    dim = 16**hex_digits
+    words = pc.split_pattern(texts, " ")
+    spelled = words.flatten().dictionary_encode()
+    bytes_, odd = (hex_digits + 1) // 2, hex_digits % 2
+    # Nothing between two spaces is no word.
+    known = (int.from_bytes(hashlib.md5(w).digest()[:bytes_]) >> 4 * odd if w else -1 for w in spelled.dictionary.cast(pa.binary()).to_pylist())
+    bucket = np.fromiter(known, np.int64, len(spelled.dictionary))[spelled.indices.to_numpy()]
+    place = np.repeat(np.arange(len(texts)) * dim, pc.fill_null(words.value_lengths(), 0).to_numpy())
+    return np.bincount((place + bucket)[bucket >= 0], minlength=len(texts) * dim).astype(np.float32)
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -36,7 +53,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 @dataclass(frozen=True)
 class HashedEmbedder:
-    """Word counts by the first hex digits of each word's md5. Narrow and JVM-side: no shuffle, no Python.
+    """Word counts by the first hex digits of each word's md5. Narrow: no shuffle.
+
+    Texts are embedded by Arrow and numpy, which hash the distinct words of a few MB of text once; sentences in the JVM.
 
     A stand-in when no model is given: it measures shared words, not meaning.
     """
@@ -51,11 +70,18 @@ class HashedEmbedder:
         return F.transform(lower_words(text), lambda w: F.substring(F.md5(w.cast("binary")), 1, self.hex_digits))
 
     def embed(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        model = CountVectorizerModel.from_vocabulary(
-            [format(i, f"0{self.hex_digits}x") for i in range(self.dim)], inputCol="_buckets", outputCol="_counts"
-        )
-        counted = model.transform(df.withColumn("_buckets", self._buckets(F.col(text))))
-        return counted.withColumn(out, vector_to_array("_counts", "float32")).drop("_buckets", "_counts")
+        hex_digits, dim = self.hex_digits, self.dim
+
+        @F.arrow_udf("array<float>")
+        def run(texts: pa.Array) -> pa.Array:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // COUNT_BYTES)) + 1), len(texts)]
+            values = np.concatenate([word_counts(texts.slice(a, b - a), hex_digits) for a, b in zip(cuts, cuts[1:])])
+            starts = pa.array(np.arange(0, len(values) + 1, dim, dtype=np.int32))
+            return pa.ListArray.from_arrays(starts, pa.array(values), mask=texts.is_null())
+
+        # Letters are lowered where all other expressions lower them.
+        return df.withColumn(out, run(F.lower(text)))
 
     def similarities(self, df: DataFrame, texts: str, vector: str, out: str) -> DataFrame:
         """Cosine of every text in the array column `texts` with the row's vector, as an array in `out`.
