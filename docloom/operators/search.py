@@ -193,7 +193,8 @@ def candidates(nodes: DataFrame, questions: DataFrame, hits: DataFrame) -> DataF
 def lexical_overlap(question: Column, text: Column) -> Column:
     """Share of the question's distinct words that the text contains."""
     wanted = F.array_distinct(tx.lower_words(question))
-    shared = F.size(F.array_intersect(wanted, tx.lower_words(text)))
+    # The second list is the one that is hashed: the question's few words, and not the text's.
+    shared = F.size(F.array_intersect(tx.lower_words(text), wanted))
     return F.when(F.size(wanted) > 0, shared / F.size(wanted)).otherwise(F.lit(0.0))
 
 

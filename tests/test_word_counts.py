@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.functions import vectors
 from docloom.functions.vectors import HashedEmbedder
+from docloom.operators.search import lexical_overlap
 
 TEXTS = ["a b a", "", " ", "x  y ", "Äpfel äpfel ÄPFEL", "größer weit", "emoji \U0001f600 \U0001f600", " ".join(f"w{i % 7}" for i in range(500)), "a"]
 
@@ -59,3 +60,12 @@ def test_pages_with_and_without_markup(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*rows, None])], "i int, t string")
     got = dict(map(tuple, df.select("i", tx.html_elements(F.col("t"))).collect()))
     assert got == {0: [html.unescape(rows[0])], 1: ["a > b c"], 2: ["xyz q", "r u"], 3: [], 4: ["<p>"], 5: None}
+
+
+def test_rerank_hashes_the_words_of_the_question_and_not_of_the_text(spark, capsys):
+    df = spark.createDataFrame([("a B a c", "b b x a"), ("", "a"), ("q", "")], "question string, text string").coalesce(1)
+    scored = df.select(lexical_overlap(F.col("question"), F.col("text")).alias("s"))
+    assert [r["s"] for r in scored.collect()] == pytest.approx([2 / 3, 0.0, 0.0])
+    scored.explain()
+    # The second list of an intersection is the one that is held as a set.
+    assert "array_intersect(array_remove(split(lower(text" in capsys.readouterr().out
